@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -14,9 +16,10 @@ BROADCAST_ROWS = 200_000
 HOT_KEYS = 2_000
 
 
-def fits_broadcast(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+def fits_broadcast(table: DataFrame, max_rows: int | None = None) -> bool:
     """Whether a table has at most ``max_rows`` rows; reads no more than it must."""
-    return table.limit(max_rows + 1).count() <= max_rows
+    limit = BROADCAST_ROWS if max_rows is None else max_rows
+    return table.limit(limit + 1).count() <= limit
 
 
 def lookup_join(
@@ -24,23 +27,29 @@ def lookup_join(
     table: DataFrame,
     keys: Sequence[str],
     weight: str | None = None,
-    max_rows: int = BROADCAST_ROWS,
+    max_rows: int | None = None,
 ) -> DataFrame:
-    """Left join to a table with unique keys.
+    """Left join to a table with unique keys; columns of ``rows`` first.
 
-    A small table is broadcast.  A large one is joined by shuffle, except for its
-    heaviest keys (by ``weight``, the number of rows per key): their rows meet a
-    bounded broadcast and never land together in one task.
+    A small table is broadcast.  A large one is joined by shuffle, with two kinds of
+    rows kept out of the shuffle because they would pile up in one task: rows with a
+    null key (nothing can match) and rows of the heaviest keys by ``weight``, the
+    number of rows per key (they meet a bounded broadcast).
     """
     keys = list(keys)
-    if fits_broadcast(table, max_rows):
-        return rows.join(F.broadcast(table), keys, "left")
-    if weight is None:
-        return rows.join(table, keys, "left")
-    hot = table.orderBy(F.desc(weight)).limit(HOT_KEYS)
     added = [c for c in table.columns if c not in keys]
-    on_hot = rows.join(F.broadcast(hot), keys, "inner")
-    elsewhere = rows.join(F.broadcast(hot.select(*map(ref, keys))), keys, "left_anti")
-    rest = elsewhere.join(table, keys, "left")
-    order = [*rows.columns, *added]
-    return on_hot.select(*map(ref, order)).unionByName(rest.select(*map(ref, order)))
+    order = [ref(c) for c in (*rows.columns, *added)]
+    if fits_broadcast(table, max_rows):
+        return rows.join(F.broadcast(table), keys, "left").select(*order)
+    no_key = reduce(or_, [ref(k).isNull() for k in keys])
+    unmatched = rows.where(no_key).withColumns(
+        {c: F.lit(None).cast(table.schema[c].dataType) for c in added}
+    )
+    keyed = rows.where(~no_key)
+    parts = [unmatched]
+    if weight is not None:
+        hot = F.broadcast(table.orderBy(F.desc(weight), *map(ref, keys)).limit(HOT_KEYS))
+        parts.append(keyed.join(hot, keys))
+        keyed = keyed.join(hot.select(*map(ref, keys)), keys, "left_anti")
+    parts.append(keyed.join(table, keys, "left"))
+    return reduce(DataFrame.unionByName, [p.select(*order) for p in parts])
