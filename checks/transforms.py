@@ -151,14 +151,14 @@ MIXED = "SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 4 = 0 THEN l_dis
              count(*) FILTER (score BETWEEN 0 AND 10.05) / count(*) >= 0.15 AS b3,
              count(*) FILTER (score BETWEEN 0 AND 100.05) / count(*) >= 0.15 AS b4 FROM m)
     SELECT l_orderkey, l_linenumber, round(CASE
-      WHEN b1 AND score BETWEEN 0 AND 1.05 THEN score / 1.05::DOUBLE * 100
-      WHEN b2 AND score BETWEEN 1 AND 5.05 THEN (score - 1) / 4.05::DOUBLE * 100
-      WHEN b3 AND score BETWEEN 0 AND 10.05 THEN score / 10.05::DOUBLE * 100
-      WHEN b4 AND score BETWEEN 0 AND 100.05 THEN score / 100.05::DOUBLE * 100 ELSE score END, 4) AS score FROM m, b""",
+      WHEN b1 AND score BETWEEN 0 AND 1.05 THEN score / 1.05::DOUBLE * 200
+      WHEN b2 AND score BETWEEN 1 AND 5.05 THEN (score - 1) / 4.05::DOUBLE * 200
+      WHEN b3 AND score BETWEEN 0 AND 10.05 THEN score / 10.05::DOUBLE * 200
+      WHEN b4 AND score BETWEEN 0 AND 100.05 THEN score / 100.05::DOUBLE * 200 ELSE score END, 4) AS score FROM m, b""",
 )
 def scale_mixed(spark, folder):
     mixed = spark.sql(MIXED, lineitem=table(spark, folder, "lineitem"))
-    return rounded(tf.apply_scales(mixed, tf.fit_scales(mixed, {"score": (0.0, 100.0)}, detect_mixed=True)))
+    return rounded(tf.apply_scales(mixed, tf.fit_scales(mixed, {"score": (0.0, 200.0)}, detect_mixed=True)))
 
 
 @query(
@@ -430,7 +430,7 @@ def harmonize_to_schema(spark, folder):
 
 @query(
     "custom_transform",
-    "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 2) AS net, upper(l_returnflag) AS flag FROM lineitem",
+    "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net, upper(l_returnflag) AS flag FROM lineitem",
 )
 def custom_transform(spark, folder):
     tf.register_transform("shout", lambda c, o: F.upper(c))
@@ -439,7 +439,7 @@ def custom_transform(spark, folder):
         "net": tf.Transform("custom", {"sql": "l_extendedprice * (1 - l_discount)"}),
         "flag": tf.Transform("shout"),
     }
-    return rounded(tf.apply_transforms(table(spark, folder, "lineitem"), sources, transforms), 2)
+    return rounded(tf.apply_transforms(table(spark, folder, "lineitem"), sources, transforms))
 
 
 @query(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tablemeld import columns as cols
 from tablemeld.functions import fixed_values as fv, names
@@ -229,7 +229,7 @@ def schema_difference(source_columns: DataFrame, schema: MasterSchema, dataset:
 # --- similarity across data sets ------------------------------------------------
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-block ratio of column names: metadata rows, never data rows."""
     return pd.Series([names.similarity(x, y) for x, y in zip(a, b)], dtype=float)
