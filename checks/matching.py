@@ -488,11 +488,11 @@ def learned_tables(spark, folder):
     )
 
 
-DISTANCE = "round(power(list_distance(q.vector::DOUBLE[], e.embedding::DOUBLE[]), 2), 6)"
+DISTANCE = "power(list_distance(q.vector::DOUBLE[], e.embedding::DOUBLE[]), 2)"
 
 
 def nearest_sql(queries: str, k: int, threshold: float, where: str = "true") -> str:
-    return f"""SELECT query_id, memory_id, distance, round(similarity, 6) AS similarity, rank FROM (
+    return f"""SELECT query_id, memory_id, round(distance, 6) AS distance, round(similarity, 6) AS similarity, rank FROM (
         SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, memory_id) AS INTEGER) AS rank, 1 / (1 + distance) AS similarity
         FROM (SELECT query_id, vec_id AS memory_id, {DISTANCE} AS distance FROM ({queries}) q, embeddings e WHERE {where}))
         WHERE rank <= {k} AND similarity >= {threshold}"""

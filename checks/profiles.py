@@ -8,7 +8,7 @@ from checks.registry import (
     CUSTOMER_SQL, SURVEY_SQL, customer, query, rounded, survey, table, with_customer, with_survey,
 )
 from tablemeld.operators import levels as lv, profile as pr, quality as ql, validate as va
-from tablemeld.operators.facts import fit_facts
+from tablemeld.plans.reports import quality_analysis
 
 CUSTOMER_COLUMNS = (
     ("c_custkey", "bigint", "integer"), ("c_name", "string", "string"),
@@ -398,17 +398,11 @@ SCORE_SQL = with_survey(
 
 @query("quality_score", SCORE_SQL)
 def quality_score(spark, folder):
-    df = survey(spark, folder)
-    facts = fit_facts(df)
-    statistics = pr.column_statistics(df, facts=facts)
-    return rounded(ql.quality_score(statistics, ql.detect_issues(df, statistics, facts)).drop("recommendations"))
+    return rounded(quality_analysis(survey(spark, folder))["summary"].drop("recommendations", "ignorable"))
 
 
 def _report(spark, folder):
-    df = survey(spark, folder)
-    facts = fit_facts(df)
-    statistics = pr.column_statistics(df, facts=facts)
-    return ql.quality_report(statistics, ql.detect_issues(df, statistics, facts))
+    return quality_analysis(survey(spark, folder))
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
@@ -17,12 +18,15 @@ AUTO_PATTERNS = (
 )
 
 
+#: Text that is a decimal number.  Checked first: a failed cast costs far more.
+_NUMBER = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
+
+
 def to_number(column: Column, from_text: bool = True) -> Column:
-    """Text as double; a trailing ``d`` or ``f`` is not part of a number."""
+    """Text as double; anything but a decimal number is null."""
     if not from_text:
         return column.cast("double")
-    number = column.try_cast("double")
-    return F.when(~column.rlike(r"[dDfF]\s*$") & ~F.isnan(number), number)
+    return F.when(column.rlike(_NUMBER), column.try_cast("double"))
 
 
 def to_integer(column: Column, from_text: bool = True) -> Column:
@@ -44,12 +48,33 @@ def cast_to(column: Column, target: str, source: str = "string") -> Column:
     return column.cast("string")
 
 
+#: What each pattern letter may hold; rules out most values before they are parsed.
+_PARTS = {
+    "yyyy": r"\d{4}", "MMM": r"[A-Za-z]{3}", "MM": r"(?:0[1-9]|1[0-2])", "M": r"(?:0?[1-9]|1[0-2])",
+    "dd": r"(?:0[1-9]|[12]\d|3[01])", "d": r"(?:0?[1-9]|[12]\d|3[01])",
+    "H": r"(?:[01]?\d|2[0-3])", "m": r"[0-5]?\d", "s": r"[0-5]?\d",
+}
+
+
+def _shape(pattern: str) -> str:
+    """Regular expression of the values that a date pattern can parse."""
+    parts = re.split(r"(yyyy|MMM|MM|M|dd|d|H|m|s)", pattern.replace("'T'", "\0"))
+    return "^" + "".join(_PARTS.get(p) or re.escape(p).replace("\0", "T") for p in parts if p) + "$"
+
+
+def _parsed(text: Column, pattern: str) -> Column:
+    """Timestamp by one pattern.  The shape is checked first: a failed parse costs far more."""
+    if re.sub(r"yyyy|MMM|MM|M|dd|d|H|m|s|'T'|[-/:., ]", "", pattern):
+        return F.try_to_timestamp(text, F.lit(pattern))
+    return F.when(text.rlike(_shape(pattern)), F.try_to_timestamp(text, F.lit(pattern)))
+
+
 def parse_timestamp(column: Column, pattern: str | None = None, patterns: Sequence[str] = AUTO_PATTERNS) -> Column:
     """Text as timestamp by one pattern, or by the first pattern that fits each value."""
     text = F.trim(column)
     if pattern:
-        return F.try_to_timestamp(text, F.lit(pattern))
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(p)) for p in patterns])
+        return _parsed(text, pattern)
+    return F.coalesce(*[_parsed(text, p) for p in patterns])
 
 
 def format_date(
@@ -66,4 +91,4 @@ def format_date(
 def pattern_counts(column: Column, patterns: Sequence[str] = DATE_PATTERNS) -> dict[str, Column]:
     """How many values each pattern parses, as aggregate expressions."""
     text = F.trim(column)
-    return {p: F.count(F.try_to_timestamp(text, F.lit(p))) for p in patterns}
+    return {p: F.count(_parsed(text, p)) for p in patterns}

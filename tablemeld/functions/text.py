@@ -12,21 +12,24 @@ def strip(column: Column) -> Column:
     return F.regexp_replace(column, r"(?U)^\s+|\s+$", "")
 
 
+#: Signs that cleaning would change; most short answers hold none of them.
+_UNCLEAN = r"[^A-Za-z0-9_.,'\"() ]|  |^ | $"
+
+
 def clean_text(column: Column, normalize_separators: bool = True) -> Column:
-    """Plain ASCII text: no entities, tags or unusual signs, single spaces.
+    """ASCII text: no entities, tags or unusual signs, single spaces.
 
     With ``normalize_separators`` each ``>``, ``-`` or ``/`` becomes ``' > '``.
-    Text that ends up empty becomes null.
+    Text that ends up empty becomes null.  Text that is clean already takes one
+    regular expression instead of four.
     """
-    text = F.regexp_replace(column, r"&[a-zA-Z]+;", " ")
-    text = F.regexp_replace(text, r"<[^>]+>", " ")
-    text = F.regexp_replace(text, r"[^\x00-\x7F]", "")
-    text = F.regexp_replace(text, r"[^\w\s\-.,'\"/()]", "")
-    # \x1c-\x1f count as white space
+    text = F.regexp_replace(column, r"&[a-zA-Z]+;|<[^>]+>", " ")
+    # \w is ASCII here, so this drops everything outside ASCII too; \x1c-\x1f are white space
+    text = F.regexp_replace(text, r"[^\w\s\x1c-\x1f\-.,'\"/()]", "")
     text = F.trim(F.regexp_replace(text, r"[\s\x1c-\x1f]+", " "))
     if normalize_separators:
         text = F.regexp_replace(text, r"\s*[>\-/]\s*", " > ")
-    return F.nullif(text, F.lit(""))
+    return F.nullif(F.when(column.rlike(_UNCLEAN), text).otherwise(column), F.lit(""))
 
 
 _STEPS = {

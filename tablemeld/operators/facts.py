@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, functions as F
 from tablemeld import columns as cols
 
 #: Distinct values up to which one aggregation buffer may hold a whole value -> count map.
-MAX_LEVELS = 100_000
+MAX_LEVELS = 50_000
 #: Accuracy of the approximate quantiles that bracket an exact one.
-BRACKET_ACCURACY = 10_000
+BRACKET_ACCURACY = 2_000
 
 
 @dataclass(frozen=True)
@@ -26,12 +26,10 @@ class ColumnFacts:
     kind: str
     rows: int
     present: int
-    levels: int
     mean: float | None = None
     std: float | None = None
     low: float | None = None
     high: float | None = None
-    skew: float | None = None
     avg_length: float | None = None
     min_length: int | None = None
     max_length: int | None = None
@@ -48,17 +46,9 @@ class ColumnFacts:
     def numeric(self) -> bool:
         return self.kind in ("integer", "float")
 
-    @property
-    def sample_skew(self) -> float:
-        """Bias-corrected skewness; 0 where fewer than three values exist."""
-        n = self.present
-        if n < 3 or self.skew is None or math.isnan(self.skew):
-            return 0.0
-        return self.skew * math.sqrt(n * (n - 1)) / (n - 2)
-
 
 def fit_facts(df: DataFrame, names: Iterable[str] | None = None) -> dict[str, ColumnFacts]:
-    """Counts, approximate level counts, moments and text lengths in one scan."""
+    """Counts, moments and text lengths in one scan, all inside generated code."""
     names = list(df.columns if names is None else names)
     facts: dict[str, ColumnFacts] = {}
     for group in cols.batches(names, cols.EXPRESSIONS_PER_JOB // 8):
@@ -82,10 +72,7 @@ def fit_facts(df: DataFrame, names: Iterable[str] | None = None) -> dict[str, Co
 def _fact_expressions(df: DataFrame, name: str) -> dict:
     column = cols.ref(name)
     kind = cols.base_type(cols.type_of(df, name))
-    found = {
-        "present": F.count(column),
-        "levels": F.approx_count_distinct(column if kind != "unknown" else column.cast("string")),
-    }
+    found = {"present": F.count(column)}
     if kind in ("integer", "float"):
         number = column.cast("double")
         found |= {
@@ -93,7 +80,6 @@ def _fact_expressions(df: DataFrame, name: str) -> dict:
             "std": F.stddev_samp(number),
             "low": F.min(column).cast("double"),
             "high": F.max(column).cast("double"),
-            "skew": F.skewness(number),
         }
     elif kind == "string":
         size = F.length(column)
@@ -105,6 +91,32 @@ def _fact_expressions(df: DataFrame, name: str) -> dict:
     return found
 
 
+def approximate_levels(df: DataFrame, names: Iterable[str]) -> dict[str, int]:
+    """Distinct values per column from fixed-size sketches."""
+    found: dict[str, int] = {}
+    for group in cols.batches(list(names), cols.EXPRESSIONS_PER_JOB):
+        row = df.agg(
+            *[F.approx_count_distinct(cols.ref(c)).alias(str(i)) for i, c in enumerate(group)]
+        ).first()
+        found |= {c: row[i] for i, c in enumerate(group)}
+    return found
+
+
+def fit_skewness(df: DataFrame, facts: Mapping[str, ColumnFacts], names: Iterable[str]) -> dict[str, float]:
+    """Bias-corrected skewness; 0 where fewer than three values exist or none differ."""
+    names = [c for c in names if facts[c].numeric and facts[c].present >= 3]
+    found = dict.fromkeys(names, 0.0)
+    for group in cols.batches(names, cols.EXPRESSIONS_PER_JOB):
+        row = df.agg(
+            *[F.skewness(cols.as_double(df, c)).alias(str(i)) for i, c in enumerate(group)]
+        ).first()
+        for i, c in enumerate(group):
+            n = facts[c].present
+            if row[i] is not None and not math.isnan(row[i]):
+                found[c] = row[i] * math.sqrt(n * (n - 1)) / (n - 2)
+    return found
+
+
 def exact_quantiles(
     df: DataFrame,
     wanted: Mapping[str, Sequence[float]],
@@ -118,17 +130,14 @@ def exact_quantiles(
     rank, a count places the bracket exactly, and the bracket is narrowed until the
     levels inside it fit one buffer.
     """
-    result: dict[str, dict[float, float | None]] = {c: {} for c in wanted}
-    few, many = [], []
-    for column, probabilities in wanted.items():
-        if not probabilities:
-            continue
-        if facts[column].present == 0:
-            result[column] = {p: None for p in probabilities}
-        elif facts[column].levels <= max_levels:
-            few.append(column)
-        else:
-            many.append(column)
+    result: dict[str, dict[float, float | None]] = {
+        c: dict.fromkeys(probabilities) for c, probabilities in wanted.items()
+    }
+    filled = [c for c, probabilities in wanted.items() if probabilities and facts[c].present]
+    long = [c for c in filled if facts[c].present > max_levels]
+    levels = approximate_levels(df, long)
+    many = [c for c in long if levels[c] > max_levels]
+    few = [c for c in filled if c not in many]
     for group in cols.batches(few, cols.EXPRESSIONS_PER_JOB // 4):
         row = df.agg(
             *[
@@ -157,61 +166,103 @@ def exact_quantiles(
     return result
 
 
+@dataclass(frozen=True)
+class _Bracket:
+    """Bounds that hold a wanted rank, the rows below them and the rows inside."""
+
+    low: float | None
+    high: float | None
+    below: int
+    inside: int
+
+
 def _order_statistics(
     df: DataFrame, targets: list[tuple[str, int]], sizes: Mapping[str, int], max_levels: int
 ) -> dict[tuple[str, int], float]:
-    """Values at 0-based ranks, by exact counting inside narrowing brackets."""
+    """Values at 0-based ranks of a column, by exact counting inside narrowing brackets.
+
+    Every round is two aggregates over all targets: approximate bounds, then exact
+    counts.  A round shrinks a bracket by about ``BRACKET_ACCURACY / 4``.
+    """
     found: dict[tuple[str, int], float] = {}
-    # bracket: low, high, rows below it, rows inside it (None bounds: whole column)
-    state = {t: (None, None, 0, sizes[t[0]]) for t in targets}
-    margin = {t: 2.0 / BRACKET_ACCURACY for t in targets}
+    final: dict[tuple[str, int], _Bracket] = {}
+    state = {t: _Bracket(None, None, 0, sizes[t[0]]) for t in targets}
+    margin = dict.fromkeys(targets, 2.0 / BRACKET_ACCURACY)
     while state:
-        active = list(state)
-        row = df.agg(
-            *[
-                F.percentile_approx(
-                    _inside(df, t[0], *state[t][:2]),
-                    F.array(*map(F.lit, _fractions(t[1], state[t], margin[t]))),
-                    BRACKET_ACCURACY,
-                ).alias(str(i))
-                for i, t in enumerate(active)
-            ]
-        ).first()
-        narrowed = {t: (float(row[i][0]), float(row[i][1])) for i, t in enumerate(active)}
-        checks = []
-        for i, t in enumerate(active):
-            low, high = narrowed[t]
-            value = cols.as_double(df, t[0])
-            inside = _inside(df, t[0], low, high)
-            checks += [
-                F.count(F.when(value < low, 1)).alias(f"{i}_below"),
-                F.count(inside).alias(f"{i}_inside"),
-                F.approx_count_distinct(inside).alias(f"{i}_levels"),
-            ]
-        row = df.agg(*checks).first()
-        for i, t in enumerate(active):
-            below, inside, levels = (row[f"{i}_{k}"] for k in ("below", "inside", "levels"))
+        bounds = _approximate_bounds(df, state, margin)
+        counts = _count_brackets(df, bounds)
+        crowded = {t: b for t, b in bounds.items() if counts[t][1] > max_levels and b[0] < b[1]}
+        levels = _count_levels(df, crowded)
+        for t, (low, high) in bounds.items():
+            below, inside = counts[t]
             if not below <= t[1] < below + inside:
                 margin[t] *= 4
-                continue
-            low, high = narrowed[t]
-            if low == high:
+            elif low == high:
                 found[t] = low
                 del state[t]
-            elif levels <= max_levels:
-                found[t] = _pick(df, t[0], low, high, t[1] - below)
+            elif inside <= max_levels or levels[t] <= max_levels:
+                final[t] = _Bracket(low, high, below, inside)
                 del state[t]
             else:
-                if state[t][:2] == (low, high):
+                if (state[t].low, state[t].high) == (low, high):
                     margin[t] /= 2
-                state[t] = (low, high, below, inside)
-    return found
+                state[t] = _Bracket(low, high, below, inside)
+    return found | _pick(df, final)
 
 
-def _fractions(rank: int, bracket: tuple, margin: float) -> list[float]:
-    _, _, below, inside = bracket
-    position = (rank - below) / inside
-    return [max(0.0, position - margin), min(1.0, position + 1.0 / inside + margin)]
+def _approximate_bounds(
+    df: DataFrame, state: Mapping[tuple[str, int], _Bracket], margin: Mapping[tuple[str, int], float]
+) -> dict[tuple[str, int], tuple[float, float]]:
+    """Bounds around each rank; targets that share a bracket share one sketch."""
+    shared: dict[tuple, list[tuple[str, int]]] = {}
+    for t, b in state.items():
+        shared.setdefault((t[0], b), []).append(t)
+    wanted = []
+    for i, ((name, b), members) in enumerate(shared.items()):
+        shares = []
+        for t in members:
+            position = (t[1] - b.below) / b.inside
+            shares += [
+                max(0.0, position - margin[t]), min(1.0, position + 1.0 / b.inside + margin[t])
+            ]
+        value = _inside(df, name, b.low, b.high)
+        wanted.append(F.percentile_approx(value, shares, BRACKET_ACCURACY).alias(str(i)))
+    row = df.agg(*wanted).first()
+    return {
+        t: (row[i][2 * j], row[i][2 * j + 1])
+        for i, members in enumerate(shared.values())
+        for j, t in enumerate(members)
+    }
+
+
+def _count_brackets(
+    df: DataFrame, bounds: Mapping[tuple[str, int], tuple[float, float]]
+) -> dict[tuple[str, int], tuple[int, int]]:
+    """Exact (rows below, rows inside) of each bracket."""
+    wanted = []
+    for i, (t, (low, high)) in enumerate(bounds.items()):
+        value = cols.as_double(df, t[0])
+        wanted += [
+            F.count(F.when(value < low, 1)).alias(f"{i}_below"),
+            F.count(F.when(value.between(low, high), 1)).alias(f"{i}_inside"),
+        ]
+    row = df.agg(*wanted).first()
+    return {t: (row[f"{i}_below"], row[f"{i}_inside"]) for i, t in enumerate(bounds)}
+
+
+def _count_levels(
+    df: DataFrame, bounds: Mapping[tuple[str, int], tuple[float, float]]
+) -> dict[tuple[str, int], int]:
+    """Approximate distinct values inside each bracket."""
+    if not bounds:
+        return {}
+    row = df.agg(
+        *[
+            F.approx_count_distinct(_inside(df, t[0], low, high)).alias(str(i))
+            for i, (t, (low, high)) in enumerate(bounds.items())
+        ]
+    ).first()
+    return {t: row[i] for i, t in enumerate(bounds)}
 
 
 def _inside(df: DataFrame, name: str, low: float | None, high: float | None):
@@ -219,17 +270,31 @@ def _inside(df: DataFrame, name: str, low: float | None, high: float | None):
     return value if low is None else F.when(value.between(low, high), value)
 
 
-def _pick(df: DataFrame, name: str, low: float, high: float, rank: int) -> float:
-    """The value at ``rank`` among the few levels between two bounds."""
-    value = cols.as_double(df, name)
+def _pick(df: DataFrame, brackets: Mapping[tuple[str, int], _Bracket]) -> dict[tuple[str, int], float]:
+    """The values at the wanted ranks, from the few levels inside their brackets."""
+    if not brackets:
+        return {}
+    cells = F.array(
+        *[
+            F.struct(F.lit(i).alias("target"), _inside(df, t[0], b.low, b.high).alias("value"))
+            for i, (t, b) in enumerate(brackets.items())
+        ]
+    )
     counted = (
-        df.where(value.between(low, high)).groupBy(value.alias("value")).count().orderBy("value")
+        df.select(F.inline(F.filter(cells, lambda c: c["value"].isNotNull())))
+        .groupBy("target", "value")
+        .count()
+        .collect()
     )
-    for level in counted.collect():
-        rank -= level["count"]
-        if rank < 0:
-            return level["value"]
-    raise AssertionError("rank outside its bracket")
+    found = {}
+    for i, (t, b) in enumerate(brackets.items()):
+        rank = t[1] - b.below
+        for value, count in sorted((r["value"], r["count"]) for r in counted if r["target"] == i):
+            rank -= count
+            if rank < 0:
+                found[t] = value
+                break
+    return found
 
 
 def medians(

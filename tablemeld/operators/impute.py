@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tablemeld import columns as cols
 from tablemeld.functions.fixed_values import STRATEGY_LABELS
 from tablemeld.operators import levels as lv
-from tablemeld.operators.facts import ColumnFacts, fit_facts, medians
+from tablemeld.operators.facts import ColumnFacts, fit_facts, fit_skewness, medians
 
 KEEP, DROP_COLUMN, REMOVE_ROWS = "Keep missing", "Drop column", "Remove rows"
 
@@ -78,7 +78,7 @@ def fit_typed(df: DataFrame, facts: Mapping[str, ColumnFacts] | None = None) ->
     """
     facts = facts or fit_facts(df)
     gaps = _missing(facts)
-    skewed = [c for c in gaps if facts[c].numeric and abs(facts[c].sample_skew) > 1]
+    skewed = [c for c, skew in fit_skewness(df, facts, gaps).items() if abs(skew) > 1]
     middle = medians(df, facts, skewed) if skewed else {}
     common = lv.modes(df, [c for c in gaps if not facts[c].numeric])
     fills = {}

@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tablemeld import columns as cols
 from tablemeld.functions.fixed_values import OUTLIER_STD, SCALE_BANDS
 from tablemeld.operators import levels as lv
-from tablemeld.operators.facts import ColumnFacts, exact_quantiles, fit_facts, medians
+from tablemeld.functions.values import lookup
+from tablemeld.operators.facts import (
+    ColumnFacts, approximate_levels, exact_quantiles, fit_facts, medians,
+)
 
 #: Share of distinct values below which a text column counts as categorical.
 CATEGORICAL_SHARE = 0.05
@@ -20,7 +23,7 @@ GENERATED_CATEGORICAL_SHARE = 0.10
 _FACTS_SCHEMA = (
     "ord int, column string, data_type string, kind string, total_count bigint, "
     "non_null_count bigint, null_count bigint, mean double, std double, min double, max double, "
-    "median double, avg_length double, max_length int, min_length int, approx_unique bigint"
+    "median double, avg_length double, max_length int, min_length int"
 )
 
 
@@ -35,7 +38,7 @@ def facts_table(
         (
             i, f.column, cols.type_of(df, f.column).simpleString(), f.kind, f.rows, f.present,
             f.missing, f.mean, f.std, f.low, f.high, median.get(f.column), f.avg_length,
-            f.max_length, f.min_length, f.levels,
+            f.max_length, f.min_length,
         )
         for i, f in enumerate(facts.values())
     ]
@@ -57,6 +60,7 @@ def column_statistics(
     approx: bool = False,
     facts: Mapping[str, ColumnFacts] | None = None,
     categorical_share: float = CATEGORICAL_SHARE,
+    quantiles: Mapping[str, Mapping[float, float]] | None = None,
 ) -> DataFrame:
     """One row per column: counts, missingness, distinct values, moments, text lengths.
 
@@ -64,14 +68,16 @@ def column_statistics(
     """
     facts = facts or fit_facts(df)
     if approx:
+        unique = approximate_levels(df, facts)
         table = facts_table(df, facts, _approx_medians(df, facts)).withColumn(
-            "unique_count", F.col("approx_unique")
+            "unique_count", lookup(F.col("column"), {c: str(n) for c, n in unique.items()}).cast("bigint")
         )
     else:
         unique = lv.level_counts(df, list(facts)).groupBy("column").agg(
             F.count(F.lit(1)).alias("unique_count")
         )
-        table = facts_table(df, facts, medians(df, facts)).join(unique, "column", "left").withColumn(
+        middle = {c: q[0.5] for c, q in quantiles.items()} if quantiles else medians(df, facts)
+        table = facts_table(df, facts, middle).join(unique, "column", "left").withColumn(
             "unique_count", F.coalesce("unique_count", F.lit(0))
         )
     return table.select(
@@ -98,6 +104,13 @@ def column_statistics(
     )
 
 
+def fit_quartiles(
+    df: DataFrame, facts: Mapping[str, ColumnFacts]
+) -> dict[str, dict[float, float | None]]:
+    """Exact quartiles of every numeric column, fitted together."""
+    return exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c, f in facts.items() if f.numeric}, facts)
+
+
 def _approx_medians(df: DataFrame, facts: Mapping[str, ColumnFacts]) -> dict[str, float | None]:
     names = [c for c, f in facts.items() if f.numeric]
     found: dict[str, float | None] = {}

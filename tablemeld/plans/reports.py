@@ -40,9 +40,10 @@ def structural_validation(
 def quality_analysis(df: DataFrame, rule_texts: Sequence[str] = ()) -> dict[str, DataFrame]:
     """Statistics, issues and score of a table."""
     facts = fit_facts(df)
-    statistics = pr.column_statistics(df, facts=facts)
+    quantiles = pr.fit_quartiles(df, facts)
+    statistics = pr.column_statistics(df, facts=facts, quantiles=quantiles)
     extra = business_issues(df, rule_texts) if rule_texts else None
-    issues = ql.detect_issues(df, statistics, facts, extra)
+    issues = ql.detect_issues(df, statistics, facts, extra, quantiles)
     return {"statistics": statistics} | ql.quality_report(statistics, issues)
 
 
