@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -104,11 +104,9 @@ def as_double(df: DataFrame, name: str) -> Column:
     return ref(name).cast("double")
 
 
-def to_long(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """One (column, value) row per non-null cell, values as text."""
-    if not names:
-        return df.sparkSession.createDataFrame([], "column string, value string")
-    wide = df.select(*[as_text(df, c).alias(c) for c in names])
+def to_long(df: DataFrame, names: Sequence[str], value: Callable[[DataFrame, str], Column]) -> DataFrame:
+    """One (column, value) row per non-null cell; all values must have one type."""
+    wide = df.select(*[value(df, c).alias(c) for c in names])
     return wide.unpivot([], [ref(c) for c in names], "column", "value").where(
         F.col("value").isNotNull()
     )

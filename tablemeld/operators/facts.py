@@ -125,8 +125,8 @@ def exact_quantiles(
 ) -> dict[str, dict[float, float | None]]:
     """Exact, linearly interpolated quantiles.
 
-    Columns with few levels use the built-in ``percentile`` (its buffer holds one
-    entry per level).  For the others an approximate quantile brackets the wanted
+    Columns with few levels are counted by value and weighted by the built-in
+    ``percentile`` (its buffer holds one entry per level).  For the others an approximate quantile brackets the wanted
     rank, a count places the bracket exactly, and the bracket is narrowed until the
     levels inside it fit one buffer.
     """
@@ -138,17 +138,15 @@ def exact_quantiles(
     levels = approximate_levels(df, long)
     many = [c for c in long if levels[c] > max_levels]
     few = [c for c in filled if c not in many]
-    for group in cols.batches(few, cols.EXPRESSIONS_PER_JOB // 4):
-        row = df.agg(
-            *[
-                F.percentile(cols.as_double(df, c), F.array(*map(F.lit, map(float, wanted[c])))).alias(
-                    str(i)
-                )
-                for i, c in enumerate(group)
-            ]
-        ).first()
-        for i, c in enumerate(group):
-            result[c] = dict(zip(wanted[c], row[i]))
+    if few:
+        shares = sorted({float(p) for c in few for p in wanted[c]})
+        counted = cols.to_long(df, few, cols.as_double).groupBy("column", "value").agg(
+            F.count(F.lit(1)).alias("count")
+        )
+        quantiles = F.percentile("value", F.array(*map(F.lit, shares)), F.col("count"))
+        for row in counted.groupBy("column").agg(quantiles.alias("quantiles")).collect():
+            at = dict(zip(shares, row["quantiles"]))
+            result[row["column"]] = {p: at[float(p)] for p in wanted[row["column"]]}
     if many:
         ranks = {}
         for c in many:

@@ -10,15 +10,40 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tablemeld import columns as cols
 
 
 def level_counts(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
-    """(column, value, count) of every distinct non-null value, values as text."""
+    """(column, value, count) of every distinct non-null value, values as text.
+
+    Whole numbers and doubles are counted as they are, and become text afterwards:
+    eight-byte keys hash and shuffle faster than their text.
+    """
     names = list(df.columns if names is None else names)
-    return cols.to_long(df, names).groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
+    whole = [c for c in names if isinstance(cols.type_of(df, c), cols.INTEGRAL)]
+    real = [c for c in names if isinstance(cols.type_of(df, c), (T.FloatType, T.DoubleType))]
+    other = [c for c in names if c not in whole and c not in real]
+    parts = [
+        count_values(df, group, value).withColumn("value", F.col("value").cast("string"))
+        for group, value in (
+            (whole, lambda d, c: cols.ref(c).cast("bigint")),
+            (real, cols.as_double),
+            (other, cols.as_text),
+        )
+        if group
+    ]
+    if not parts:
+        return df.sparkSession.createDataFrame([], "column string, value string, count bigint")
+    return cols.union_by_name(parts)
+
+
+def count_values(df: DataFrame, names: Sequence[str], value) -> DataFrame:
+    """(column, value, count) with the values in the type that ``value`` gives them."""
+    return cols.to_long(df, names, value).groupBy("column", "value").agg(
+        F.count(F.lit(1)).alias("count")
+    )
 
 
 def _numeric_order():

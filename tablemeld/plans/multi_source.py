@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, functions as F
 
-from tablemeld.columns import union_by_name
+from tablemeld.columns import is_numeric, union_by_name
 from tablemeld.functions.fixed_values import MARKET_COLUMNS, RECORD_ID_COLUMNS
 from tablemeld.functions.values import merge_value_maps
 from tablemeld.operators import (
@@ -15,11 +15,16 @@ from tablemeld.operators import (
     validate as va,
 )
 from tablemeld.plans import reports as rp
+from tablemeld.plans.results import Results
 from tablemeld.sources.metadata import MasterSchema, value_map_table
 from tablemeld.sources.tables import combine
 from tablemeld.storage import materialize
 
 
+#: Tables that a run adds to what was learned.
+LEARNED = ("datasets", "schema_diffs", "learned_mappings", "level_suggestions")
+
+
 @dataclass(frozen=True)
 class Settings:
     confidence_threshold: float = 0.85
@@ -35,12 +40,13 @@ class Settings:
 
 @dataclass(frozen=True)
 class SourceResult:
+    """One harmonized source; its tables are built on access."""
+
+    raw: DataFrame
     harmonized: DataFrame
     mappings: DataFrame
-    flags: DataFrame
     imputation: DataFrame
-    profile: Mapping[str, DataFrame] = field(default_factory=dict)
-    learned: Mapping[str, DataFrame] = field(default_factory=dict)
+    tables: Mapping[str, DataFrame]
 
 
 def harmonize_source(
@@ -52,41 +58,43 @@ def harmonize_source(
     settings: Settings,
 ) -> SourceResult:
     """Profile, match, harmonize, impute and flag one source."""
-    spark = df.sparkSession
     mappings = ma.match_columns(ma.column_table(df), schema)
     plan = rp.fit_harmonization(
         df, ma.mapping_pairs(mappings), schema, value_maps, settings.scale_bounds
     )
     imputed, summary = im.impute_typed(rp.apply_harmonization(df, plan), name)
     harmonized = materialize(imputed, f"harmonized-{name}")
-    record_id = va.record_id_column(harmonized)
-    flags = va.missing_flags(harmonized, name).unionByName(
-        va.apply_rules(harmonized, rules, name, record_id)
-    )
-    if record_id is not None:
-        flags = flags.unionByName(
+
+    def flags() -> DataFrame:
+        record_id = va.record_id_column(harmonized)
+        found = va.missing_flags(harmonized, name).unionByName(
+            va.apply_rules(harmonized, rules, name, record_id)
+        )
+        if record_id is None:
+            return found
+        return found.unionByName(
             va.row_missing_flags(harmonized, name, record_id, settings.row_flag_limit)
         )
-    levels = lv.top_values(lv.level_counts(df, _textual(df)), settings.max_levels)
-    return SourceResult(
-        harmonized,
-        mappings,
-        flags,
-        summary,
-        {"columns": pr.source_schema(df), "levels": levels, "missing_by_row": pr.missing_histogram(df)},
+
+    def levels() -> DataFrame:
+        textual = [f.name for f in df.schema.fields if not is_numeric(f.dataType)]
+        return lv.top_values(lv.level_counts(df, textual), settings.max_levels)
+
+    tables = Results(
         {
-            "datasets": me.dataset_row(df, name),
-            "schema_diffs": ma.schema_difference(ma.column_table(df), schema, name),
-            "learned_mappings": me.mapping_rows(mappings, name, settings.confidence_threshold),
-            "level_suggestions": me.level_suggestions(
-                levels, value_map_table(spark, value_maps), name
+            "flags": flags,
+            "profile_columns": lambda: pr.source_schema(df),
+            "profile_levels": levels,
+            "profile_missing_by_row": lambda: pr.missing_histogram(df),
+            "datasets": lambda: me.dataset_row(df, name),
+            "schema_diffs": lambda: ma.schema_difference(ma.column_table(df), schema, name),
+            "learned_mappings": lambda: me.mapping_rows(mappings, name, settings.confidence_threshold),
+            "level_suggestions": lambda: me.level_suggestions(
+                levels(), value_map_table(df.sparkSession, value_maps), name
             ),
-        },
+        }
     )
-
-
-def _textual(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if not ma.cols.is_numeric(f.dataType)]
+    return SourceResult(df, harmonized, mappings, summary, tables)
 
 
 def run(
@@ -96,7 +104,7 @@ def run(
     rules: Sequence[va.Rule] = (),
     baseline: DataFrame | None = None,
     settings: Settings = Settings(),
-) -> dict[str, DataFrame]:
+) -> Results:
     """All result tables of a multi-source run.
 
     ``sources`` may hold ``historical``, ``current`` and ``incremental``; the
@@ -107,57 +115,64 @@ def run(
         name: harmonize_source(df, name, schema, maps, rules, settings) for name, df in sources.items()
     }
     frames = {name: r.harmonized for name, r in done.items()}
-    result: dict[str, DataFrame] = {}
-    if "historical" in frames and "current" in frames:
+    builders: dict[str, Callable[[], DataFrame]] = {}
+    paired = "historical" in frames and "current" in frames
+    if paired:
         historical, current = frames["historical"], frames["current"]
         groups = settings.group_columns
         if groups is None:
             groups = ca.calibration_groups(historical, current)
         keys = [c.name for c in schema.columns if c.is_key] + list(RECORD_ID_COLUMNS)
-        historical, result["calibration_report"] = ca.calibrate(historical, current, groups, keys)
-        frames["historical"] = historical
-        result["cross_dataset"] = ma.match_datasets(
-            historical, current, threshold=settings.confidence_threshold
+        fit = ca.fit_calibration(historical, current, groups, exclude=keys)
+        fit = replace(fit, moments=materialize(fit.moments, "moments"))
+        frames["historical"] = ca.apply_calibration(historical, fit)
+        builders["calibration_report"] = lambda: ca.calibration_report(fit)
+        builders["cross_dataset"] = lambda: ma.match_datasets(
+            frames["historical"], current, threshold=settings.confidence_threshold
         )
-        markets = ca.market_comparison(historical, current, MARKET_COLUMNS)
-        if markets is not None:
-            result["market_comparison"] = markets
-    statistics = union_by_name([pr.descriptive_stats(df, name) for name, df in frames.items()])
-    if baseline is not None:
-        statistics = statistics.unionByName(
-            baseline.withColumn("dataset", F.lit("baseline")), allowMissingColumns=True
-        )
-    result["descriptive_stats"] = statistics.orderBy("dataset", "ord").limit(
-        settings.max_statistics_rows
-    )
-    result["combined"] = combine(frames)
-    result["flags"] = union_by_name([r.flags for r in done.values()])
-    result["imputation"] = union_by_name([r.imputation for r in done.values()])
-    for table in ("datasets", "schema_diffs", "learned_mappings", "level_suggestions"):
-        result[table] = union_by_name([r.learned[table] for r in done.values()])
-    result["column_mappings"] = union_by_name(
-        [
+        if ca.market_comparison(frames["historical"], current, MARKET_COLUMNS) is not None:
+            builders["market_comparison"] = lambda: ca.market_comparison(
+                frames["historical"], current, MARKET_COLUMNS
+            )
+
+    def statistics() -> DataFrame:
+        found = union_by_name([pr.descriptive_stats(df, name) for name, df in frames.items()])
+        if baseline is not None:
+            labelled = baseline.withColumn("dataset", F.lit("baseline"))
+            found = found.unionByName(labelled, allowMissingColumns=True)
+        return found.orderBy("dataset", "ord").limit(settings.max_statistics_rows)
+
+    def column_mappings() -> DataFrame:
+        found = [
             me.mapping_rows(r.mappings, name, settings.confidence_threshold)
             .drop("dataset")
             .withColumn("table_name", F.lit(f"{name}_to_master"))
             for name, r in done.items()
         ]
-        + (
-            [
-                result["cross_dataset"]
+        if paired:
+            found.append(
+                results["cross_dataset"]
                 .select("source_column", "target_column", "confidence", "status")
                 .withColumn("table_name", F.lit("historical_to_current"))
-            ]
-            if "cross_dataset" in result
-            else []
-        )
-    )
+            )
+        return union_by_name(found)
+
+    builders |= {
+        "combined": lambda: combine(frames),
+        "descriptive_stats": statistics,
+        "column_mappings": column_mappings,
+        "imputation": lambda: union_by_name([r.imputation for r in done.values()]),
+    }
+    for table in ("flags", *LEARNED):
+        builders[table] = lambda t=table: union_by_name([r.tables[t] for r in done.values()])
     for name, r in done.items():
-        result |= {f"profile_{name}_{k}": t for k, t in r.profile.items()}
-    return result
+        for table in ("profile_columns", "profile_levels", "profile_missing_by_row"):
+            builders[f"{name}_{table}"] = lambda r=r, t=table: r.tables[t]
+    results = Results(builders)
+    return results
 
 
 def remember(result: Mapping[str, DataFrame], folder: str) -> None:
     """Append what a run learned to the learned tables."""
-    for table in ("datasets", "schema_diffs", "learned_mappings", "level_suggestions", "column_mappings"):
+    for table in (*LEARNED, "column_mappings"):
         me.append(result[table], folder, table)
