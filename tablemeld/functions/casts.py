@@ -9,12 +9,12 @@ from pyspark.sql import Column, functions as F
 
 from tablemeld.functions.fixed_values import DATE_PATTERNS
 
-#: Patterns of values that carry a time, tried after the fixed ones.
-TIME_PATTERNS = ("yyyy-M-d'T'H:m:s", "yyyy/M/d", "d MMM yyyy", "MMM d, yyyy")
+#: Further patterns, tried after the fixed ones.
+FURTHER_PATTERNS = ("yyyy-M-d'T'H:m:s", "yyyy M d", "yyyy/M/d", "d MMM yyyy", "MMM d, yyyy")
 
 #: Month-first before day-first, for values that both could read.
 AUTO_PATTERNS = (
-    "yyyy-M-d", "yyyy-M-d H:m:s", "M/d/yyyy", "d/M/yyyy", "d-M-yyyy", "yyyyMMdd", *TIME_PATTERNS,
+    "yyyy-M-d", "yyyy-M-d H:m:s", "M/d/yyyy", "d/M/yyyy", "d-M-yyyy", "yyyyMMdd", *FURTHER_PATTERNS,
 )
 
 
