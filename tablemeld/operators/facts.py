@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from tablemeld import columns as cols
 
 #: Distinct values up to which one aggregation buffer may hold a whole value -> count map.
-MAX_LEVELS = 50_000
+MAX_LEVELS = 200_000
 #: Accuracy of the approximate quantiles that bracket an exact one.
 BRACKET_ACCURACY = 2_000
 

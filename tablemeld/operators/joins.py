@@ -9,6 +9,7 @@ from operator import or_
 from pyspark.sql import DataFrame, functions as F
 
 from tablemeld.columns import ref
+from tablemeld.storage import materialize
 
 #: Rows up to which a lookup table is broadcast.
 BROADCAST_ROWS = 200_000
@@ -41,6 +42,9 @@ def lookup_join(
     order = [ref(c) for c in (*rows.columns, *added)]
     if fits_broadcast(table, max_rows):
         return rows.join(F.broadcast(table), keys, "left").select(*order)
+    if weight is not None:
+        # read several times below; also keeps the choice of heaviest keys stable
+        table = materialize(table, "lookup")
     no_key = reduce(or_, [ref(k).isNull() for k in keys])
     unmatched = rows.where(no_key).withColumns(
         {c: F.lit(None).cast(table.schema[c].dataType) for c in added}
@@ -53,3 +57,16 @@ def lookup_join(
         keyed = keyed.join(hot.select(*map(ref, keys)), keys, "left_anti")
     parts.append(keyed.join(table, keys, "left"))
     return reduce(DataFrame.unionByName, [p.select(*order) for p in parts])
+
+
+def weighted_lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``lookup_join`` to a table that does not know how heavy its keys are.
+
+    Rows are counted per key (hot keys collapse before the shuffle) only when the
+    table is too large to broadcast; keys that no row has are left out on the way.
+    """
+    if fits_broadcast(table):
+        return lookup_join(rows, table, keys)
+    counted = rows.groupBy(*map(ref, keys)).agg(F.count(F.lit(1)).alias("__weight"))
+    found = counted.join(table, list(keys))
+    return lookup_join(rows, found, keys, weight="__weight").drop("__weight")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tablemeld import columns as cols
 from tablemeld.functions import casts, fixed_values as fv, names, scales, text, values
 from tablemeld.operators.facts import ColumnFacts, exact_quantiles, fit_facts
-from tablemeld.operators.joins import fits_broadcast
+from tablemeld.operators.joins import weighted_lookup
 from tablemeld.operators.ranks import with_percentile_rank
 
 # --- value maps -----------------------------------------------------------------
@@ -20,13 +20,12 @@ from tablemeld.operators.ranks import with_percentile_rank
 def map_values(df: DataFrame, column: str, mapping: DataFrame, default: str | None = None) -> DataFrame:
     """Map a column by a (raw, canonical) table; unknown values pass through.
 
-    The map is deduplicated by raw value and broadcast only when its size allows.
+    The map is deduplicated by raw value and broadcast only when its size allows;
+    beyond it the heaviest values are still looked up without a shuffle.
     """
     table = mapping.groupBy(F.col("raw").alias("__raw")).agg(F.min("canonical").alias("__canonical"))
-    if fits_broadcast(table):
-        table = F.broadcast(table)
     key = cols.ref(column).cast("string")
-    joined = df.join(table, key == F.col("__raw"), "left")
+    joined = weighted_lookup(df.withColumn("__raw", key), table, ["__raw"])
     fallback = key if default is None else F.lit(default)
     mapped = F.when(key.isNotNull(), F.coalesce("__canonical", fallback)).alias(column)
     return joined.select(*[mapped if c == column else cols.ref(c) for c in df.columns])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tablemeld import columns as cols
 from tablemeld.functions import casts
 from tablemeld.functions.fixed_values import RECORD_ID_COLUMNS
-from tablemeld.operators.joins import fits_broadcast
+from tablemeld.operators.joins import weighted_lookup
 
 FLAG_SCHEMA = "dataset string, record_id string, column string, issue_type string, details string"
 
@@ -113,7 +113,7 @@ def record_flags(
 
 
 def _outside_list(df: DataFrame, rule: Rule, dataset: str, record_id: str | None) -> DataFrame:
-    """Membership in a long list, as an anti join."""
+    """Membership in a long list, as a lookup."""
     allowed = df.sparkSession.createDataFrame(
         [(v,) for v in set(rule.allowed_values)], "__value string"
     )
@@ -124,22 +124,18 @@ def members_outside(
     df: DataFrame, column: str, allowed: DataFrame, dataset: str, record_id: str | None = None
 ) -> DataFrame:
     """Flags of the values that a one-column table of allowed values does not hold."""
-    allowed = allowed.toDF("__value").distinct()
-    if fits_broadcast(allowed):
-        allowed = F.broadcast(allowed)
-    text = cols.as_text(df, column)
+    allowed = allowed.toDF("__text").distinct()
     details = F.concat(F.lit("Value "), F.col("__text"), F.lit(" not in allowed list"))
-    return (
-        df.where(cols.ref(column).isNotNull())
-        .select(_record_id(df, record_id).alias("record_id"), text.alias("__text"))
-        .join(allowed, F.col("__text") == F.col("__value"), "left_anti")
-        .select(
-            F.lit(dataset).alias("dataset"),
-            "record_id",
-            F.lit(column).alias("column"),
-            F.lit("invalid_value").alias("issue_type"),
-            details.alias("details"),
-        )
+    rows = df.where(cols.ref(column).isNotNull()).select(
+        _record_id(df, record_id).alias("record_id"), cols.as_text(df, column).alias("__text")
+    )
+    marked = weighted_lookup(rows, allowed.withColumn("__allowed", F.lit(True)), ["__text"])
+    return marked.where(F.col("__allowed").isNull()).select(
+        F.lit(dataset).alias("dataset"),
+        "record_id",
+        F.lit(column).alias("column"),
+        F.lit("invalid_value").alias("issue_type"),
+        details.alias("details"),
     )
 
 

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablemeld.columns import nan_to_null, union_by_name
+from tablemeld.columns import nan_to_null, ref, union_by_name
 from tablemeld.sources.metadata import path_exists
 
 FORMATS = {"csv": "csv", "json": "json", "parquet": "parquet", "orc": "orc"}
@@ -120,6 +120,15 @@ def combine(frames: dict[str, DataFrame]) -> DataFrame:
     return union_by_name(list(frames.values()))
 
 
+def _csv_columns(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:
+    """Rows in the column order of an existing CSV output, which cannot gain columns."""
+    order = spark.read.option("header", True).csv(path).columns
+    new = [c for c in rows.columns if c not in order]
+    if new:
+        raise ValueError(f"a CSV output cannot gain columns {new}: combine into Parquet")
+    return rows.select(*[ref(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in order])
+
+
 def write_combined(
     spark: SparkSession, frames: dict[str, DataFrame], path: str, incremental_only: bool = False
 ) -> str:
@@ -130,7 +139,8 @@ def write_combined(
     """
     if incremental_only and path_exists(spark, path):
         if "incremental" in frames:
-            write_table(frames["incremental"], path, format_of(path, "parquet"), "append")
+            rows, kind = frames["incremental"], format_of(path, "parquet")
+            write_table(_csv_columns(spark, rows, path) if kind == "csv" else rows, path, kind, "append")
         return path
     return write_table(combine(frames), path, format_of(path, "parquet"))
 

@@ -159,6 +159,12 @@ def test_combined_output_appends(spark, tmp_path):
     assert rows == [(1, "a", None), (2, None, 0.5)]
     st.write_combined(spark, more, path)
     assert st.read_combined(spark, path).count() == 2
+    text = str(tmp_path / "all.csv")
+    st.write_combined(spark, first, text)
+    st.write_combined(spark, {"incremental": spark.createDataFrame([("b",)], "v string")}, text, incremental_only=True)
+    assert sorted(map(tuple, st.read_table(spark, text).data.collect()), key=str) == [(1, "a"), (None, "b")]
+    with pytest.raises(ValueError):
+        st.write_combined(spark, more, text, incremental_only=True)
 
 
 def test_generated_metadata_is_written(spark, tmp_path, answers):
