@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablemeld.llm import urls
+from tablemeld.llm import quality, secrets, urls
 from tablemeld.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,30 @@ def url_filters(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     judged = urls.filter_urls(table(spark, folder, "pages").select("page_id", "url"), rules)
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+# --- 9: secret scans ---------------------------------------------------------------
+
+
+@query("op9_secret_scans")
+def secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    scanned = secrets.scan_secrets(table(spark, folder, "documents").select("doc_id", "text"))
+    kinds = [r.kind for r in secrets.BASE]
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("secrets", lambda s: s["kind"].isin(kinds))
+    return scanned.select(
+        "doc_id",
+        *[F.size(F.filter(F.transform("secrets", lambda s: s["kind"]), F.lit(k).__eq__)).cast("long").alias(f"n_{k}") for k in kinds],
+        F.sha2(listed(base), 256).alias("base_sha256"),
+        listed(F.col("secrets")).alias("spans"),
+    )
+
+
+# --- 10: quality rules -------------------------------------------------------------
+
+
+@query("op10_quality_rules")
+def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    judged = quality.quality_rules(documents, table(spark, folder, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
