@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablemeld.llm import mixing, quality, secrets, urls
+from tablemeld.llm import bpe, mixing, quality, secrets, urls
 from tablemeld.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +89,16 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def source_mix(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+# --- 4: byte-level BPE ---------------------------------------------------------------
+
+
+def bpe_vocabulary(spark: SparkSession, path: str | None = None):
+    path = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.vocabulary(spark.sparkContext, Path(path).read_bytes(), public_tokenizers.PATTERN)
+
+
+@query("op4_bpe_encode")
+def bpe_encode(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encode_digest(table(spark, folder, "documents").select("doc_id", "text"), bpe_vocabulary(spark))
