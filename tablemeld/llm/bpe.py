@@ -22,6 +22,7 @@ import xxhash
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, functions as F
 
+from tablemeld.llm.common import importable
 from tablemeld.llm.pieces import REMEMBERED, PieceCache
 
 #: Keys for each bucket on average.
@@ -229,6 +230,7 @@ def _apply(documents: DataFrame, shared, text: str, made: dict[str, str], of_pie
                 rows = cache.results([t or "" for t in part.column(len(kept)).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), *of_rows(rows)], names=names)
 
+    importable(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -244,4 +246,5 @@ def decode(tokens: DataFrame, shared, ids: str = "ids", data: str = "data") -> D
             found = pa.array([v.decode(x or []) for x in b.column(len(kept)).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), found], names=[*kept, data])
 
+    importable(df.sparkSession)
     return df.mapInArrow(run, schema)

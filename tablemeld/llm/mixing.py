@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tablemeld.llm.common import WORD, free_name, materialize
+from tablemeld.llm.common import WORD, free_name, importable, materialize
 
 #: Documents in a bucket of the first level on average; residuals that meet in the next ones.
 BUCKET, FAN_IN = 4096, 1024
@@ -124,6 +124,7 @@ def mix(documents: DataFrame, key: str = "doc_id", text: str = "text", source: s
     apart.  ``row_hash`` (of key, source and text) tells rows with the same key apart; rows
     equal in it are interchangeable.
     """
+    importable(documents.sparkSession)
     named = documents.select(
         F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`").cast("string")).alias("size"),
         _row_hash(key, source, text).alias("row_hash"),

@@ -8,7 +8,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablemeld.llm import bpe, mixing, quality, secrets, urls
+from tablemeld.llm import bpe, mixing, quality, secrets, simhash, urls
 from tablemeld.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,12 @@ def bpe_vocabulary(spark: SparkSession, path: str | None = None):
 @query("op4_bpe_encode")
 def bpe_encode(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_digest(table(spark, folder, "documents").select("doc_id", "text"), bpe_vocabulary(spark))
+
+
+# --- 6: SimHash near-duplicates ------------------------------------------------------
+
+
+@query("op6_simhash_neardup")
+def simhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.cluster(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
