@@ -37,12 +37,12 @@ def cut(text: str) -> list[str]:
 class PieceCache:
     """Results of ``encode`` (a list of texts to a list of results) for pieces led by a space."""
 
-    def __init__(self, encode: Callable[[list[str]], list]):
-        self.encode, self.known, self.old = encode, {}, {}
+    def __init__(self, encode: Callable[[list[str]], list], remembered: int = REMEMBERED):
+        self.encode, self.remembered, self.known, self.old = encode, remembered, {}, {}
 
     def results(self, texts: list[str]) -> list[list]:
         """The results of every text's pieces, in order."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.known, self.old = {}, self.known
         firsts, rests, rows, missing, new = [], [], [], [], {}
         known, old = self.known, self.old

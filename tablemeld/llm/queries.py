@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablemeld.llm import bpe, mixing, quality, secrets, simhash, urls
+from tablemeld.llm import bpe, mixing, quality, secrets, simhash, tokens, urls
 from tablemeld.llm.common import table
+from tablemeld.storage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -111,3 +113,14 @@ def bpe_encode(spark: SparkSession, folder: str) -> DataFrame:
 def simhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.cluster(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# --- 7: token-id files ----------------------------------------------------------------
+
+
+@query("op7_token_files")
+def token_files(spark: SparkSession, folder: str) -> DataFrame:
+    definition = Path(public_tokenizers.path("byte_bpe_50k.json")).read_text(encoding="utf-8")
+    target = f"{shared_folder(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    tokens.write_tokens(table(spark, folder, "documents").select("doc_id", "text"), tokens.tokenizer(spark.sparkContext, definition), target)
+    return tokens.read_digest(spark, target)
