@@ -9,7 +9,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablemeld.llm import bpe, mixing, quality, secrets, simhash, tokens, urls
+from tablemeld.llm import bpe, mixing, quality, search, secrets, simhash, tokens, urls
 from tablemeld.llm.common import table
 from tablemeld.storage import shared_folder
 
@@ -124,3 +124,24 @@ def token_files(spark: SparkSession, folder: str) -> DataFrame:
     target = f"{shared_folder(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     tokens.write_tokens(table(spark, folder, "documents").select("doc_id", "text"), tokens.tokenizer(spark.sparkContext, definition), target)
     return tokens.read_digest(spark, target)
+
+
+# --- 3: exact top-k search -------------------------------------------------------------
+
+SEARCH_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@query("op3_maxscore_topk", SEARCH_SQL)
+def maxscore_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return search.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
