@@ -9,7 +9,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablemeld.llm import bpe, mixing, quality, search, secrets, simhash, tokens, urls
+from tablemeld.llm import bpe, mixing, quality, search, secrets, simhash, substrings, tokens, urls
 from tablemeld.llm.common import table
 from tablemeld.storage import shared_folder
 
@@ -145,3 +145,28 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 @query("op3_maxscore_topk", SEARCH_SQL)
 def maxscore_topk(spark: SparkSession, folder: str) -> DataFrame:
     return search.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+# --- 2: substring deduplication -----------------------------------------------------------
+
+SUBSTRING_SQL = r"""
+WITH split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+windows AS (
+  SELECT doc_id, unnest(range(1, len(words) - 18)) AS pos, words FROM split WHERE len(words) >= 20),
+hashed AS (SELECT doc_id, pos, sha256(array_to_string(words[pos:pos + 19], ' ')) AS w FROM windows),
+placed AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) AS place FROM hashed),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS i FROM placed WHERE place > 1),
+listed AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT split.doc_id, len(words) AS n_words, coalesce(len(gone), 0) AS n_removed,
+         array_to_string(list_filter(words, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' ') AS kept
+  FROM split LEFT JOIN listed ON split.doc_id = listed.doc_id)
+SELECT doc_id, n_words, n_removed, sha256(kept) AS kept_sha256 FROM kept
+"""
+
+
+@query("op2_substring_dedup", SUBSTRING_SQL)
+def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = substrings.remove_copies(table(spark, folder, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
