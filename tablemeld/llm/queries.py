@@ -9,7 +9,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablemeld.llm import bpe, mixing, quality, search, secrets, simhash, substrings, tokens, urls
+from tablemeld.llm import bpe, licenses, mixing, quality, search, secrets, simhash, substrings, tokens, urls
 from tablemeld.llm.common import table
 from tablemeld.storage import shared_folder
 
@@ -170,3 +170,37 @@ SELECT doc_id, n_words, n_removed, sha256(kept) AS kept_sha256 FROM kept
 def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = substrings.remove_copies(table(spark, folder, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+# --- 1: license scans ----------------------------------------------------------------------
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_TEMPLATE_ROWS = ", ".join(f"({_quoted(name)}, [{', '.join(map(_quoted, licenses.template_bigrams(body)))}])" for name, body in licenses.TEMPLATES)
+
+LICENSE_SQL = f"""
+WITH templates(license, pairs) AS (VALUES {_TEMPLATE_ROWS}),
+paragraphs AS (SELECT doc_id, text, regexp_split_to_array(coalesce(text, ''), '\\n[\\x20\\x09-\\x0D]*\\n') AS parts FROM documents),
+units AS (
+  SELECT doc_id, 'line' AS unit, generate_subscripts(lines, 1) - 1 AS place, unnest(lines) AS body
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)
+  UNION ALL SELECT * FROM (SELECT doc_id, 'paragraph', generate_subscripts(parts, 1) - 1, unnest(parts) AS body FROM paragraphs) WHERE contains(body, chr(10))
+  UNION ALL SELECT doc_id, 'document', 0, text FROM paragraphs WHERE len(parts) > 1),
+worded AS (
+  SELECT doc_id, unit, place, regexp_extract_all(translate(body, '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.WORDS}') AS words FROM units),
+paired AS (
+  SELECT doc_id, unit, place, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS pairs FROM worded WHERE len(words) > 1),
+scored AS (
+  SELECT doc_id, unit, place, license, 2.0::DOUBLE * len(list_intersect(p.pairs, t.pairs)) / (len(p.pairs) + len(t.pairs)) AS dice
+  FROM paired p JOIN templates t ON len(p.pairs) BETWEEN len(t.pairs) * {licenses.THRESHOLD} / (2 - {licenses.THRESHOLD}) AND len(t.pairs) * (2 - {licenses.THRESHOLD}) / {licenses.THRESHOLD}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, unit, place ORDER BY dice DESC, license) AS best FROM scored WHERE dice >= {licenses.THRESHOLD})
+SELECT doc_id, unit, place::INTEGER AS place, license, dice FROM ranked WHERE best = 1
+"""
+
+
+@query("op1_license_scan", LICENSE_SQL)
+def license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, folder, "documents").select("doc_id", "text"))
