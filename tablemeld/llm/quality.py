@@ -25,6 +25,8 @@ SYMBOLS = "#*$%&|<>"
 GRID = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 #: Features as shares of words (or of lines); larger is worse.
 FEATURES = ("symbol_share", "shout_share", "upper_share", "dup_line_share", "repeat_share")
+#: What is counted in a text.
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_shouts", "n_upper", "n_lines", "n_dup_lines", "n_repeat_words")
 #: A cutoff must reject at least this share of the low-quality holdouts for each unit of good ones rejected.
 PRICE = 10.0
 #: Terms of the lower binomial tail that are added one by one; the rest is bounded from above.
@@ -76,7 +78,9 @@ def text_measures(documents: DataFrame, text: str, keep: list[str]) -> DataFrame
         lambda s, i: F.struct(i.alias("at"), (s["n"] + F.least(F.lit(3), i - s["at"])).alias("n")),
         lambda s: s["n"],
     )
-    return df.withColumn("n_repeat_words", covered).drop("_placed", "_repeats")
+    counts = [F.col(c) for c in MEASURES[:-1]] + [covered.alias("n_repeat_words")]
+    # inlined as one element: the optimizer does not count a text again wherever a count is used
+    return df.select(*keep, F.inline(F.array(F.struct(*counts))))
 
 
 def base_failed() -> Column:
