@@ -71,7 +71,8 @@ def pivot(p: np.ndarray, a: np.ndarray, draws: np.ndarray, last: bool) -> tuple[
     """Round open probabilities ``p`` of documents with sizes ``a`` pair by pair.
 
     Returns 0/1 for all but the open one, whose place is returned too (-1: none) and whose
-    probability stays in the result; with ``last`` it is rounded by its own draw.
+    probability stays in the result; with ``last`` it is rounded by the last draw.  ``draws`` has
+    one more than there are documents.
     """
     p, tiny, held = p.astype(float), 1e-12, -1
     for j in range(len(p)):
@@ -92,7 +93,7 @@ def pivot(p: np.ndarray, a: np.ndarray, draws: np.ndarray, last: bool) -> tuple[
         elif not 0 < x < 1:
             held = -1
     if held >= 0 and last:
-        p[held], held = float(draws[held] < p[held]), -1
+        p[held], held = float(draws[-1] < p[held]), -1
     return p, held
 
 
@@ -104,7 +105,7 @@ def _rounder(seed: int, level: int, last: bool):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         # large documents first, so that a small one stays open; rows equal in all of this are interchangeable
         group = group.sort_values(["size", "order", "p"], ascending=[False, True, True], kind="stable", ignore_index=True)
-        draws = _draws(len(group), seed, level, int(group.source_no[0]), int(group.bucket[0]))
+        draws = _draws(len(group) + 1, seed, level, int(group.source_no[0]), int(group.bucket[0]))
         p, held = pivot(group.p.to_numpy(), group["size"].to_numpy(), draws, last)
         group["p"], group["open"] = p, np.arange(len(group)) == held
         return group

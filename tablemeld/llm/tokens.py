@@ -29,7 +29,7 @@ from tablemeld.llm.pieces import PieceCache
 
 BLOCK, PERCENTILE, PAGE = 256, 90, 1 << 18
 #: Pieces that a worker remembers here: the library is slow for short texts.
-REMEMBERED = 700_000
+REMEMBERED = 450_000
 _HEAD = struct.Struct("<HIBH")
 PAGES = "shard int, page int, first long, doc_ids array<bigint>, lengths array<bigint>, n_ids long, payload binary, block_starts array<int>"
 
