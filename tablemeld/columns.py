@@ -82,6 +82,8 @@ def present(candidates: Sequence[str], *frames: DataFrame) -> list[str]:
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Treat floating-point NaN as a missing value."""
+    if not any(isinstance(f.dataType, (T.FloatType, T.DoubleType)) for f in df.schema.fields):
+        return df
     return df.select(
         *[
             F.when(~F.isnan(ref(f.name)), ref(f.name)).alias(f.name)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -72,10 +74,14 @@ def _types_differ(before: DataFrame, after: DataFrame, names: Sequence[str]) ->
 def compare_tables(
     before: DataFrame, after: DataFrame, keys: Sequence[str], as_text: bool | None = None
 ) -> DataFrame:
-    """Changed values per common column (nulls equal), among keys both sides hold once.
+    """Changed values per common column (nulls equal), among rows whose key both sides hold.
 
-    ``as_text`` compares values as text; by default only where the types differ.
+    A key that a side holds several times has no row-to-row order: its values are compared
+    as counted sets, so that as many rows are compared as the shorter side has, and those
+    without an equal value on the other side are changed.  ``as_text`` compares values as
+    text; by default only where the types differ.
     """
+    before, after = cols.nan_to_null(before), cols.nan_to_null(after)
     names = common_columns(before, after, keys)
     if as_text is None:
         as_text = _types_differ(before, after, names)
@@ -85,18 +91,48 @@ def compare_tables(
         c: F.count(F.when(paired & ~F.col(f"`{i}_b`").eqNullSafe(F.col(f"`{i}_a`")), 1))
         for i, c in enumerate(names)
     }
-    pairs = F.count(F.when(paired, 1))
-    return cols.rows_from_aggregate(
-        aligned, [(c, {"compared": pairs, "values_changed": n}) for c, n in changed.items()]
-    ).select(
+    several = (F.col("rows_before") >= 1) & (F.col("rows_after") >= 1) & ~paired
+    compared = F.coalesce(F.sum(F.when(several | paired, F.least("rows_before", "rows_after"))), F.lit(0))
+    repeated = F.coalesce(F.sum(F.when(several, F.least("rows_before", "rows_after"))), F.lit(0))
+    counts = cols.rows_from_aggregate(
+        aligned,
+        [(c, {"compared": compared, "repeated": repeated, "changed": n}) for c, n in changed.items()],
+    )
+    equal = _equal_values(before, after, keys, names, aligned.where(several).select(*map(cols.ref, keys)))
+    number = F.create_map(*[F.lit(x) for i, c in enumerate(names) for x in (c, i)])
+    counts = counts.withColumn("number", number[F.col("column")])
+    values_changed = F.col("changed") + F.col("repeated") - F.coalesce("equal", F.lit(0))
+    return counts.join(equal, "number", "left").select(
         "column",
-        "values_changed",
+        values_changed.alias("values_changed"),
         F.coalesce(
-            F.round(F.col("values_changed") / F.nullif(F.col("compared"), F.lit(0)) * 100, 2), F.lit(0.0)
+            F.round(values_changed / F.nullif(F.col("compared"), F.lit(0)) * 100, 2), F.lit(0.0)
         ).alias("change_pct"),
     )
 
 
+def _equal_values(
+    before: DataFrame, after: DataFrame, keys: Sequence[str], names: Sequence[str], repeated: DataFrame
+) -> DataFrame:
+    """(number, equal): values of each column that repeated keys hold on both sides, counted.
+
+    Null keys group with null keys, as in ``align``.
+    """
+    renamed = repeated.select(*[cols.ref(k).alias(f"__{i}") for i, k in enumerate(keys)])
+
+    def side(df: DataFrame, is_before: bool) -> DataFrame:
+        same = [cols.ref(k).eqNullSafe(F.col(f"__{i}")) for i, k in enumerate(keys)]
+        rows = df.join(renamed, reduce(and_, same), "left_semi")
+        cells = F.array(*[F.struct(F.lit(i).alias("number"), cols.as_text(df, c).alias("value")) for i, c in enumerate(names)])
+        return rows.select(*map(cols.ref, keys), F.inline(cells)).withColumn("__b", F.lit(int(is_before)))
+
+    both = side(before, True).unionByName(side(after, False))
+    counted = both.groupBy(*map(cols.ref, keys), "number", "value").agg(
+        F.count_if(F.col("__b") == 1).alias("b"), F.count_if(F.col("__b") == 0).alias("a")
+    )
+    return counted.groupBy("number").agg(F.sum(F.least("a", "b")).alias("equal"))
+
+
 def compare_summary(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row: rows of both sides, keys added, removed, repeated, and column counts."""
     aligned = align(before, after, keys, [], False)

@@ -7,10 +7,11 @@ literals of later plans.
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tablemeld import columns as cols
 
@@ -18,6 +19,8 @@ from tablemeld import columns as cols
 MAX_LEVELS = 200_000
 #: Accuracy of the approximate quantiles that bracket an exact one.
 BRACKET_ACCURACY = 2_000
+#: Sketches in one aggregation buffer.
+SKETCHES_PER_JOB = 50
 
 
 @dataclass(frozen=True)
@@ -49,6 +52,7 @@ class ColumnFacts:
 
 def fit_facts(df: DataFrame, names: Iterable[str] | None = None) -> dict[str, ColumnFacts]:
     """Counts, moments and text lengths in one scan, all inside generated code."""
+    df = cols.nan_to_null(df)
     names = list(df.columns if names is None else names)
     facts: dict[str, ColumnFacts] = {}
     for group in cols.batches(names, cols.EXPRESSIONS_PER_JOB // 8):
@@ -93,7 +97,7 @@ def _fact_expressions(df: DataFrame, name: str) -> dict:
 
 def approximate_levels(df: DataFrame, names: Iterable[str]) -> dict[str, int]:
     """Distinct values per column from fixed-size sketches."""
-    found: dict[str, int] = {}
+    df, found = cols.nan_to_null(df), {}
     for group in cols.batches(list(names), cols.EXPRESSIONS_PER_JOB):
         row = df.agg(
             *[F.approx_count_distinct(cols.ref(c)).alias(str(i)) for i, c in enumerate(group)]
@@ -104,6 +108,7 @@ def approximate_levels(df: DataFrame, names: Iterable[str]) -> dict[str, int]:
 
 def fit_skewness(df: DataFrame, facts: Mapping[str, ColumnFacts], names: Iterable[str]) -> dict[str, float]:
     """Bias-corrected skewness; 0 where fewer than three values exist or none differ."""
+    df = cols.nan_to_null(df)
     names = [c for c in names if facts[c].numeric and facts[c].present >= 3]
     found = dict.fromkeys(names, 0.0)
     for group in cols.batches(names, cols.EXPRESSIONS_PER_JOB):
@@ -130,6 +135,7 @@ def exact_quantiles(
     rank, a count places the bracket exactly, and the bracket is narrowed until the
     levels inside it fit one buffer.
     """
+    df = cols.nan_to_null(df)
     result: dict[str, dict[float, float | None]] = {
         c: dict.fromkeys(probabilities) for c, probabilities in wanted.items()
     }
@@ -168,10 +174,12 @@ def exact_quantiles(
 class _Bracket:
     """Bounds that hold a wanted rank, the rows below them and the rows inside."""
 
-    low: float | None
-    high: float | None
+    low: float
+    high: float
     below: int
     inside: int
+    #: The last round cut less than half of the rows: the next one halves the range of numbers.
+    stalled: bool = False
 
 
 def _order_statistics(
@@ -179,119 +187,134 @@ def _order_statistics(
 ) -> dict[tuple[str, int], float]:
     """Values at 0-based ranks of a column, by exact counting inside narrowing brackets.
 
-    Every round is two aggregates over all targets: approximate bounds, then exact
-    counts.  A round shrinks a bracket by about ``BRACKET_ACCURACY / 4``.
+    A round is an aggregate of approximate bounds and one of exact counts, for a bounded
+    number of targets at a time.  A rank outside of the bounds leaves the rest of the
+    bracket, so every round narrows it.  In a bracket of at most ``BRACKET_ACCURACY`` rows
+    the sketch is exact, and a bracket that keeps most of its rows is halved by its numbers.
     """
     found: dict[tuple[str, int], float] = {}
     final: dict[tuple[str, int], _Bracket] = {}
-    state = {t: _Bracket(None, None, 0, sizes[t[0]]) for t in targets}
-    margin = dict.fromkeys(targets, 2.0 / BRACKET_ACCURACY)
+    state = {t: _Bracket(-math.inf, math.inf, 0, sizes[t[0]]) for t in targets}
     while state:
-        bounds = _approximate_bounds(df, state, margin)
+        bounds = _bounds(df, state)
         counts = _count_brackets(df, bounds)
-        crowded = {t: b for t, b in bounds.items() if counts[t][1] > max_levels and b[0] < b[1]}
-        levels = _count_levels(df, crowded)
         for t, (low, high) in bounds.items():
-            below, inside = counts[t]
-            if not below <= t[1] < below + inside:
-                margin[t] *= 4
-            elif low == high:
-                found[t] = low
-                del state[t]
-            elif inside <= max_levels or levels[t] <= max_levels:
-                final[t] = _Bracket(low, high, below, inside)
-                del state[t]
+            old, (below, inside) = state[t], counts[t]
+            if t[1] < below:
+                new = _Bracket(old.low, math.nextafter(low, -math.inf), old.below, below - old.below)
+            elif t[1] >= below + inside:
+                up = below + inside
+                new = _Bracket(math.nextafter(high, math.inf), old.high, up, old.below + old.inside - up)
             else:
-                if (state[t].low, state[t].high) == (low, high):
-                    margin[t] /= 2
-                state[t] = _Bracket(low, high, below, inside)
+                new = _Bracket(low, high, below, inside)
+            state[t] = replace(new, stalled=2 * new.inside > old.inside)
+        crowded = {t: (b.low, b.high) for t, b in state.items() if b.inside > max_levels and b.low < b.high}
+        levels = _count_levels(df, crowded)
+        for t, b in list(state.items()):
+            if b.low == b.high:
+                found[t] = b.low
+                del state[t]
+            elif b.inside <= max_levels or levels[t] <= max_levels:
+                final[t] = state.pop(t)
     return found | _pick(df, final)
 
 
-def _approximate_bounds(
-    df: DataFrame, state: Mapping[tuple[str, int], _Bracket], margin: Mapping[tuple[str, int], float]
+def _ordered(x: float) -> int:
+    """Doubles as integers in the same order."""
+    bits = struct.unpack("<q", struct.pack("<d", x))[0]
+    return bits if bits >= 0 else -(bits & 0x7FFFFFFFFFFFFFFF)
+
+
+def _from_ordered(n: int) -> float:
+    return struct.unpack("<d", struct.pack("<q", n if n >= 0 else -n - (1 << 63)))[0]
+
+
+def _bounds(
+    df: DataFrame, state: Mapping[tuple[str, int], _Bracket]
 ) -> dict[tuple[str, int], tuple[float, float]]:
-    """Bounds around each rank; targets that share a bracket share one sketch."""
-    shared: dict[tuple, list[tuple[str, int]]] = {}
+    """Bounds around each rank inside its bracket; targets that share a bracket share one sketch."""
+    found, shared = {}, {}
     for t, b in state.items():
-        shared.setdefault((t[0], b), []).append(t)
-    wanted = []
-    for i, ((name, b), members) in enumerate(shared.items()):
-        shares = []
-        for t in members:
-            position = (t[1] - b.below) / b.inside
-            shares += [
-                max(0.0, position - margin[t]), min(1.0, position + 1.0 / b.inside + margin[t])
-            ]
-        value = _inside(df, name, b.low, b.high)
-        wanted.append(F.percentile_approx(value, shares, BRACKET_ACCURACY).alias(str(i)))
-    row = df.agg(*wanted).first()
-    return {
-        t: (row[i][2 * j], row[i][2 * j + 1])
-        for i, members in enumerate(shared.values())
-        for j, t in enumerate(members)
-    }
+        if b.stalled and b.inside > BRACKET_ACCURACY:
+            found[t] = (b.low, _from_ordered((_ordered(b.low) + _ordered(b.high)) // 2))
+        else:
+            shared.setdefault((t[0], b), []).append(t)
+    for group in cols.batches(list(shared.items()), SKETCHES_PER_JOB):
+        wanted = []
+        for i, ((name, b), members) in enumerate(group):
+            margin = 0.0 if b.inside <= BRACKET_ACCURACY else 2.0 / BRACKET_ACCURACY
+            shares = []
+            for t in members:
+                position = (t[1] - b.below + 0.5) / b.inside
+                shares += [max(0.0, position - margin), min(1.0, position + margin)]
+            value = _inside(df, name, b.low, b.high)
+            wanted.append(F.percentile_approx(value, shares, BRACKET_ACCURACY).alias(str(i)))
+        row = df.agg(*wanted).first()
+        for i, (_, members) in enumerate(group):
+            found |= {t: (row[i][2 * j], row[i][2 * j + 1]) for j, t in enumerate(members)}
+    return found
 
 
 def _count_brackets(
     df: DataFrame, bounds: Mapping[tuple[str, int], tuple[float, float]]
 ) -> dict[tuple[str, int], tuple[int, int]]:
     """Exact (rows below, rows inside) of each bracket."""
-    wanted = []
-    for i, (t, (low, high)) in enumerate(bounds.items()):
-        value = cols.as_double(df, t[0])
-        wanted += [
-            F.count(F.when(value < low, 1)).alias(f"{i}_below"),
-            F.count(F.when(value.between(low, high), 1)).alias(f"{i}_inside"),
-        ]
-    row = df.agg(*wanted).first()
-    return {t: (row[f"{i}_below"], row[f"{i}_inside"]) for i, t in enumerate(bounds)}
+    found = {}
+    for group in cols.batches(list(bounds.items()), cols.EXPRESSIONS_PER_JOB // 2):
+        wanted = []
+        for i, (t, (low, high)) in enumerate(group):
+            value = cols.as_double(df, t[0])
+            wanted += [
+                F.count(F.when(value < low, 1)).alias(f"{i}_below"),
+                F.count(F.when(value.between(low, high), 1)).alias(f"{i}_inside"),
+            ]
+        row = df.agg(*wanted).first()
+        found |= {t: (row[f"{i}_below"], row[f"{i}_inside"]) for i, (t, _) in enumerate(group)}
+    return found
 
 
 def _count_levels(
     df: DataFrame, bounds: Mapping[tuple[str, int], tuple[float, float]]
 ) -> dict[tuple[str, int], int]:
     """Approximate distinct values inside each bracket."""
-    if not bounds:
-        return {}
-    row = df.agg(
-        *[
-            F.approx_count_distinct(_inside(df, t[0], low, high)).alias(str(i))
-            for i, (t, (low, high)) in enumerate(bounds.items())
-        ]
-    ).first()
-    return {t: row[i] for i, t in enumerate(bounds)}
-
-
-def _inside(df: DataFrame, name: str, low: float | None, high: float | None):
+    found = {}
+    for group in cols.batches(list(bounds.items()), SKETCHES_PER_JOB):
+        row = df.agg(
+            *[
+                F.approx_count_distinct(_inside(df, t[0], low, high)).alias(str(i))
+                for i, (t, (low, high)) in enumerate(group)
+            ]
+        ).first()
+        found |= {t: row[i] for i, (t, _) in enumerate(group)}
+    return found
+
+
+def _inside(df: DataFrame, name: str, low: float, high: float):
     value = cols.as_double(df, name)
-    return value if low is None else F.when(value.between(low, high), value)
+    return F.when(value.between(low, high), value)
 
 
 def _pick(df: DataFrame, brackets: Mapping[tuple[str, int], _Bracket]) -> dict[tuple[str, int], float]:
-    """The values at the wanted ranks, from the few levels inside their brackets."""
-    if not brackets:
-        return {}
-    cells = F.array(
-        *[
-            F.struct(F.lit(i).alias("target"), _inside(df, t[0], b.low, b.high).alias("value"))
-            for i, (t, b) in enumerate(brackets.items())
-        ]
-    )
-    counted = (
-        df.select(F.inline(F.filter(cells, lambda c: c["value"].isNotNull())))
-        .groupBy("target", "value")
-        .count()
-        .collect()
-    )
+    """The values at the wanted ranks, by running sums over the few levels inside their brackets."""
     found = {}
-    for i, (t, b) in enumerate(brackets.items()):
-        rank = t[1] - b.below
-        for value, count in sorted((r["value"], r["count"]) for r in counted if r["target"] == i):
-            rank -= count
-            if rank < 0:
-                found[t] = value
-                break
+    for group in cols.batches(list(brackets.items()), SKETCHES_PER_JOB):
+        cells = F.array(
+            *[
+                F.struct(
+                    F.lit(i).alias("target"), F.lit(t[1] - b.below).alias("rank"),
+                    _inside(df, t[0], b.low, b.high).alias("value"),
+                )
+                for i, (t, b) in enumerate(group)
+            ]
+        )
+        levels = (
+            df.select(F.inline(F.filter(cells, lambda c: c["value"].isNotNull())))
+            .groupBy("target", "rank", "value").agg(F.count(F.lit(1)).alias("rows"))
+        )
+        upto = Window.partitionBy("target").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        picked = levels.withColumn("upto", F.sum("rows").over(upto)).where("upto > rank")
+        for row in picked.groupBy("target").agg(F.min("value").alias("value")).collect():
+            found[group[row["target"]][0]] = row["value"]
     return found
 
 

@@ -21,6 +21,7 @@ def level_counts(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame
     Whole numbers and doubles are counted as they are, and become text afterwards:
     eight-byte keys hash and shuffle faster than their text.
     """
+    df = cols.nan_to_null(df)
     names = list(df.columns if names is None else names)
     whole = [c for c in names if isinstance(cols.type_of(df, c), cols.INTEGRAL)]
     real = [c for c in names if isinstance(cols.type_of(df, c), (T.FloatType, T.DoubleType))]
@@ -71,14 +72,11 @@ def modes(df: DataFrame, names: Sequence[str]) -> dict[str, str | None]:
     return {c: found.get(c) for c in names}
 
 
-def top_values(levels: DataFrame, k: int = 10) -> DataFrame:
-    """(column, rank, value, count): the k most frequent values of every column."""
+def top_values(levels: DataFrame, k: int | None = 10) -> DataFrame:
+    """(column, rank, value, count): the k most frequent values of every column, or all."""
     order = Window.partitionBy("column").orderBy(F.desc("count"), F.asc("value"))
-    return (
-        levels.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select("column", "rank", "value", "count")
-    )
+    ranked = levels.withColumn("rank", F.row_number().over(order)).select("column", "rank", "value", "count")
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 def sample_values(levels: DataFrame, k: int = 5) -> DataFrame:

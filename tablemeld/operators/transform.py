@@ -194,14 +194,35 @@ def fit_dates(df: DataFrame, names_: Sequence[str] | None = None, share: float =
 
 
 def standardize_dates(df: DataFrame, patterns: Mapping[str, str]) -> DataFrame:
-    """Fitted date columns as ``yyyy-MM-dd`` text; temporal date-like columns too."""
-    change = {c: casts.format_date(cols.ref(c), p) for c, p in patterns.items()}
+    """Fitted date columns as ``yyyy-MM-dd`` text; temporal date-like columns too.
+
+    A value that the fitted pattern cannot read is read by the first other pattern that can.
+    """
+    change = {c: _by_patterns(cols.ref(c), p) for c, p in patterns.items()}
     for c in cols.columns_like(df, fv.DATE_WORDS):
         if isinstance(cols.type_of(df, c), cols.TEMPORAL):
             change[c] = casts.format_date(cols.ref(c), temporal=True)
     return df.withColumns(change) if change else df
 
 
+def _by_patterns(column: Column, pattern: str) -> Column:
+    others = [p for p in casts.AUTO_PATTERNS if p != pattern]
+    return F.coalesce(casts.format_date(column, pattern), F.date_format(casts.parse_timestamp(column, None, others), "yyyy-MM-dd"))
+
+
+def date_losses(df: DataFrame, patterns: Mapping[str, str]) -> DataFrame:
+    """(column, present, by_fitted, by_other, lost) of the fitted date columns."""
+    def counts(c: str, p: str) -> dict[str, Column]:
+        column, main = cols.ref(c), casts.parse_timestamp(cols.ref(c), p)
+        read = _by_patterns(column, p)
+        return {
+            "present": F.count(column), "by_fitted": F.count(main),
+            "by_other": F.count(F.when(main.isNull(), read)), "lost": F.count(F.when(read.isNull(), column)),
+        }
+
+    return cols.rows_from_aggregate(df, [(c, counts(c, p)) for c, p in patterns.items()])
+
+
 def repair_separators(df: DataFrame, names_: Iterable[str] | None = None) -> DataFrame:
     """``' > '`` back to ``'-'`` in date-like text columns."""
     chosen = cols.columns_like(df, fv.DATE_WORDS) if names_ is None else names_

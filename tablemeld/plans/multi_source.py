@@ -35,7 +35,7 @@ class Settings:
     #: Keep only the first row-missing flags per data set.
     row_flag_limit: int | None = None
     max_levels: int = 20
-    max_statistics_rows: int = 1000
+    max_statistics_rows: int | None = None
 
 
 @dataclass(frozen=True)
@@ -76,8 +76,9 @@ def harmonize_source(
             va.row_missing_flags(harmonized, name, record_id, settings.row_flag_limit)
         )
 
+    textual = [f.name for f in df.schema.fields if not is_numeric(f.dataType)]
+
     def levels() -> DataFrame:
-        textual = [f.name for f in df.schema.fields if not is_numeric(f.dataType)]
         return lv.top_values(lv.level_counts(df, textual), settings.max_levels)
 
     tables = Results(
@@ -90,7 +91,7 @@ def harmonize_source(
             "schema_diffs": lambda: ma.schema_difference(ma.column_table(df), schema, name),
             "learned_mappings": lambda: me.mapping_rows(mappings, name, settings.confidence_threshold),
             "level_suggestions": lambda: me.level_suggestions(
-                levels(), value_map_table(df.sparkSession, value_maps), name
+                lv.level_counts(df, textual), value_map_table(df.sparkSession, value_maps), name
             ),
         }
     )
@@ -140,7 +141,8 @@ def run(
         if baseline is not None:
             labelled = baseline.withColumn("dataset", F.lit("baseline"))
             found = found.unionByName(labelled, allowMissingColumns=True)
-        return found.orderBy("dataset", "ord").limit(settings.max_statistics_rows)
+        found = found.orderBy("dataset", "ord")
+        return found if settings.max_statistics_rows is None else found.limit(settings.max_statistics_rows)
 
     def column_mappings() -> DataFrame:
         found = [

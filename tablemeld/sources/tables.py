@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tablemeld.columns import nan_to_null, ref, union_by_name
 from tablemeld.sources.metadata import path_exists
@@ -61,29 +61,46 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
     return "UTF-8" if broken.isEmpty() else "ISO-8859-1"
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str | None = None, **options) -> Source:
-    """CSV with a header; an empty file gives an empty table."""
+def read_csv(
+    spark: SparkSession, path: str, encoding: str | None = None, schema: T.StructType | str | None = None,
+    lines: bool = False, **options,
+) -> Source:
+    """CSV with a header; an empty file gives an empty table.
+
+    Quoted values may hold line breaks, so a file is one task; ``lines=True`` promises that
+    none does and splits large files.  A ``schema`` saves the pass that infers the types,
+    an ``encoding`` the pass that checks for UTF-8.
+    """
     encoding = encoding or detect_encoding(spark, path)
-    data = spark.read.options(
-        **{"header": True, "inferSchema": True, "encoding": encoding, "escape": '"'} | options
-    ).csv(path)
-    return Source(data, path, "csv", encoding)
+    wanted = {"header": True, "encoding": encoding, "escape": '"', "multiLine": not lines}
+    reader = spark.read.options(**wanted | {"inferSchema": schema is None} | options)
+    return Source((reader if schema is None else reader.schema(schema)).csv(path), path, "csv", encoding)
+
+
+def _is_json_array(spark: SparkSession, path: str) -> bool:
+    """Whether the first text of the first file that has any is an opening bracket."""
+    first = spark.read.text(path).where(F.length(F.trim("value")) > 0).head()
+    return first is not None and first["value"].lstrip().startswith("[")
 
 
-def read_json(spark: SparkSession, path: str, multiline: bool = True, **options) -> Source:
-    """JSON records; ``multiline=False`` reads one record per line and splits large files."""
-    data = spark.read.options(**{"multiLine": multiline} | options).json(path)
-    return Source(data, path, "json")
+def read_json(
+    spark: SparkSession, path: str, multiline: bool | None = None, schema: T.StructType | str | None = None, **options
+) -> Source:
+    """JSON records, one on each line; files of one array (or ``multiline=True``) are read whole."""
+    whole = _is_json_array(spark, path) if multiline is None else multiline
+    reader = spark.read.options(**{"multiLine": whole} | options)
+    return Source((reader if schema is None else reader.schema(schema)).json(path), path, "json")
 
 
-def read_table(spark: SparkSession, path: str, **options) -> Source:
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None, **options) -> Source:
     """A table by file extension."""
     kind = format_of(path)
     if kind == "csv":
-        return read_csv(spark, path, **options)
+        return read_csv(spark, path, schema=schema, **options)
     if kind == "json":
-        return read_json(spark, path, **options)
-    return Source(spark.read.format(kind).options(**options).load(path), path, kind)
+        return read_json(spark, path, schema=schema, **options)
+    reader = spark.read.format(kind).options(**options)
+    return Source((reader if schema is None else reader.schema(schema)).load(path), path, kind)
 
 
 def read_statistics(spark: SparkSession, path: str, dataset: str = "baseline") -> DataFrame:
