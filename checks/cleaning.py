@@ -48,6 +48,18 @@ def impute_skewed(spark, folder):
     return rounded(im.impute_typed(events, "events")[0])
 
 
+NAN_VALUES = SKEWED.replace("NULL", "{nan}")
+
+
+@query(
+    "nan_impute",
+    f"""WITH e AS ({SKEWED.format(events="events")}) SELECT event_id, round(coalesce(value, {typed_sql("value", "e")}), 4) AS value FROM e""",
+)
+def nan_impute(spark, folder):
+    events = spark.sql(NAN_VALUES.replace("{nan}", "double('NaN')"), events=table(spark, folder, "events"))
+    return rounded(im.impute_typed(events, "events")[0])
+
+
 @query(
     "imputation_summary",
     f"""WITH e AS ({SKEWED.format(events="events")}), survey AS ({SURVEY_SQL})

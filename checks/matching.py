@@ -14,7 +14,7 @@ from checks.registry import (
     with_survey,
 )
 from checks.cleaning import mode_sql
-from checks.transforms import HARMONIZED_SQL, OLD_NAMES, SURVEY_MAPS, SURVEY_SCHEMA, vendor_survey
+from checks.transforms import HARMONIZED_SQL, OLD_NAMES, PERCENTILE_SQL, SURVEY_MAPS, SURVEY_SCHEMA, vendor_survey
 from tablemeld.functions import fixed_values as fv
 from tablemeld.operators import (
     calibrate as ca, compare as cp, generate as ge, levels as lv, match as ma, memory as me, profile as pr,
@@ -276,6 +276,29 @@ def compare_tables(spark, folder):
     return cp.compare_tables(*changed_customer(spark, folder), ["c_custkey"])
 
 
+#: Keys that hold many rows; every eleventh order changes its status.
+REPEATED = "SELECT o_custkey, o_orderstatus, o_orderpriority, o_totalprice FROM {orders}"
+REPEATED_AFTER = "SELECT o_custkey, CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority, o_totalprice FROM {orders} WHERE o_orderkey % 13 > 0"
+
+
+def repeated_sql(column: str) -> str:
+    return f"""SELECT '{column}' AS "column", CAST(sum(n) - sum(same) AS BIGINT) AS values_changed, round((sum(n) - sum(same)) / sum(n) * 100, 2) AS change_pct FROM (
+        SELECT b.o_custkey, least(b.n, a.n) AS n, coalesce(same, 0) AS same FROM (SELECT o_custkey, count(*) AS n FROM b GROUP BY 1) b
+        JOIN (SELECT o_custkey, count(*) AS n FROM a GROUP BY 1) a USING (o_custkey)
+        LEFT JOIN (SELECT o_custkey, sum(least(x.n, y.n)) AS same FROM (SELECT o_custkey, {column} AS v, count(*) AS n FROM b GROUP BY 1, 2) x
+          JOIN (SELECT o_custkey, {column} AS v, count(*) AS n FROM a GROUP BY 1, 2) y USING (o_custkey, v) GROUP BY 1) USING (o_custkey))"""
+
+
+@query(
+    "compare_repeated_keys",
+    f"WITH b AS ({REPEATED.format(orders='orders')}), a AS ({REPEATED_AFTER.format(orders='orders')}) "
+    + " UNION ALL ".join(map(repeated_sql, ("o_orderstatus", "o_orderpriority", "o_totalprice"))),
+)
+def compare_repeated_keys(spark, folder):
+    orders = table(spark, folder, "orders")
+    return cp.compare_tables(spark.sql(REPEATED, orders=orders), spark.sql(REPEATED_AFTER, orders=orders), ["o_custkey"])
+
+
 @query(
     "compare_summary",
     f"""WITH c AS ({CUSTOMER_SQL}), a AS ({AFTER_SQL}) SELECT (SELECT count(*) FROM c) AS rows_before, (SELECT count(*) FROM a) AS rows_after,
@@ -332,19 +355,43 @@ def append_incremental(spark, folder):
     return st.read_combined(spark, path)
 
 
-@query("csv_round_trip", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+@query("csv_round_trip", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
 def csv_round_trip(spark, folder):
+    path = scratch(spark, "orders") + ".csv"
+    orders = table(spark, folder, "orders")
+    st.write_table(orders, path)
+    return st.read_table(spark, path, schema=orders.schema, lines=True).data
+
+
+@query("csv_inferred", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+def csv_inferred(spark, folder):
     path = scratch(spark, "orders") + ".csv"
     st.write_table(table(spark, folder, "orders").drop("o_orderdate"), path)
     data = st.read_table(spark, path).data
     return data.withColumns({c: F.col(c).cast("bigint") for c in ("o_orderkey", "o_custkey")})
 
 
+#: Texts with line breaks and quotes; an empty text and a missing one stay apart.
+AWKWARD = """SELECT {id} AS id, CASE WHEN {id} % 7 = 0 THEN NULL WHEN {id} % 7 = 1 THEN '' ELSE {text} || '"' || {text} END AS text FROM {source}"""
+AWKWARD_SQL = AWKWARD.format(id="doc_id", text="text", source="documents") + " UNION ALL " + AWKWARD.format(id="page_id", text="html", source="pages")
+
+
+@query("csv_text_round_trip", AWKWARD_SQL)
+def csv_text_round_trip(spark, folder):
+    rows = spark.sql(
+        AWKWARD.format(id="doc_id", text="text", source="{documents}") + " UNION ALL " + AWKWARD.format(id="page_id", text="html", source="{pages}"),
+        documents=table(spark, folder, "documents"), pages=table(spark, folder, "pages"),
+    )
+    path = scratch(spark, "texts") + ".csv"
+    st.write_table(rows, path)
+    return st.read_table(spark, path, schema=rows.schema).data
+
+
 @query("json_round_trip", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def json_round_trip(spark, folder):
     path = scratch(spark, "documents") + ".json"
     st.write_table(table(spark, folder, "documents"), path)
-    return st.read_json(spark, path, multiline=False).data.select("doc_id", "text", "lang", "source", "n_chars")
+    return st.read_table(spark, path).data.select("doc_id", "text", "lang", "source", "n_chars")
 
 
 @query("source_files", "SELECT 'events.parquet' AS file_name, count(*) AS rows, 6 AS column_count FROM events")
@@ -438,17 +485,19 @@ def latest_override(spark, folder):
     return me.latest(events, ["user_id"], "ts").drop("ts")
 
 
+SURVEY_TEXT = ("survey_date", "country", "region", "age", "gender", "channel", "purchase_intent", "status")
+
+
 @query(
     "level_suggestions",
     with_survey(
         f"""SELECT 'survey' AS dataset, "column", value AS raw_value, trim(value) AS suggested_value, 'review' AS status
-        FROM ({top_sql("survey", ("country", "age", "gender", "channel", "purchase_intent"), 20)}) WHERE ("column", value) NOT IN
+        FROM ({levels_sql("survey", SURVEY_TEXT)}) WHERE ("column", value) NOT IN
         (SELECT ("column", raw) FROM (VALUES {", ".join(f"('{c}', '{k}')" for c, m in SURVEY_MAPS.items() for k in m)}) k("column", raw))"""
     ),
 )
 def level_suggestions(spark, folder):
-    names = ("country", "age", "gender", "channel", "purchase_intent")
-    levels = lv.top_values(lv.level_counts(survey(spark, folder), names), 20)
+    levels = lv.level_counts(survey(spark, folder), SURVEY_TEXT)
     return me.level_suggestions(levels, value_map_table(spark, SURVEY_MAPS), "survey")
 
 
@@ -676,4 +725,30 @@ def incremental_stream(spark, folder):
         [lambda batch: tf.apply_transforms(batch, sources, transforms)],
         f"{out}/data", f"{out}/checkpoint", [va.Rule("value", max=50)], f"{out}/flags", record_id="event_id",
     ).awaitTermination()
-    return rounded(spark.read.parquet(f"{out}/data").drop("batch_id"))
+    return rounded(spark.read.parquet(f"{out}/data").drop("query_id", "batch_id"))
+
+
+def percentile_stream(spark, folder):
+    """The events in three files, one micro-batch each, on a percentile scale with frozen ranks."""
+    events = table(spark, folder, "events").select("event_id", "value")
+    fit = tf.freeze_scales(events, tf.fit_scales(events, {"value": (0.0, 100.0)}))
+    arrived, out = scratch(spark, "arrived"), scratch(spark, "stream")
+    for part in range(3):
+        events.where(F.col("event_id") % 3 == part).coalesce(1).write.mode("append").parquet(arrived)
+    incremental.start(
+        incremental.read_stream(spark, arrived, events.schema, "parquet", max_files=1), [lambda batch: tf.apply_scales(batch, fit)],
+        f"{out}/data", f"{out}/checkpoint", [va.Rule("value", max=50)], f"{out}/flags", record_id="event_id",
+    ).awaitTermination()
+    return out
+
+
+@query("incremental_percentile", f"SELECT event_id, value, (SELECT 3::BIGINT) AS batches FROM ({PERCENTILE_SQL})")
+def incremental_percentile(spark, folder):
+    data = spark.read.parquet(f"{percentile_stream(spark, folder)}/data")
+    batches = data.agg(F.count_distinct("batch_id").alias("batches"))
+    return rounded(data.select("event_id", "value")).join(F.broadcast(batches))
+
+
+@query("incremental_flags", f"""SELECT CAST(event_id AS VARCHAR) AS record_id, 'value' AS "column" FROM ({PERCENTILE_SQL.replace("round(avg_rank / n * 100, 4)", "avg_rank / n * 100")}) WHERE value > 50""")
+def incremental_flags(spark, folder):
+    return spark.read.parquet(f"{percentile_stream(spark, folder)}/flags").select("record_id", "column")

@@ -140,6 +140,22 @@ def missing_sql(source: str, names) -> str:
     )
 
 
+#: Gaps as NaN, which count as missing.
+NAN = "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN {nan} WHEN event_id % 9 = 0 THEN NULL ELSE value END AS value FROM {events}"
+NAN_SQL = NAN.format(nan="NULL", events="events")
+
+
+@query(
+    "nan_statistics",
+    f"""SELECT count(*) - count(value) AS null_count, round(avg(value), 4) AS mean, round(median(value), 4) AS median, round(max(value), 4) AS max_value,
+    count(DISTINCT value) AS unique_count FROM ({NAN_SQL})""",
+)
+def nan_statistics(spark, folder):
+    gaps = spark.sql(NAN.replace("{nan}", "double('NaN')"), events=table(spark, folder, "events"))
+    found = pr.column_statistics(gaps).where("column = 'value'")
+    return rounded(found.select("null_count", "mean", "median", F.col("max").cast("double").alias("max_value"), "unique_count"))
+
+
 @query("missing_by_column", with_survey(missing_sql("survey", SURVEY_NAMES)))
 def missing_by_column(spark, folder):
     return pr.missing_by_column(survey(spark, folder))
@@ -246,7 +262,7 @@ def descriptive_stats_stacked(spark, folder):
     stacked = pr.descriptive_stats(survey(spark, folder), "orders").unionByName(
         pr.descriptive_stats(customer(spark, folder), "customer")
     )
-    return _descriptive(stacked.orderBy("dataset", "ord").limit(1000))
+    return _descriptive(stacked)
 
 
 def distribution_sql(source: str, names, k: int = 5) -> str:

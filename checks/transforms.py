@@ -230,6 +230,35 @@ def date_standardize(spark, folder):
     return tf.standardize_dates(repaired, tf.fit_dates(repaired))
 
 
+MIXED_DATES = """SELECT o_orderkey, CASE WHEN o_orderkey % 8 = 0 THEN 'unknown' WHEN o_orderkey % 5 = 0 THEN {slashed} ELSE {iso} END AS order_date FROM {orders}"""
+MIXED_DATES_SQL = MIXED_DATES.format(slashed="strftime(o_orderdate, '%d-%m-%Y')", iso="strftime(o_orderdate, '%Y-%m-%d')", orders="orders")
+
+
+def mixed_date_rows(spark, folder):
+    text = MIXED_DATES.replace("{slashed}", "date_format(o_orderdate, 'dd-MM-yyyy')").replace("{iso}", "date_format(o_orderdate, 'yyyy-MM-dd')")
+    return spark.sql(text, orders=table(spark, folder, "orders"))
+
+
+@query(
+    "mixed_dates",
+    f"""SELECT o_orderkey, CASE WHEN order_date LIKE '__-__-____' THEN strftime(try_strptime(order_date, '%d-%m-%Y'), '%Y-%m-%d')
+    ELSE strftime(try_strptime(order_date, '%Y-%m-%d'), '%Y-%m-%d') END AS order_date FROM ({MIXED_DATES_SQL})""",
+)
+def mixed_dates(spark, folder):
+    dates = mixed_date_rows(spark, folder)
+    return tf.standardize_dates(dates, tf.fit_dates(dates))
+
+
+@query(
+    "date_losses",
+    f"""SELECT 'order_date' AS "column", count(*) AS present, count(*) FILTER (order_date LIKE '____-__-__') AS by_fitted,
+    count(*) FILTER (order_date LIKE '__-__-____') AS by_other, count(*) FILTER (order_date = 'unknown') AS lost FROM ({MIXED_DATES_SQL})""",
+)
+def date_losses(spark, folder):
+    dates = mixed_date_rows(spark, folder)
+    return tf.date_losses(dates, tf.fit_dates(dates))
+
+
 @query(
     "separator_repair",
     f"""SELECT o_orderkey, replace(order_date, ' > ', '-') AS order_date

@@ -63,14 +63,14 @@ def match_columns(source_columns: DataFrame, schema: MasterSchema) -> DataFrame:
         F.lit(None).cast("string"),
     )
     best = F.coalesce(
-        _candidate(lookup(lower, by_name), 1.0, F.lit("Exact name match")),
-        _candidate(lookup(normal, by_canonical), 0.95, F.lit("Normalized name match")),
-        _candidate(alias, 0.90, F.format_string("Alias match: '%s' is alias for '%s'", source, alias)),
-        _candidate(partial, 0.70, F.format_string("Partial name match: '%s' ~ '%s'", source, partial)),
+        _candidate(lookup(lower, by_name), 1.0, F.lit("same name")),
+        _candidate(lookup(normal, by_canonical), 0.95, F.lit("same name after normalization")),
+        _candidate(alias, 0.90, F.format_string("%s is listed as an alias of %s", source, alias)),
+        _candidate(partial, 0.70, F.format_string("%s and %s share part of the name", source, partial)),
         F.struct(
             F.lit(UNMAPPED).alias("target"),
             F.lit(0.0).alias("confidence"),
-            F.lit("No rule-based match found").alias("reason"),
+            F.lit("no rule applies").alias("reason"),
         ),
     )
     return source_columns.withColumn("__best", best).select(

@@ -8,10 +8,10 @@ rest.  Rows meet their rank through a lookup join.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablemeld.columns import ref
@@ -61,12 +61,25 @@ def _bucket_of(counted: DataFrame, distinct: int, levels_per_task: int) -> Colum
         counted.agg(F.percentile_approx(F.col("value").cast("double"), shares, 10 * MAX_BUCKETS)).first()[0]
     )
 
-    @F.pandas_udf("int")
-    def bucket(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for values in batches:
-            yield pd.Series(np.searchsorted(edges, values.to_numpy(float), side="right"))
+    return _count_at_most(F.col("value").cast("double"), edges.tolist())
 
-    return bucket(F.col("value").cast("double"))
+
+def _count_at_most(value: Column, edges: Sequence[float]) -> Column:
+    """How many of the sorted edges are at most the value, by halving."""
+    if not edges:
+        return F.lit(0)
+    listed = F.array(*map(F.lit, edges))
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(edges)).alias("high"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        up = F.get(listed, middle) <= value
+        return F.when(s["low"] >= s["high"], s).when(
+            up, F.struct((middle + 1).alias("low"), s["high"].alias("high"))
+        ).otherwise(F.struct(s["low"].alias("low"), middle.alias("high")))
+
+    steps = F.sequence(F.lit(1), F.lit(len(edges).bit_length() + 1))
+    return F.aggregate(steps, start, halve, lambda s: s["low"])
 
 
 def with_percentile_rank(df: DataFrame, column: str, name: str = "percentile_rank") -> DataFrame:
@@ -75,3 +88,40 @@ def with_percentile_rank(df: DataFrame, column: str, name: str = "percentile_ran
     return lookup_join(df, ranks, [column], weight="row_count").drop("row_count").withColumnRenamed(
         "percentile_rank", name
     )
+
+
+#: Edges that stand in for values which the fitted table did not have.
+FROZEN_EDGES = 1_000
+
+
+@dataclass(frozen=True)
+class FrozenRanks:
+    """Ranks of a fitted column: every value with its rank, and edges for values it lacked."""
+
+    ranks: DataFrame
+    edges: tuple[float, ...]
+    shares: tuple[float, ...]
+
+
+def freeze_ranks(df: DataFrame, column: str) -> FrozenRanks:
+    """Percentile ranks of a column, written to the shared folder; at most ``FROZEN_EDGES`` edges return."""
+    ranks = materialize(percentile_ranks(df, column), "ranks")
+    group = F.floor(F.col("percentile_rank") * FROZEN_EDGES)
+    # a value's rank plus half of its rows: the share of rows that are not above it
+    sums = ranks.agg(F.sum("row_count").alias("n")).first()["n"] or 1
+    upto = F.col("percentile_rank") + (F.col("row_count") - 1) / 2 / sums
+    rows = ranks.groupBy(group.alias("g")).agg(F.max(ref(column).cast("double")).alias("edge"), F.max(upto).alias("share")).collect()
+    rows = sorted((r["edge"], r["share"]) for r in rows)
+    return FrozenRanks(ranks, tuple(e for e, _ in rows), tuple(s for _, s in rows))
+
+
+def with_frozen_rank(df: DataFrame, column: str, frozen: FrozenRanks, name: str = "percentile_rank") -> DataFrame:
+    """The table with the rank that each value has in the fitted table.
+
+    A value the fitted table lacked gets the share of fitted rows up to the edge below it.
+    """
+    known = lookup_join(df, frozen.ranks, [column], weight="row_count").drop("row_count")
+    below = _count_at_most(ref(column).cast("double"), frozen.edges)
+    share = F.coalesce(F.get(F.array(*map(F.lit, frozen.shares)), below - 1), F.lit(0.0)) if frozen.edges else F.lit(0.0)
+    rank = F.when(ref(column).isNotNull(), F.coalesce("percentile_rank", share))
+    return known.withColumn("percentile_rank", rank).withColumnRenamed("percentile_rank", name)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -12,7 +14,7 @@ from tablemeld import columns as cols
 from tablemeld.functions import casts, fixed_values as fv, names, scales, text, values
 from tablemeld.operators.facts import ColumnFacts, exact_quantiles, fit_facts
 from tablemeld.operators.joins import weighted_lookup
-from tablemeld.operators.ranks import with_percentile_rank
+from tablemeld.operators.ranks import FrozenRanks, freeze_ranks, with_frozen_rank, with_percentile_rank
 
 # --- value maps -----------------------------------------------------------------
 
@@ -44,6 +46,29 @@ class ScaleFit:
     target_high: float
     method: str = "linear"
     bands: tuple[tuple[float, float], ...] = ()
+    #: Percentile ranks of the fitted values; without them a percentile scale ranks its input.
+    frozen: FrozenRanks | None = None
+
+
+#: Set while an increment is transformed: its own ranks would not be those of the fit.
+_INCREMENT: ContextVar[bool] = ContextVar("increment", default=False)
+
+
+@contextmanager
+def increments() -> Iterator[None]:
+    """Transforms inside refuse percentile scales whose ranks are not frozen."""
+    token = _INCREMENT.set(True)
+    try:
+        yield
+    finally:
+        _INCREMENT.reset(token)
+
+
+def freeze_scales(df: DataFrame, fits: Mapping[str, ScaleFit]) -> dict[str, ScaleFit]:
+    """The fits, percentile scales with the ranks of ``df``."""
+    return {
+        c: replace(f, frozen=freeze_ranks(df, c)) if f.method == "percentile" else f for c, f in fits.items()
+    }
 
 
 def fit_scales(
@@ -126,7 +151,12 @@ def apply_scales(df: DataFrame, fits: Mapping[str, ScaleFit]) -> DataFrame:
     result = df.withColumns(plain) if plain else df
     for c, f in fits.items():
         if f.method == "percentile":
-            result = with_percentile_rank(result, c, "__rank")
+            if f.frozen is None and (_INCREMENT.get() or df.isStreaming):
+                raise ValueError(f"the percentile scale of {c} has no frozen ranks: freeze it on the fitted table")
+            if f.frozen is None:
+                result = with_percentile_rank(result, c, "__rank")
+            else:
+                result = with_frozen_rank(result, c, f.frozen, "__rank")
             scaled = F.col("__rank") * (f.target_high - f.target_low) + f.target_low
             result = result.withColumn(c, scaled).drop("__rank").select(*map(cols.ref, df.columns))
     return result
@@ -309,9 +339,9 @@ def project_mapping(
     warnings = []
     for source, target in mapping:
         if not target or target == "UNMAPPED":
-            warnings.append(f"Skipping unmapped column: {source}")
+            warnings.append(f"{source} has no target and is left out")
         elif source not in df.columns:
-            warnings.append(f"Source column not found: {source}")
+            warnings.append(f"{source} is mapped but the table lacks it")
         elif target in sources:
             warnings.append(f"Target {target} already taken by {sources[target]}: {source}")
         else:
@@ -401,7 +431,9 @@ def transform_column(column: Column, transform: Transform) -> Column:
     """
     if transform.kind == "custom":
         return F.expr(transform.options["sql"])
-    return _REGISTRY.get(transform.kind, _REGISTRY["string_standardize"])(column, transform.options)
+    if transform.kind not in _REGISTRY:
+        raise ValueError(f"unknown transform: {transform.kind}")
+    return _REGISTRY[transform.kind](column, transform.options)
 
 
 def _needs_ranks(transform: Transform) -> bool:

@@ -88,6 +88,7 @@ def record_flags(
     df: DataFrame, rules: Iterable[Rule], dataset: str, record_id: str | None = None
 ) -> DataFrame:
     """One flag row per violation: all rules are checked in a single pass."""
+    df = cols.nan_to_null(df)
     checked, listed = [], []
     for rule in rules:
         if rule.min_records is not None or rule.max_records is not None:
@@ -178,6 +179,7 @@ def apply_rules(
 
 def missing_flags(df: DataFrame, dataset: str) -> DataFrame:
     """One flag per column with missing values: structural if all are missing."""
+    df = cols.nan_to_null(df)
     total = F.count(F.lit(1))
     share = F.col("missing") / F.col("total") * 100
     return (
@@ -201,6 +203,7 @@ def row_missing_flags(
     df: DataFrame, dataset: str, record_id: str, limit: int | None = None
 ) -> DataFrame:
     """One flag per record with missing fields; ``limit`` keeps the first ids only."""
+    df = cols.nan_to_null(df)
     nulls = sum((cols.ref(c).isNull().cast("int") for c in df.columns), F.lit(0))
     found = df.select(cols.ref(record_id).alias("id"), nulls.alias("n")).where(F.col("n") > 0)
     if limit is not None:
@@ -252,7 +255,7 @@ def business_issues(df: DataFrame, texts: Iterable[str]) -> DataFrame:
         if rule.min_records is not None:
             few = F.when(total < rule.min_records, total).otherwise(F.lit(0))
             counted.append(few)
-            parts.append((None, "blocking", f"Business rule violation: {rule.text}. Found %d records.", None, False))
+            parts.append((None, "blocking", f"rule not met: {rule.text} (%d records)", None, False))
             continue
         name = by_name.get((rule.column or "").lower())
         if name is None:
@@ -260,11 +263,11 @@ def business_issues(df: DataFrame, texts: Iterable[str]) -> DataFrame:
         value = cols.ref(name)
         if rule.required:
             counted.append(total - F.count(value))
-            parts.append((name, "blocking", f"Business rule violation: Required field '{name}' has %d null values", None, False))
+            parts.append((name, "blocking", f"rule not met: {name} is required, %d values are missing", None, False))
         elif cols.is_numeric(cols.type_of(df, name)):
             counted.append(F.count(F.when((value < rule.min) | (value > rule.max), 1)))
             bounds = f"[{rule.min}, {rule.max}]"
-            parts.append((name, "fixable", f"Business rule violation: Values in '{name}' outside range {bounds}", f"Cap values to range {bounds}", True))
+            parts.append((name, "fixable", f"rule not met: {name} has %d values beyond {bounds}", f"Limit them to {bounds}", True))
     schema = (
         "column string, issue_type string, severity string, description string, "
         "affected_rows bigint, affected_pct double, suggested_fix string, is_fixable boolean"

@@ -69,10 +69,13 @@ def read_csv(
 
     Quoted values may hold line breaks, so a file is one task; ``lines=True`` promises that
     none does and splits large files.  A ``schema`` saves the pass that infers the types,
-    an ``encoding`` the pass that checks for UTF-8.
+    an ``encoding`` the pass that checks for UTF-8.  With a schema a quoted empty value is an
+    empty text and only an unquoted one is missing; without one both are missing.
     """
     encoding = encoding or detect_encoding(spark, path)
     wanted = {"header": True, "encoding": encoding, "escape": '"', "multiLine": not lines}
+    if schema is not None:
+        wanted["nullValue"] = "\0"
     reader = spark.read.options(**wanted | {"inferSchema": schema is None} | options)
     return Source((reader if schema is None else reader.schema(schema)).csv(path), path, "csv", encoding)
 

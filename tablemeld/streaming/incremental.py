@@ -1,8 +1,10 @@
 """Incremental harmonization: frozen parameters on newly arrived files.
 
 Every transform is a stateless projection whose parameters were fitted in batch, so
-the stream needs no state, no watermark and no shuffle.  Each micro-batch is written
-under its batch id: a batch that is retried after a failure replaces its own output.
+the stream needs no state, no watermark and no shuffle (frozen percentile ranks are a join
+with a static table).  Each micro-batch is written under the id of its query, which lives in
+the checkpoint, and its batch id: a batch that is retried after a failure replaces its own
+output, and a new checkpoint never replaces the output of an old one.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from tablemeld.operators import validate as va
+from tablemeld.operators import transform as tf, validate as va
 from tablemeld.sources.tables import format_of
 
 Step = Callable[[DataFrame], DataFrame]
@@ -55,15 +57,16 @@ def start(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        done = harmonized_stream(batch, steps)
-        done.write.mode("overwrite").parquet(f"{output.rstrip('/')}/batch_id={batch_id}")
+        query = batch.sparkSession.read.json(f"{checkpoint.rstrip('/')}/metadata").first()["id"]
+        part = f"query_id={query}/batch_id={batch_id}"
+        with tf.increments():
+            done = harmonized_stream(batch, steps)
+        done.write.mode("overwrite").parquet(f"{output.rstrip('/')}/{part}")
         if rules and flag_output:
             # the written rows, so the steps do not run twice
-            written = batch.sparkSession.read.schema(done.schema).parquet(
-                f"{output.rstrip('/')}/batch_id={batch_id}"
-            )
+            written = batch.sparkSession.read.schema(done.schema).parquet(f"{output.rstrip('/')}/{part}")
             va.record_flags(written, rules, dataset, record_id).write.mode("overwrite").parquet(
-                f"{flag_output.rstrip('/')}/batch_id={batch_id}"
+                f"{flag_output.rstrip('/')}/{part}"
             )
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
