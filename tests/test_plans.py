@@ -7,8 +7,9 @@ import __spark_entry__ as entry
 from tablemeld import storage
 from tablemeld.operators import impute as im, memory as me, transform as tf, validate as va
 from tablemeld.plans import local, metadata as mp, multi_source, single_source
-from tablemeld.sources import metadata as md, samples, tables as st
+from tablemeld.sources import metadata as md, tables as st
 from tablemeld.streaming import incremental
+from tests import samples
 
 SCHEMA = md.master_schema(
     {
@@ -226,3 +227,33 @@ def test_transform_of_a_stream_is_stateless(spark, tmp_path):
     stream = incremental.read_stream(spark, str(tmp_path / "in"), "id bigint, v string", "parquet")
     plan = tf.apply_transforms(stream, {"v": "v"}, {"v": tf.Transform("string_standardize")})
     assert plan.isStreaming
+
+
+def test_whole_records_are_read(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 'a "quoted"\nsecond line'), (2, ""), (3, None)], "k int, v string").coalesce(1)
+    st.write_table(rows, str(tmp_path / "t.csv"))
+    back = st.read_table(spark, str(tmp_path / "t.csv"), schema=rows.schema).data
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+    assert st.read_table(spark, str(tmp_path / "t.csv")).data.count() == 3
+    many = spark.range(100).withColumn("v", F.lit("x"))
+    st.write_table(many, str(tmp_path / "many.json"))
+    assert st.read_table(spark, str(tmp_path / "many.json")).data.count() == 100
+    (tmp_path / "array.json").write_text('\n [{"a": 1},\n {"a": 2}]')
+    assert st.read_table(spark, str(tmp_path / "array.json")).data.count() == 2
+
+
+def test_increments_need_frozen_ranks(spark):
+    base = spark.createDataFrame([(float(v),) for v in range(1, 101)], "x double")
+    fit = {"x": tf.ScaleFit(1.0, 100.0, 0.0, 100.0, "percentile")}
+    part = spark.createDataFrame([(10.0,), (10.5,), (0.0,), (500.0,), (None,)], "x double")
+    with tf.increments(), pytest.raises(ValueError):
+        tf.apply_scales(part, fit)
+    frozen = tf.freeze_scales(base, fit)
+    with tf.increments():
+        got = sorted((r["x"] is None, r["x"]) for r in tf.apply_scales(part, frozen).collect())
+    assert [round(x, 6) for none, x in got if not none] == [0.0, 10.0, 10.0, 100.0] and got[-1][0]
+
+
+def test_unknown_transforms_are_refused(spark):
+    with pytest.raises(ValueError, match="unknown transform"):
+        tf.apply_transforms(spark.range(1), {"id": "id"}, {"id": tf.Transform("no_such")})

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablemeld import columns as cols
 from tablemeld.operators import facts as fa, levels as lv, profile as pr, quality as ql, ranks
-from tablemeld.sources import samples
+from tests import samples
 
 
 def by_column(df):
@@ -176,3 +176,21 @@ def test_type_helpers(answers):
 def test_nan_is_missing(spark):
     df = cols.nan_to_null(spark.createDataFrame([(float("nan"), 1), (2.0, 1)], "a double, b int"))
     assert by_column(pr.missing_by_column(df))["a"]["missing_count"] == 1
+
+
+def test_quantile_rounds_are_bounded(spark, monkeypatch):
+    calls = []
+    counted = fa._count_brackets
+    monkeypatch.setattr(fa, "_count_brackets", lambda df, bounds: calls.append(1) or counted(df, bounds))
+    for rows, most in (([3, 1, 2], 4), (list(range(60)), 4), ([1.0] * 4000 + [1.0 + k * 1e-12 for k in range(3000)] + [1e300, -1e300], 8)):
+        calls.clear()
+        df = spark.createDataFrame([(float(v),) for v in rows], "x double")
+        found = fa.exact_quantiles(df, {"x": [0.25, 0.5, 0.9]}, fa.fit_facts(df), 2)["x"]
+        assert [found[p] for p in (0.25, 0.5, 0.9)] == pytest.approx(list(pd.Series(rows).quantile([0.25, 0.5, 0.9])), abs=0, rel=1e-15)
+        assert len(calls) <= most
+
+
+def test_nan_is_missing(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (float("nan"),), (None,)], "x double")
+    row = by_column(pr.column_statistics(df))["x"]
+    assert row["null_count"] == 2 and row["mean"] == 1.5 and row["max"] in (2.0, "2.0") and row["median"] == 1.5
