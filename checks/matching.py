@@ -22,7 +22,7 @@ from tablemeld.operators import (
 )
 from tablemeld.operators.facts import fit_facts
 from tablemeld.plans import local, metadata, multi_source, reports as rp, single_source
-from tablemeld.sources import tables as st
+from tablemeld.sources import metadata as md, tables as st
 from tablemeld.sources.metadata import ColumnSpec, MasterSchema, value_map_table
 from tablemeld.storage import materialize, shared_folder
 from tablemeld.streaming import incremental
@@ -402,6 +402,30 @@ def source_files(spark, folder):
 
 # --- generated metadata -----------------------------------------------------------
 
+
+@query(
+    "generated_metadata_round_trip",
+    f"""WITH c AS ({CUSTOMER_SQL}), b AS (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM c)
+    SELECT 'column' AS kind, name, NULL::BIGINT AS found FROM (VALUES {", ".join(f"('{c[0]}')" for c in CUSTOMER_COLUMNS)}) v(name)
+    UNION ALL SELECT 'flags', 'c_acctbal', count(*) FROM c, b WHERE c_acctbal * 2 NOT BETWEEN lo AND hi
+    UNION ALL SELECT 'flags', 'c_mktsegment', count(*) FROM c WHERE c_mktsegment = 'BUILDING'
+    UNION ALL SELECT 'map', 'c_mktsegment', count(DISTINCT c_mktsegment) FROM c""",
+)
+def generated_metadata_round_trip(spark, folder):
+    """Documents generated from a table, loaded again, flag a changed version of it."""
+    rows, target = customer(spark, folder), scratch(spark, "documents")
+    metadata.write_documents(metadata.run(rows), target)
+    schema, maps = md.load_master_schema(spark, target), md.load_value_maps(spark, target)
+    changed = rows.withColumns(
+        {"c_acctbal": F.col("c_acctbal") * 2, "c_mktsegment": F.when(F.col("c_mktsegment") == "BUILDING", "TOWER").otherwise(F.col("c_mktsegment"))}
+    )
+    found = spark.createDataFrame(
+        [("column", c, None) for c in schema.names] + [("map", "c_mktsegment", len(maps["c_mktsegment"]))], "kind string, name string, found long"
+    )
+    flags = va.apply_rules(changed, md.load_rules(spark, f"{target}/validation_rules.json"), "customer", "c_custkey")
+    counts = flags.groupBy("column").agg(F.count(F.lit(1)).alias("found")).where("column IN ('c_acctbal', 'c_mktsegment')")
+    return found.unionByName(counts.select(F.lit("flags").alias("kind"), F.col("column").alias("name"), "found"))
+
 GENERATED = stats_sql("c", CUSTOMER_COLUMNS, 0.10)
 
 

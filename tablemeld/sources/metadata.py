@@ -137,6 +137,55 @@ def rules_table(spark: SparkSession, found: Sequence[Rule]) -> DataFrame:
     )
 
 
+def schema_of(rows: DataFrame, name: str = "generated", version: str = "1") -> MasterSchema:
+    """The master schema of its table form, one row for each column; absent fields take their defaults."""
+    fields = {f for f in rows.columns if f in ColumnSpec.__dataclass_fields__}
+    found = rows.orderBy("ord").select(*sorted(fields)).collect()
+    specs = []
+    for r in found:
+        given = {k: v for k, v in r.asDict().items() if v is not None}
+        specs.append(ColumnSpec(**given | {"aliases": tuple(given.get("aliases", ()))}))
+    return MasterSchema(name, version, tuple(specs))
+
+
+def rules_of(rows: DataFrame) -> list[Rule]:
+    """Rules of their table form, the rule of the whole table first."""
+    return [Rule.of(r.asDict()) for r in rows.orderBy("column").collect()]
+
+
+def value_maps_of(rows: DataFrame) -> dict[str, dict[str, str]]:
+    """``{column: {raw: canonical}}`` of (column, raw, canonical) rows."""
+    found: dict[str, dict[str, str]] = {}
+    for r in rows.orderBy("column", "raw").collect():
+        found.setdefault(r["column"], {})[r["raw"]] = r["canonical"]
+    return found
+
+
+def schema_document(schema: MasterSchema) -> dict[str, Any]:
+    """What ``master_schema`` reads."""
+    columns = []
+    for c in schema.columns:
+        bounds = {k: v for k, v in (("min_value", c.min_value), ("max_value", c.max_value)) if v is not None}
+        entry = {
+            "name": c.name, "canonical_name": c.canonical_name, "data_type": c.data_type, "is_required": c.is_required,
+            "is_key": c.is_key, "aliases": list(c.aliases), "default_value": c.default_value,
+        }
+        columns.append(entry | ({"validation_rules": bounds} if bounds else {}))
+    return {"schema_name": schema.name, "version": schema.version, "columns": columns}
+
+
+def rules_document(found: Sequence[Rule]) -> dict[str, Any]:
+    """What ``rules`` reads."""
+    listed = []
+    for r in found:
+        entry = {
+            "column": r.column, "min": r.min, "max": r.max, "allowed_values": list(r.allowed_values) or None,
+            "required": r.required or None, "min_records": r.min_records, "max_records": r.max_records, "rule": r.text,
+        }
+        listed.append({k: v for k, v in entry.items() if v is not None})
+    return {"rules": listed}
+
+
 def labels_table(spark: SparkSession, labels: Mapping[str, str]) -> DataFrame:
     """(column, label) of variable labels."""
     return spark.createDataFrame(list(labels.items()), "column string, label string")
@@ -175,6 +224,19 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(location)
 
 
+def save_document(spark: SparkSession, document: Any, path: str) -> str:
+    """Write a small document as JSON on whatever file system the path names."""
+    jvm = spark.sparkContext._jvm
+    location = jvm.org.apache.hadoop.fs.Path(path)
+    system = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = system.create(location, True)
+    try:
+        out.write(bytearray(json.dumps(document, ensure_ascii=False, indent=1).encode()))
+    finally:
+        out.close()
+    return path
+
+
 def load_named(spark: SparkSession, folder: str, name: str) -> Any:
     """``name.yaml`` of a folder, else ``name.json``."""
     for suffix in ("yaml", "json"):
