@@ -60,7 +60,28 @@ def url_filters(spark: SparkSession, folder: str) -> DataFrame:
 # --- 9: secret scans ---------------------------------------------------------------
 
 
-@query("op9_secret_scans")
+def _spans_sql(place: int, rule: secrets.Rule) -> str:
+    pattern = rule.pattern.replace("'", "''")
+    return f"""SELECT doc_id, {place} AS place, '{rule.kind}' AS kind, unnest(list_filter(list_transform(range(1, len(w) + 1), lambda i: {{
+        'begin': list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0),
+        'size': length(w[i]), 'part': length(k[i])}}), lambda s: s.part >= {rule.least})) AS s
+      FROM (SELECT doc_id, regexp_split_to_array(t, '{pattern}') AS p, regexp_extract_all(t, '{pattern}') AS w, regexp_extract_all(t, '{pattern}', {rule.part}) AS k FROM d)"""
+
+
+SECRET_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+spans AS (SELECT doc_id, place, kind, s.begin::BIGINT AS begin, (s.begin + s.size)::BIGINT AS finish FROM ({" UNION ALL ".join(_spans_sql(i, r) for i, r in enumerate(secrets.RULES))})),
+named AS (SELECT *, kind || ':' || begin || ':' || finish AS name, place < {len(secrets.BASE)} AS base FROM spans),
+listed AS (
+  SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secrets.BASE)},
+         string_agg(name, ',' ORDER BY begin, place) FILTER (base) AS base, string_agg(name, ',' ORDER BY begin, place) AS spans
+  FROM named GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN listed ON d.doc_id = listed.doc_id
+"""
+
+
+@query("op9_secret_scans", SECRET_SQL)
 def secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     scanned = secrets.scan_secrets(table(spark, folder, "documents").select("doc_id", "text"))
     kinds = [r.kind for r in secrets.BASE]
@@ -77,7 +98,44 @@ def secret_scans(spark: SparkSession, folder: str) -> DataFrame:
 # --- 10: quality rules -------------------------------------------------------------
 
 
-@query("op10_quality_rules")
+QUALITY_SQL = r"""
+WITH d AS (
+  SELECT doc_id, lang, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+windows AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS v FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, v) AS n FROM windows) WHERE n > 1),
+repeats AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM again) GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, lang, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(regexp_extract_all(t, '!'))::BIGINT AS n_shouts,
+         len(regexp_extract_all(t, '[A-Z]'))::BIGINT AS n_upper, len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN repeats ON d.doc_id = repeats.doc_id),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+shares AS (
+  SELECT doc_id, lang, base_failed, unnest([
+    {'feature': 'symbol_share', 'share': CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END}, {'feature': 'shout_share', 'share': CASE WHEN n_words > 0 THEN n_shouts / n_words ELSE 0 END},
+    {'feature': 'upper_share', 'share': CASE WHEN word_chars > 0 THEN n_upper / word_chars ELSE 0 END}, {'feature': 'dup_line_share', 'share': CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END},
+    {'feature': 'repeat_share', 'share': CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END}], recursive := true)
+  FROM judged),
+known AS (SELECT doc_id, max(quality) > 0 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+tried AS (
+  SELECT lang, feature, cutoff, count(*) FILTER (good) AS n_good, count(*) FILTER (NOT good) AS n_bad,
+         count(*) FILTER (good AND share >= cutoff) AS k_good, count(*) FILTER (NOT good AND share >= cutoff) AS k_bad, count(*) OVER () AS tests
+  FROM shares JOIN known USING (doc_id), (SELECT unnest([""" + ", ".join(f"{g}::DOUBLE" for g in quality.GRID) + r"""]) AS cutoff) WHERE NOT base_failed GROUP BY lang, feature, cutoff),
+certified AS (
+  SELECT *, k_bad / greatest(n_bad, 1) - """ + str(quality.PRICE) + r""" * k_good / greatest(n_good, 1) AS gain FROM tried
+  WHERE k_good < n_good * 0.05 / 5 AND list_sum(list_transform(range(0, k_good + 1), lambda i:
+    exp(lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1) + i * ln(0.05 / 5) + (n_good - i) * ln(1 - 0.05 / 5)))) <= 0.05 / tests),
+cutoffs AS (SELECT lang, feature, arg_max(cutoff, (gain, cutoff)) AS cutoff FROM certified WHERE gain > 0 GROUP BY lang, feature),
+rejected AS (SELECT DISTINCT doc_id FROM shares JOIN cutoffs ON shares.feature = cutoffs.feature AND shares.lang IS NOT DISTINCT FROM cutoffs.lang WHERE share >= cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept
+FROM judged
+"""
+
+
+@query("op10_quality_rules", QUALITY_SQL)
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text", "lang")
     judged = quality.quality_rules(documents, table(spark, folder, "labels"))
