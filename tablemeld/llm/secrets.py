@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablemeld.llm.common import free_name
-from tablemeld.storage import shared_folder
+from tablemeld.storage import materialize, shared_folder
 
 
 @dataclass(frozen=True)
@@ -137,7 +137,8 @@ def scan_secrets(documents: DataFrame, text: str = "text", rules: tuple[Rule, ..
     ledger.scan(documents, text, rules)
     documents = documents.drop("secrets")
     address, other = free_name(documents, "blob"), free_name(documents, "found_blob")
-    found = ledger.findings(rules).select(F.col("blob").alias(other), F.col("found").alias("secrets"))
+    # written first: a join of two plain shuffles can be split where one blob has very many paths
+    found = materialize(ledger.findings(rules), "secret-findings").select(F.col("blob").alias(other), F.col("found").alias("secrets"))
     joined = documents.withColumn(address, blob_of(F.col(f"`{text}`").cast("string"))).join(found, F.col(address) == F.col(other), "left").drop(address, other)
     none = F.array().cast(joined.schema["secrets"].dataType)
     return joined.withColumn("secrets", F.coalesce("secrets", none))
