@@ -201,9 +201,125 @@ def cluster(documents: DataFrame, key: str = "doc_id", text: str = "text", words
     return marked.join(of_fp, "fp").select(F.col("key").alias(key), "fp", "component_id", "root", "row_hash")
 
 
-def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
-    """One document of each component: the one with the smallest key (null last), ties by content."""
-    found = cluster(documents, key, text, words, radius)
+#: Similarity search: minimum hashes that serve as bucket keys, those that estimate a
+#: similarity, and the bits in which fingerprints of similar texts may differ.
+BUCKET_KEYS, SIGNATURE, SIMILAR_RADIUS = 8, 256, 22
+#: Twice the standard error of an estimate at 0.8: texts above the similarity are rarely missed.
+SLACK = 0.05
+_r = np.random.Generator(np.random.Philox(7))
+_MULTIPLY = _r.integers(1, 1 << 63, BUCKET_KEYS + SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _r.integers(0, 1 << 63, BUCKET_KEYS + SIGNATURE, dtype=np.uint64)
+
+
+def sketch(text: str | None, words: int) -> tuple[int, int, list[int], bytes]:
+    """Content hash, SimHash, bucket keys and signature of a text's word shingles."""
+    parts = (text or "").encode().translate(_ASCII_LOWER).split()
+    joined = b" ".join(parts)
+    content = xxhash.xxh3_64_intdigest(joined)
+    starts = [0, *np.cumsum([len(p) + 1 for p in parts]).tolist()]
+    if len(parts) <= words:
+        shingles = [joined]
+    else:
+        shingles = [joined[a:b - 1] for a, b in zip(starts, starts[words:], strict=False)]
+    h = xxhash.xxh64_intdigest
+    hashes = np.array([h(s, SEED) for s in shingles], "<u8")
+    total, least = np.zeros(64, np.int64), np.full(len(_ADD), _ONES)
+    for at in range(0, len(hashes), 1 << 12):
+        part = hashes[at:at + (1 << 12)]
+        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        mixed = part[:, None] * _MULTIPLY + _ADD
+        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(0))
+    fp = int(np.packbits(2 * total > len(hashes), bitorder="little").view("<i8")[0])
+    keys = least[:BUCKET_KEYS].view(np.int64).tolist()
+    return content - (1 << 64) if content >> 63 else content, fp, keys, (least[BUCKET_KEYS:] & np.uint64(0xFF)).astype(np.uint8).tobytes()
+
+
+def _similar_links(ids: np.ndarray, fps: np.ndarray, signs: np.ndarray, side: np.ndarray, same: bool, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Links of a bucket that connect all that is within the radius and similar enough.
+
+    A query is compared with all planes at once; signatures are read only for those within
+    the radius that are not connected with it yet.
+    """
+    left = np.flatnonzero(side == 0)
+    right = left if same else np.flatnonzero(side == 1)
+    label, out = np.arange(len(ids)), []
+    if not len(left) or not len(right):
+        return out
+    planes = bit_planes(fps[right])
+    for at, hits in within(fps[left], planes, len(right), radius):
+        for q, row in enumerate(hits):
+            i = left[at + q]
+            near = right[row]
+            near = near[label[near] != label[i]]
+            if not len(near):
+                continue
+            # matching bytes over all, less those that match by chance
+            share = ((signs[near] == signs[i]).mean(1) - 1 / 256) / (1 - 1 / 256)
+            for j in near[share >= similarity - SLACK].tolist():
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    out.append((int(ids[i]), int(ids[j])))
+    return out
+
+
+def _similar(radius: int, similarity: float):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        # a text that has several keys in one bucket, or a crossed block, is there once
+        group = group.drop_duplicates(["id", "side"])
+        signs = np.frombuffer(b"".join(group.sign), np.uint8).reshape(len(group), -1)
+        links = _similar_links(group["id"].to_numpy(), group.fp.to_numpy().view(np.uint64), signs, group.side.to_numpy(), bool(group.same.iloc[0]), radius, similarity)
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def cluster_similar(documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """key, ``component_id`` (smallest key that links reach), ``root`` and ``row_hash``, as ``cluster`` has them.
+
+    Texts link if their sets of word shingles have a Jaccard similarity of ``similarity``, by
+    the estimate of 256 minimum hashes less ``SLACK`` (its error: texts a little below may link
+    too).  A radius that finds such texts by their SimHash is
+    too wide for bands of its bits; so candidates share one of eight further minimum hashes
+    (two texts at 0.8 miss all of them with a probability of 3 in a million), and within
+    these buckets the bit-sliced comparison leaves those within ``SIMILAR_RADIUS`` bits.
+    Texts of the same words are one text; null and empty texts link with each other.
+    """
+    named = documents.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("row_hash", F.xxhash64("key", "text"))
+    importable(documents.sparkSession)
+    schema = f"key {named.schema['key'].dataType.simpleString()}, row_hash long, id long, fp long, keys array<bigint>, sign binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [sketch(t.as_py(), words) for t in b.column(1)]
+            ids, fps, keys, signs = zip(*found, strict=True) if found else ((), (), (), ())
+            arrays = [pa.array(ids, pa.int64()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(signs, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *arrays], names=["key", "row_hash", "id", "fp", "keys", "sign"])
+
+    marked = materialize(named.select("key", "text", "row_hash").mapInArrow(run, schema), "similar-sketches")
+    texts = materialize(marked.groupBy("id").agg(F.min("key").alias("least"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys"), F.any_value("sign").alias("sign")), "similar-texts")
+    keyed = texts.select("id", F.posexplode("keys").alias("t", "k"))
+    sizes = keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    rows = keyed.join(materialize(sizes, "similar-sizes"), ["t", "k"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    cells = rows.select("t", "k", "id", "block", other).select(
+        "t", "k", "id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        (F.col("block") > F.col("other")).cast("int").alias("side"), (F.col("block") == F.col("other")).alias("same"),
+    )
+    compared = cells.join(texts.select("id", "fp", "sign"), "id").groupBy("t", "k", "i", "j")
+    links = compared.applyInPandas(_similar(SIMILAR_RADIUS, similarity), "a long, b long")
+    roots = components(links)
+    member = texts.select("id", "least").join(roots, texts["id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "id"))
+    ids = member.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_text = materialize(member.join(ids, "root").select("id", "root", "component_id"), "similar-components")
+    return marked.select("key", "row_hash", "id").join(of_text, "id").select(F.col("key").alias(key), "component_id", "root", "row_hash")
+
+
+def keep_one(documents: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each component: the one with the smallest key (null last), ties by content.
+
+    ``found`` is what ``cluster`` or ``cluster_similar`` say of the documents.
+    """
     place = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "row_hash")
     chosen = found.groupBy("root").agg(F.min_by("row_hash", place).alias("row_hash"))
     hashed = free_name(documents, "row_hash")

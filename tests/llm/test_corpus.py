@@ -179,12 +179,35 @@ def test_cluster_matches_brute_force(spark):
 def test_one_of_each_group_stays(spark):
     rows = near_rows() + odd_rows()
     docs = spark.createDataFrame(rows, DOCS).withColumn("row_hash", F.lit(0))
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
     found = simhash.cluster(docs)
+    kept = simhash.keep_one(docs, found)
+    assert kept.columns == docs.columns
     assert kept.count() == found.select("root").distinct().count()
     assert {r.doc_id for r in kept.collect()} == {r.component_id for r in found.collect()}
-    assert simhash.keep_one(no_documents(spark)).count() == 0
+    for finder in (simhash.cluster, simhash.cluster_similar):
+        assert simhash.keep_one(no_documents(spark), finder(no_documents(spark))).count() == 0
+
+
+@pytest.mark.parametrize("block", [16384, 3])
+def test_similar_texts_link(spark, monkeypatch, block):
+    """Clear cases on both sides of the similarity; estimates decide near it."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rows, group = [], {}
+    for g in range(12):
+        base = prose(g, 300, 4000).split(" ")
+        for k in range(4):
+            words = list(base)
+            for e in range(k):
+                words[(e * 31 + k) % 300] = f"edit{k}x{e}"
+            rows.append((g * 100 + k, " ".join(words)))
+            group[g * 100 + k] = g * 100
+        half = base[:150] + prose(500 + g, 150, 4000).split(" ")
+        rows.append((g * 100 + 50, " ".join(half)))
+        group[g * 100 + 50] = g * 100 + 50
+    rows += [(5000, "a b"), (5001, "A  B"), (5002, "a c"), (5003, None), (5004, ""), (None, rows[0][1])]
+    group |= {5000: 5000, 5001: 5000, 5002: 5002, 5003: 5003, 5004: 5003, None: 0}
+    got = simhash.cluster_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == group
 
 
 # --- search -------------------------------------------------------------------------------
