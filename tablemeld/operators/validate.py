@@ -255,7 +255,7 @@ def business_issues(df: DataFrame, texts: Iterable[str]) -> DataFrame:
         if rule.min_records is not None:
             few = F.when(total < rule.min_records, total).otherwise(F.lit(0))
             counted.append(few)
-            parts.append((None, "blocking", f"rule not met: {rule.text} (%d records)", None, False))
+            parts.append((None, "blocking", f"rule not met: {rule.text}. Found %d records.", None, False))
             continue
         name = by_name.get((rule.column or "").lower())
         if name is None:
@@ -263,7 +263,7 @@ def business_issues(df: DataFrame, texts: Iterable[str]) -> DataFrame:
         value = cols.ref(name)
         if rule.required:
             counted.append(total - F.count(value))
-            parts.append((name, "blocking", f"rule not met: {name} is required, %d values are missing", None, False))
+            parts.append((name, "blocking", f"rule not met: {name} is required and has %d null values", None, False))
         elif cols.is_numeric(cols.type_of(df, name)):
             counted.append(F.count(F.when((value < rule.min) | (value > rule.max), 1)))
             bounds = f"[{rule.min}, {rule.max}]"

@@ -44,7 +44,7 @@ def historical(spark: SparkSession, rows: int = 200, seed: int = 4) -> DataFrame
         pick("market", seed, ("US", "UK", "DE", "FR")).alias("market"), pick("age", seed, ("18-24", "25-34", "55+")).alias("age_group"),
         pick("gender", seed, ("Male", "Female", "Other")).alias("gender"), (1 + draw("csat", seed, 5)).cast("bigint").alias("csat"),
         draw("nps", seed, 11).cast("bigint").alias("nps"), pick("buy", seed, ("VU", "U", "N", "L", "VL")).alias("purchase_likelihood"),
-        pick("channel", seed, ("ONL", "RET", "MOB")).alias("channel"),
+        pick("channel", seed, ("ONL", "RET", "MOB", "SOC")).alias("channel"),
     )
 
 
@@ -53,7 +53,7 @@ def canonical(spark: SparkSession, rows: int, seed: int, first: int, start: str,
         (F.col("id") + first).alias("respondent_id"), day(start, F.col("id")).alias("survey_date"),
         pick("country", seed, countries).alias("country"), pick("age", seed, ages).alias("age"), pick("gender", seed, genders).alias("gender"),
         (low + draw("score", seed, high - low + 1)).cast("bigint").alias("satisfaction_score"), draw("nps", seed, 11).cast("bigint").alias("nps_score"),
-        pick("intent", seed, LIKELY).alias("purchase_intent"), pick("channel", seed, ("Online", "Retail", "Mobile")).alias("channel"),
+        pick("intent", seed, LIKELY).alias("purchase_intent"), pick("channel", seed, ("Online", "Retail", "Mobile", "Social")).alias("channel"),
     )
 
 
