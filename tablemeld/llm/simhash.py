@@ -245,8 +245,11 @@ def _similar_links(ids: np.ndarray, fps: np.ndarray, signs: np.ndarray, side: np
     label, out = np.arange(len(ids)), []
     if not len(left) or not len(right):
         return out
-    planes = bit_planes(fps[right])
-    for at, hits in within(fps[left], planes, len(right), radius):
+    if len(right) < 64:  # less than one word of lanes: most buckets are a pair or a few
+        blocks = [(0, np.bitwise_count(fps[left][:, None] ^ fps[right]) <= radius)]
+    else:
+        blocks = within(fps[left], bit_planes(fps[right]), len(right), radius)
+    for at, hits in blocks:
         for q, row in enumerate(hits):
             i = left[at + q]
             near = right[row]
