@@ -210,6 +210,28 @@ def test_similar_texts_link(spark, monkeypatch, block):
     assert {r.doc_id: r.component_id for r in got} == group
 
 
+def python_jaccard(a, b, n=5):
+    def grams(text):
+        words = words_of(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return {tuple(words[i:i + n]) for i in range(max(1, len(words) - n + 1))}
+
+    return len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+
+
+def test_repeated_lines_do_not_part_similar_texts(spark):
+    rows = []
+    for g in range(30):
+        words = [f"g{g}w{k}" for k in range(200 if g % 2 else 600)]
+        line = " ".join(words[20:30] if g % 2 else words[20:40])
+        lines = [" ".join(words[k:k + 10]) for k in range(0, len(words), 10)]
+        rows.append((g * 10, "\n".join(lines)))
+        rows.append((g * 10 + 1, "\n".join(lines[:4] + [line] * (18 if g % 2 else 25) + lines[4:])))
+    near = [(a, b) for a, s in rows for b, t in rows if a < b and python_jaccard(s, t) >= 0.8]
+    assert len(near) == 30
+    got = simhash.cluster_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == classes([k for k, _ in rows], near)
+
+
 # --- search -------------------------------------------------------------------------------
 
 
