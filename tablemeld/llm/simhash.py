@@ -206,25 +206,34 @@ def cluster(documents: DataFrame, key: str = "doc_id", text: str = "text", words
 #: 0.8 a bit differs with a probability of 0.19 at most, reached by 4 shingles of 5; over 28
 #: of 64 do with one of 1 in a million).
 BUCKET_KEYS, SIGNATURE, SIMILAR_RADIUS = 8, 256, 28
-#: Twice the standard error of an estimate at 0.8: texts above the similarity are rarely missed.
-SLACK = 0.05
+#: What is estimated this far below the similarity is still compared exactly: nearly five
+#: standard errors at 0.8, so that 4 in a million pairs at 0.8 are not.
+SLACK = 0.12
 _r = np.random.Generator(np.random.Philox(7))
 _MULTIPLY = _r.integers(1, 1 << 63, BUCKET_KEYS + SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _r.integers(0, 1 << 63, BUCKET_KEYS + SIGNATURE, dtype=np.uint64)
 
 
-def sketch(text: str | None, words: int) -> tuple[int, int, list[int], bytes]:
-    """Content hash, SimHash, bucket keys and signature of a text's word shingles."""
-    parts = (text or "").encode().translate(_ASCII_LOWER).split()
-    joined = b" ".join(parts)
-    content = xxhash.xxh3_64_intdigest(joined)
-    starts = [0, *np.cumsum([len(p) + 1 for p in parts]).tolist()]
-    if len(parts) <= words:
+def shingle_set(joined: bytes, words: int) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles of a text, its words joined by one space."""
+    starts = [0, *np.cumsum([len(p) + 1 for p in joined.split()]).tolist()]
+    if len(starts) <= words + 1:
         shingles = [joined]
     else:
         shingles = [joined[a:b - 1] for a, b in zip(starts, starts[words:], strict=False)]
     h = xxhash.xxh64_intdigest
-    hashes = np.unique(np.array([h(s, SEED) for s in shingles], "<u8"))  # the similarity is one of sets
+    return np.unique(np.array([h(s, SEED) for s in shingles], "<u8"))
+
+
+def _joined(text: str | None) -> bytes:
+    return b" ".join((text or "").encode().translate(_ASCII_LOWER).split())
+
+
+def sketch(text: str | None, words: int) -> tuple[int, int, list[int], bytes]:
+    """Content hash, SimHash, bucket keys and signature of a text's set of word shingles."""
+    joined = _joined(text)
+    content = xxhash.xxh3_64_intdigest(joined)
+    hashes = shingle_set(joined, words)
     total, least = np.zeros(64, np.int64), np.full(len(_ADD), _ONES)
     for at in range(0, len(hashes), 1 << 12):
         part = hashes[at:at + (1 << 12)]
@@ -236,11 +245,19 @@ def sketch(text: str | None, words: int) -> tuple[int, int, list[int], bytes]:
     return content - (1 << 64) if content >> 63 else content, fp, keys, (least[BUCKET_KEYS:] & np.uint64(0xFF)).astype(np.uint8).tobytes()
 
 
-def _similar_links(ids: np.ndarray, fps: np.ndarray, signs: np.ndarray, side: np.ndarray, same: bool, radius: int, similarity: float) -> list[tuple[int, int]]:
-    """Links of a bucket that connect all that is within the radius and similar enough.
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets (sorted distinct hashes) have this Jaccard similarity or more."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) >= similarity
+
+
+def _similar_links(ids: np.ndarray, fps: np.ndarray, signs: np.ndarray, sets: list[np.ndarray], side: np.ndarray, same: bool, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Links of a bucket: pairs that are similar, as many as connect all such pairs among the candidates.
 
     A query is compared with all planes at once; signatures are read only for those within
-    the radius that are not connected with it yet.
+    the radius that are not connected with it yet, and the sets decide.
     """
     left = np.flatnonzero(side == 0)
     right = left if same else np.flatnonzero(side == 1)
@@ -256,12 +273,14 @@ def _similar_links(ids: np.ndarray, fps: np.ndarray, signs: np.ndarray, side: np
             i = left[at + q]
             near = right[row]
             near = near[label[near] != label[i]]
+            if same:
+                near = near[near > i]
             if not len(near):
                 continue
             # matching bytes over all, less those that match by chance
             share = ((signs[near] == signs[i]).mean(1) - 1 / 256) / (1 - 1 / 256)
             for j in near[share >= similarity - SLACK].tolist():
-                if label[j] != label[i]:
+                if label[j] != label[i] and alike(sets[i], sets[j], similarity):
                     label[label == label[j]] = label[i]
                     out.append((int(ids[i]), int(ids[j])))
     return out
@@ -272,7 +291,8 @@ def _similar(radius: int, similarity: float):
         # a text that has several keys in one bucket, or a crossed block, is there once
         group = group.drop_duplicates(["id", "side"])
         signs = np.frombuffer(b"".join(group.sign), np.uint8).reshape(len(group), -1)
-        links = _similar_links(group["id"].to_numpy(), group.fp.to_numpy().view(np.uint64), signs, group.side.to_numpy(), bool(group.same.iloc[0]), radius, similarity)
+        sets = [np.frombuffer(s, "<u8") for s in group.shingles]
+        links = _similar_links(group["id"].to_numpy(), group.fp.to_numpy().view(np.uint64), signs, sets, group.side.to_numpy(), bool(group.same.iloc[0]), radius, similarity)
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return run
@@ -281,12 +301,12 @@ def _similar(radius: int, similarity: float):
 def cluster_similar(documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """key, ``component_id`` (smallest key that links reach), ``root`` and ``row_hash``, as ``cluster`` has them.
 
-    Texts link if their sets of word shingles have a Jaccard similarity of ``similarity``, by
-    the estimate of 256 minimum hashes less ``SLACK`` (its error: texts a little below may link
-    too).  A radius that finds such texts by their SimHash is
+    Texts link if their sets of word shingles have a Jaccard similarity of ``similarity`` or
+    more; the sets themselves are compared.  A radius that finds such texts by their SimHash is
     too wide for bands of its bits; so candidates share one of eight further minimum hashes
     (two texts at 0.8 miss all of them with a probability of 3 in a million), and within
-    these buckets the bit-sliced comparison leaves those within ``SIMILAR_RADIUS`` bits.
+    these buckets the bit-sliced comparison leaves those within ``SIMILAR_RADIUS`` bits, and
+    an estimate from 256 minimum hashes those within ``SLACK`` of the similarity.
     Texts of the same words are one text; null and empty texts link with each other.
     """
     named = documents.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("row_hash", F.xxhash64("key", "text"))
@@ -301,9 +321,12 @@ def cluster_similar(documents: DataFrame, key: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *arrays], names=["key", "row_hash", "id", "fp", "keys", "sign"])
 
     marked = materialize(named.select("key", "text", "row_hash").mapInArrow(run, schema), "similar-sketches")
-    texts = materialize(marked.groupBy("id").agg(F.min("key").alias("least"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys"), F.any_value("sign").alias("sign")), "similar-texts")
+    texts = materialize(marked.groupBy("id").agg(F.min("key").alias("least"), F.min("row_hash").alias("row_hash"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys"), F.any_value("sign").alias("sign")), "similar-texts")
     keyed = texts.select("id", F.posexplode("keys").alias("t", "k"))
-    sizes = keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # close copies share most of their keys: of buckets with the same members one is compared
+    members = [F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")]
+    sizes = keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n"), *members).filter("n > 1")
+    sizes = sizes.groupBy("n", "x", "y").agg(F.min(F.struct("t", "k")).alias("first")).select("first.t", "first.k", "n")
     rows = keyed.join(materialize(sizes, "similar-sizes"), ["t", "k"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -311,7 +334,18 @@ def cluster_similar(documents: DataFrame, key: str = "doc_id", text: str = "text
         "t", "k", "id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         (F.col("block") > F.col("other")).cast("int").alias("side"), (F.col("block") == F.col("other")).alias("same"),
     )
-    compared = cells.join(texts.select("id", "fp", "sign"), "id").groupBy("t", "k", "i", "j")
+    cells = materialize(cells, "similar-cells")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = pa.array([shingle_set(_joined(t.as_py()), words).tobytes() for t in b.column(3)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), sets], names=["id", "fp", "sign", "shingles"])
+
+    # the sets of texts that have candidates, from one row of each
+    wanted = texts.join(cells.select("id").distinct(), "id", "left_semi").select("id", "fp", "sign", "row_hash")
+    bodies = named.select("text", "row_hash").join(wanted, "row_hash").select("id", "fp", "sign", "text").dropDuplicates(["id"])
+    sets = materialize(bodies.mapInArrow(hashed, "id long, fp long, sign binary, shingles binary"), "similar-sets")
+    compared = cells.join(sets, "id").groupBy("t", "k", "i", "j")
     links = compared.applyInPandas(_similar(SIMILAR_RADIUS, similarity), "a long, b long")
     roots = components(links)
     member = texts.select("id", "least").join(roots, texts["id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "id"))

@@ -218,6 +218,26 @@ def python_jaccard(a, b, n=5):
     return len(grams(a) & grams(b)) / len(grams(a) | grams(b))
 
 
+@pytest.mark.parametrize("block", [16384, 5])
+def test_similarity_decides_exactly(spark, monkeypatch, block):
+    """Pairs and a template group on both sides of 0.8, against brute force."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rows = []
+    for g in range(60):
+        words = [f"g{g}w{k}" for k in range(300)]
+        rows.append((g * 10, " ".join(words)))
+        # a changed end of e words leaves 296 - e shingles of 296 + e
+        e = 296 // 9 + (g % 12) - 4
+        rows.append((g * 10 + 1, " ".join(words[:300 - e] + [f"g{g}x{k}" for k in range(e)])))
+    for g in range(20):
+        rows.append((1000 + g, " ".join([f"t{k}" for k in range(260)] + [f"t{g}x{k}" for k in range(35)])))
+    near = [(a, b) for a, s in rows for b, t in rows if a < b and python_jaccard(s, t) >= 0.8]
+    below = [(a, b) for a, s in rows for b, t in rows if a < b and 0.72 <= python_jaccard(s, t) < 0.8]
+    assert len(near) >= 20 and len(below) >= 200
+    got = simhash.cluster_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == classes([k for k, _ in rows], near)
+
+
 def test_repeated_lines_do_not_part_similar_texts(spark):
     rows = []
     for g in range(30):
