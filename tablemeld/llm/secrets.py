@@ -43,9 +43,15 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 18),
     Rule("hex", r"[0-9a-f]{16,}", 16),
 )
+#: A private key: the header, the lines of an encrypted one, the body (base64, white space, escaped
+#: line breaks; quotes and commas of source code before an END line) and the END line.  Without
+#: END the body has to begin with 16 characters of base64, so that prose on a header stays.
+_HEADER, _SPACE = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", r"\x20\x09-\x0D\\"
+_FIELDS = rf"(?:[{_SPACE}rn]*[A-Z][A-Za-z]*-[A-Z][A-Za-z]*:[A-Za-z0-9,\x20-]*){{0,4}}"
+_PEM = rf"""{_HEADER}(?:{_FIELDS}(?:[A-Za-z0-9+/={_SPACE}"',;>#*]*-----END [A-Z ]{{0,40}}PRIVATE KEY-----|[{_SPACE}]*[A-Za-z0-9+/]{{16}}[A-Za-z0-9+/={_SPACE}]*))?"""
 #: Further kinds that public scanners look for.
 MORE = (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 20),
+    Rule("pem", _PEM, 20, version=2),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 40),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 24),
 )
