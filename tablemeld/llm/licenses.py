@@ -43,6 +43,17 @@ _BSD_END = (
     "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
     "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 )
+
+
+def _gnu(work: str, name: str, version: str) -> str:
+    return (
+        f"This {work} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} Public License as published "
+        f"by the Free Software Foundation, either version {version} of the License, or (at your option) any later version. This {work} is distributed in the "
+        "hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
+        f"PURPOSE. See the GNU {name} Public License for more details."
+    )
+
+
 #: Public license texts, notices and one-line statements.
 TEMPLATES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
@@ -61,10 +72,12 @@ TEMPLATES = [
      "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
      'software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or '
      "implied. See the License for the specific language governing permissions and limitations under the License."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
-     "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the "
-     "hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
-     "PURPOSE. See the GNU General Public License for more details."),
+    ("GPL-3.0", _gnu("program", "General", "3")),
+    ("GPL-2.0", _gnu("program", "General", "2")),
+    ("LGPL-3.0", _gnu("library", "Lesser General", "3")),
+    ("LGPL-2.1", _gnu("library", "Lesser General", "2.1")),
+    ("LGPL-2.0", _gnu("library", "Library General", "2")),
+    ("AGPL-3.0", _gnu("program", "Affero General", "3")),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with "
      "this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("MIT", "Released under the MIT License."),

@@ -192,3 +192,16 @@ def test_licenses_match_python(spark):
                 expected.append((i, unit, k, min(best)[1]))
     assert got == sorted(expected, key=str) and len(got) >= 5
     assert licenses.scan_licenses(no_documents(spark)).count() == 0
+
+
+def test_gnu_notices_have_their_own_names(spark):
+    notice = (
+        "This {0} is free software; you can redistribute it and/or modify\nit under the terms of the GNU {1} Public License as published by\n"
+        "the Free Software Foundation; either version {2} of the License, or\n(at your option) any later version.\n\nThis {0} is distributed in the hope "
+        "that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the\n"
+        "GNU {1} Public License for more details."
+    )
+    kinds = {"GPL-2.0": ("program", "General", "2"), "GPL-3.0": ("program", "General", "3"), "LGPL-2.0": ("library", "Library General", "2"),
+             "LGPL-2.1": ("library", "Lesser General", "2.1"), "LGPL-3.0": ("library", "Lesser General", "3"), "AGPL-3.0": ("program", "Affero General", "3")}
+    docs = spark.createDataFrame([(k, notice.format(*v)) for k, v in kinds.items()], "wanted string, text string")
+    assert rows_of(licenses.scan_licenses(docs).select("wanted", "unit", "license")) == [(k, "document", k) for k in sorted(kinds)]
