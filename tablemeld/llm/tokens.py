@@ -108,7 +108,6 @@ def _cache(shared) -> PieceCache:
 
         _loaded.clear()
         tokenizer = Tokenizer.from_str(shared.value)
-        tokenizer.encode_special_tokens = True
         _loaded[mark] = PieceCache(
             lambda texts: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], REMEMBERED
         )

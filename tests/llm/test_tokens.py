@@ -100,6 +100,15 @@ def test_files_hold_all_ids_in_order(spark, tmp_path, monkeypatch, page):
     assert {r.doc_id: len(r.ids) for r in tokens.read_ids(spark, str(tmp_path / "ids")).collect()} == {r[0]: r[2] for r in got}
 
 
+def test_literal_special_tokens_as_the_library_has_them(spark, tmp_path):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    shared = tokens.tokenizer(spark.sparkContext, Path(public_tokenizers.path("byte_bpe_50k.json")).read_text(encoding="utf-8"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y  <|endoftext|>\n z", "a < |endoftext|> b", "many words <|endoftext|>" * 50]
+    tokens.write_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shared, str(tmp_path / "ids"))
+    got = {r.doc_id: list(r.ids) for r in tokens.read_ids(spark, str(tmp_path / "ids")).collect()}
+    assert got == {k: [*library.encode(t, add_special_tokens=False).ids, 0] for k, t in enumerate(texts)}
+
+
 def test_files_of_null_keys_and_nothing(spark, tmp_path):
     shared = tokens.tokenizer(spark.sparkContext, Path(public_tokenizers.path("byte_bpe_50k.json")).read_text(encoding="utf-8"))
     tokens.write_tokens(odd_documents(spark), shared, str(tmp_path / "all"))
