@@ -11,6 +11,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Pieces that a worker remembers in each of two generations; longer ones are encoded anew each time.
 REMEMBERED, LONGEST = 300_000, 64
 
@@ -69,3 +73,61 @@ class PieceCache:
                     row[k] = fresh[rest[k]]
         known.update((p, r) for p, r in fresh.items() if len(p) <= LONGEST)
         return [[first, *row] for first, row in zip(made[len(new):], rows, strict=True)]
+
+
+#: RE2: a space before white space or the end.  The class holds what ``str.isspace`` holds.
+_ARROW_NO_START = r" (?:[\t-\r\x1c-\x20\x{85}\p{Z}]|\z)"
+
+
+def flat_pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All pieces of texts (strings, none null) in one array, and where each text's pieces start and end."""
+    if pc.any(pc.match_substring_regex(texts, _ARROW_NO_START)).as_py():
+        lists = pa.array([cut(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+    else:
+        lists = pc.split_pattern(texts, " ")
+    return lists.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+
+
+class PieceIds:
+    """Token ids of whole texts; ``encode`` turns a list of texts into one bytes of uint32 ids for each.
+
+    Pieces are counted off in Arrow, only distinct ones are looked up, and their ids are
+    gathered by position.  The two generations of remembered pieces are bounded.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], remembered: int = REMEMBERED):
+        self.encode, self.remembered, self.known, self.old = encode, remembered, {}, {}
+
+    def _results(self, words: list[str]) -> list[bytes]:
+        if len(self.known) > self.remembered:
+            self.known, self.old = {}, self.known
+        found = list(map(self.known.get, words))
+        gaps = [k for k, r in enumerate(found) if r is None]
+        new = []
+        for k in gaps:
+            if (r := self.old.get(words[k])) is None:
+                new.append(k)
+            else:
+                found[k] = self.known[words[k]] = r
+        for k, r in zip(new, self.encode([" " + words[k] for k in new]), strict=True):
+            found[k] = r
+            if len(words[k]) <= LONGEST:
+                self.known[words[k]] = r
+        return found
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (strings, none null) in a row, and how many each text has."""
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        flat, bounds = flat_pieces(texts)
+        coded = flat.dictionary_encode()
+        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = bounds[:-1]
+        firsts = [words[c] for c in codes[starts].tolist()]  # led by no space
+        codes[starts] = len(words) + np.arange(len(firsts))
+        results = self._results(words) + self.encode(firsts)
+        sizes = np.fromiter(map(len, results), np.int64, len(results)) // 4
+        ends = np.cumsum(sizes)
+        ids = np.frombuffer(b"".join(results), "<u4")
+        of_piece = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], ends])), pa.array(ids))
+        return of_piece.take(pa.array(codes)).flatten().to_numpy(zero_copy_only=False), np.add.reduceat(sizes[codes], starts)

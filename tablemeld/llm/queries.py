@@ -9,7 +9,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablemeld.llm import bpe, licenses, mixing, quality, search, secrets, simhash, substrings, tokens, urls
+from tablemeld.llm import bpe, infilling, licenses, merges, mixing, quality, search, secrets, simhash, substrings, tokens, urls
 from tablemeld.llm.common import table
 from tablemeld.storage import shared_folder
 
@@ -262,3 +262,44 @@ SELECT doc_id, unit, place::INTEGER AS place, license, dice FROM ranked WHERE be
 @query("op1_license_scan", LICENSE_SQL)
 def license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+# --- 12: fill-in-the-middle ------------------------------------------------------------------
+
+INFILL_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents),
+drawn AS (
+  SELECT doc_id, t, n, ('0x' || h[1:8])::BIGINT % (n + 1) AS a, ('0x' || h[9:16])::BIGINT % (n + 1) AS b,
+         t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 90 AS plain,
+         ('0x' || h[25:32])::BIGINT % 100 < 20 AS spm
+  FROM d),
+cut AS (
+  SELECT *, least(a, b) AS p, greatest(a, b) - least(a, b) AS m,
+         substr(t, 1, least(a, b)) AS prefix, substr(t, least(a, b) + 1, greatest(a, b) - least(a, b)) AS middle, substr(t, greatest(a, b) + 1) AS suffix
+  FROM drawn)
+SELECT doc_id, n::BIGINT AS n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+       CASE WHEN NOT plain THEN p END::BIGINT AS prefix_chars, CASE WHEN NOT plain THEN m END::BIGINT AS middle_chars,
+       sha256(CASE WHEN plain THEN t WHEN spm THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM cut
+"""
+
+
+@query("op12_fill_in_middle", INFILL_SQL)
+def fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    done = infilling.transform(table(spark, folder, "documents").select("doc_id", "text"))
+    named = done.withColumnsRenamed({"prefix_units": "prefix_chars", "middle_units": "middle_chars"}).withColumn("output_sha256", F.sha2(F.col("output").cast("binary"), 256))
+    return infilling.restore(named).withColumn("restored_sha256", F.sha2(F.col("text").cast("binary"), 256)).drop("text")
+
+
+# --- 13: BPE by merge ranks --------------------------------------------------------------------
+
+
+@query("op13_bpe_merges")
+def bpe_merges(spark: SparkSession, folder: str) -> DataFrame:
+    definition = Path(public_tokenizers.path("byte_bpe_50k.json")).read_text(encoding="utf-8")
+    shared = merges.vocabulary(spark.sparkContext, definition)
+    coded = merges.encode(table(spark, folder, "documents").select("doc_id", "text"), shared)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    named = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), "ids")
+    return merges.decode(named, shared).withColumn("decoded_sha256", F.sha2(F.col("text").cast("binary"), 256)).drop("text")
