@@ -9,7 +9,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablemeld.llm import bpe, infilling, licenses, merges, mixing, quality, search, secrets, simhash, substrings, tokens, urls
+from tablemeld.llm import bpe, importance, infilling, licenses, merges, mixing, quality, search, secrets, simhash, substrings, tokens, urls
 from tablemeld.llm.common import table
 from tablemeld.storage import shared_folder
 
@@ -303,3 +303,13 @@ def bpe_merges(spark: SparkSession, folder: str) -> DataFrame:
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     named = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), "ids")
     return merges.decode(named, shared).withColumn("decoded_sha256", F.sha2(F.col("text").cast("binary"), 256)).drop("text")
+
+
+# --- 11: importance resampling -------------------------------------------------------------------
+
+
+@query("op11_importance_resampling")
+def importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    drawn = importance.resample(documents, table(spark, folder, "benchmark").select("text"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
