@@ -75,6 +75,11 @@ class PieceCache:
         return [[first, *row] for first, row in zip(made[len(new):], rows, strict=True)]
 
 
+def joinable(text: str) -> bool:
+    """Whether a text led by a space can stand among others: its pre-tokens are the same there as alone."""
+    return text[:1] == " " and len(text) > 1 and not text[1].isspace() and not text[-1].isspace()
+
+
 #: RE2: a space before white space or the end.  The class holds what ``str.isspace`` holds.
 _ARROW_NO_START = r" (?:[\t-\r\x1c-\x20\x{85}\p{Z}]|\z)"
 

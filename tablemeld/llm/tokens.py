@@ -14,8 +14,8 @@ little-endian.
 
 from __future__ import annotations
 
+import json
 import os
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -24,14 +24,17 @@ import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from tablemeld.llm.batches import plain_strings, steps
 from tablemeld.llm.common import importable, partitions
-from tablemeld.llm.pieces import PieceCache
+from tablemeld.llm.pieces import PieceIds, joinable
 
 BLOCK, PERCENTILE, PAGE = 256, 90, 1 << 18
+#: Bytes of text that a shard holds about, where that makes more shards than the session's shuffle width.
+SHARD = 256 << 20
 #: Pieces that a worker remembers here: the library is slow for short texts, but the workers
 #: of an executor share its memory (700,000 took over 3 GB with two of them).
 REMEMBERED = 450_000
-_HEAD = struct.Struct("<HIBH")
+_HEAD = np.dtype([("count", "<u2"), ("low", "<u4"), ("width", "u1"), ("exceptions", "<u2")])
 PAGES = "shard int, page int, first long, doc_ids array<bigint>, lengths array<bigint>, n_ids long, payload binary, block_starts array<int>"
 
 
@@ -49,68 +52,110 @@ def pack_blocks(ids: np.ndarray, percentile: int = PERCENTILE) -> tuple[bytes, l
     rank = min(BLOCK - 1, BLOCK * percentile // 100)
     at = np.partition(off, rank, axis=1)[:, rank]
     width = np.frexp(at.astype(float))[1].astype(np.uint32)  # bits that the percentile needs
-    packed: list[bytes] = [b""] * count
-    for w in np.unique(width):
-        rows = np.flatnonzero(width == w)
-        for part in np.array_split(rows, -(-len(rows) // 512)):
-            bits = (off[part][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1
-            data = np.packbits(bits.reshape(len(part), -1).astype(np.uint8), axis=1, bitorder="little")
-            for r, d in zip(part.tolist(), data, strict=True):
-                packed[r] = d.tobytes()
     high = (off.astype(np.uint64) >> width[:, None].astype(np.uint64)).astype("<u4")
     rows, cols = np.nonzero(high)
-    cuts = np.searchsorted(rows, np.arange(count + 1)).tolist()
-    places, values = cols.astype(np.uint8), high[rows, cols]
-    out, starts, size = [], [], 0
-    for r, (m, w) in enumerate(zip(low.tolist(), width.tolist(), strict=True)):
-        a, b = cuts[r], cuts[r + 1]
-        block = b"".join((_HEAD.pack(min(BLOCK, n - r * BLOCK), m, w, b - a), packed[r], places[a:b].tobytes(), values[a:b].tobytes()))
-        starts.append(size)
-        size += len(block)
-        out.append(block)
-    return b"".join(out), starts
+    exceptions = np.bincount(rows, minlength=count)
+    body = (BLOCK // 8) * width.astype(np.int64)
+    sizes = _HEAD.itemsize + body + 5 * exceptions
+    starts = np.cumsum(sizes) - sizes
+    out = np.zeros(int(sizes.sum()), np.uint8)
+    heads = np.zeros(count, _HEAD)
+    heads["count"], heads["low"], heads["width"], heads["exceptions"] = BLOCK, low, width, exceptions
+    heads["count"][-1] = n - (count - 1) * BLOCK
+    out[starts[:, None] + np.arange(_HEAD.itemsize)] = heads.view(np.uint8).reshape(count, -1)
+    for w in np.unique(width[width > 0]):
+        for part in _parts(np.flatnonzero(width == w)):
+            bits = np.unpackbits(off[part].astype("<u4").view(np.uint8).reshape(len(part), BLOCK, 4), axis=2, count=int(w), bitorder="little")
+            out[starts[part, None] + _HEAD.itemsize + np.arange(BLOCK // 8 * w)] = np.packbits(bits.reshape(len(part), -1), axis=1, bitorder="little")
+    nth = np.arange(len(rows)) - (np.cumsum(exceptions) - exceptions)[rows]  # place of an exception among those of its block
+    at = (starts + _HEAD.itemsize + body)[rows]
+    out[at + nth] = cols
+    out[(at + exceptions[rows] + 4 * nth)[:, None] + np.arange(4)] = high[rows, cols].view(np.uint8).reshape(-1, 4)
+    return out.tobytes(), starts.tolist()
+
+
+def _parts(rows: np.ndarray) -> list[np.ndarray]:
+    """Rows in runs of 512 at most, so that their bits stay few."""
+    return [rows[k:k + 512] for k in range(0, len(rows), 512)]
 
 
 def unpack_blocks(payload: bytes, starts: list[int]) -> np.ndarray:
     """The ids of blocks; ``starts`` may be any run of a page's block starts."""
-    heads = [_HEAD.unpack_from(payload, s) for s in starts]
-    grid = np.zeros((len(heads), BLOCK), np.uint32)
-    widths = np.array([h[2] for h in heads], int)
+    if not len(starts):
+        return np.zeros(0, np.uint32)
     raw = np.frombuffer(payload, np.uint8)
-    where = np.array(starts, int) + _HEAD.size
+    starts = np.asarray(starts, np.int64)
+    heads = raw[starts[:, None] + np.arange(_HEAD.itemsize)].view(_HEAD).ravel()
+    grid = np.zeros((len(heads), BLOCK), np.uint32)
+    widths = heads["width"].astype(np.int64)
+    where = starts + _HEAD.itemsize
     for w in np.unique(widths):
-        rows = np.flatnonzero(widths == w)
-        for part in np.array_split(rows, -(-len(rows) // 512)):
+        for part in _parts(np.flatnonzero(widths == w)):
             data = raw[where[part][:, None] + np.arange(BLOCK * w // 8)]
             bits = np.zeros((len(part), BLOCK, 32), np.uint8)
             bits[:, :, :w] = np.unpackbits(data, axis=1, bitorder="little").reshape(len(part), BLOCK, w)
             grid[part] = np.packbits(bits.reshape(len(part), -1), axis=1, bitorder="little").view("<u4")
-    for r, (_, _, w, exceptions) in enumerate(heads):
-        if exceptions:
-            at = int(where[r]) + BLOCK * w // 8
-            places = raw[at:at + exceptions]
-            values = np.frombuffer(payload, "<u4", exceptions, at + exceptions).astype(np.uint64)
-            grid[r, places] += (values << np.uint64(w)).astype(np.uint32)
-    grid += np.array([h[1] for h in heads], np.uint32)[:, None]
-    if heads and heads[-1][0] < BLOCK:
-        return grid.ravel()[: (len(heads) - 1) * BLOCK + heads[-1][0]]
-    return grid.ravel()
-
+    counts = heads["exceptions"].astype(np.int64)
+    rows = np.repeat(np.arange(len(heads)), counts)
+    nth = np.arange(len(rows)) - (np.cumsum(counts) - counts)[rows]
+    at = (where + BLOCK // 8 * widths)[rows]
+    values = raw[(at + counts[rows] + 4 * nth)[:, None] + np.arange(4)].view("<u4").ravel().astype(np.uint64)
+    grid[rows, raw[at + nth]] += (values << widths[rows].astype(np.uint64)).astype(np.uint32)
+    grid += heads["low"][:, None]
+    return grid.ravel()[: (len(heads) - 1) * BLOCK + int(heads["count"][-1])]
 
-_loaded: dict[int, PieceCache] = {}
 
+class _Library:
+    """Ids of texts by the library.  Short texts cost it far more than their length, so pieces are encoded joined
+    and the ids are cut where the bytes of a piece end, which is always between two tokens."""
 
-def _cache(shared) -> PieceCache:
-    mark = hash(shared.value)
-    if mark not in _loaded:
+    def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.tokenizer = Tokenizer.from_str(definition)
+        data = json.loads(definition)
+        self.byte_level = (data.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not data.get("normalizer")
+        added = {t["id"]: len(t["content"].encode()) for t in data["added_tokens"]}
+        vocabulary = self.tokenizer.get_vocab()
+        #: Bytes of each token: a letter of a byte-level token stands for one.
+        self.sizes = np.zeros(max(vocabulary.values(), default=-1) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.sizes[i] = added.get(i, len(token))
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        together = [k for k, t in enumerate(texts) if joinable(t)] if self.byte_level else []
+        found: list[bytes] = [b""] * len(texts)
+        if together:
+            parts = [texts[k] for k in together]
+            [encoding] = self.tokenizer.encode_batch_fast(["".join(parts)], add_special_tokens=False)
+            ids = np.array(encoding.ids, "<u4")
+            ends = np.cumsum(self.sizes[ids])
+            of_piece = np.cumsum([len(t) if t.isascii() else len(t.encode()) for t in parts])
+            cuts = np.searchsorted(ends, of_piece) + 1
+            if len(ends) != cuts[-1] or (ends[cuts - 1] != of_piece).any():
+                raise ValueError("a token crosses the end of a piece")
+            data, at = ids.tobytes(), 0
+            for k, c in zip(together, (4 * cuts).tolist(), strict=True):
+                found[k], at = data[at:c], c
+        alone = sorted(set(range(len(texts))) - set(together))
+        for k, ids in zip(alone, self._each([texts[k] for k in alone]), strict=True):
+            found[k] = ids
+        return found
+
+
+_loaded: dict[int, PieceIds] = {}
+
+
+def _cache(shared) -> PieceIds:
+    """Set up once for each worker."""
+    mark = hash(shared.value)
+    if mark not in _loaded:
         _loaded.clear()
-        tokenizer = Tokenizer.from_str(shared.value)
-        _loaded[mark] = PieceCache(
-            lambda texts: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], REMEMBERED
-        )
+        _loaded[mark] = PieceIds(_Library(shared.value), REMEMBERED)
     return _loaded[mark]
 
 
@@ -121,10 +166,16 @@ def tokenizer(sc: SparkContext, definition: str):
     return sc.broadcast(definition)
 
 
-def _page(shard: int, number: int, first: int, keys: list, parts: list[bytes]) -> dict:
-    ids = np.frombuffer(b"".join(parts), "<u4")
+def _page(shard: int, number: int, first: int, keys: list[pa.Array], lengths: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     payload, starts = pack_blocks(ids)
-    return {"shard": shard, "page": number, "first": first, "doc_ids": keys, "lengths": [len(p) // 4 for p in parts], "n_ids": len(ids), "payload": payload, "block_starts": starts}
+    lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (pa.concat_arrays(keys), pa.array(lengths, pa.int64()), pa.array(starts, pa.int32()))]
+    row = [pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([first], pa.int64()), *lists[:2], pa.array([len(ids)], pa.int64()), pa.array([payload], pa.binary()), lists[2]]
+    return pa.RecordBatch.from_arrays(row, names=["shard", "page", "first", "doc_ids", "lengths", "n_ids", "payload", "block_starts"])
+
+
+def _closed(ids: np.ndarray, lengths: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and lengths of documents, each with its end id."""
+    return np.insert(ids, np.cumsum(lengths), np.uint32(end_id)), lengths + 1
 
 
 def write_tokens(documents: DataFrame, shared, folder: str, key: str = "doc_id", text: str = "text", end_id: int = 0) -> None:
@@ -137,27 +188,30 @@ def write_tokens(documents: DataFrame, shared, folder: str, key: str = "doc_id",
     spark = importable(documents.sparkSession)
     named = documents.select(F.col(f"`{key}`").cast("long").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     order = ["key", F.xxhash64("text"), "text"]
-    dealt = named.repartitionByRange(partitions(spark), *order[:2]).sortWithinPartitions(*order).withColumn("shard", F.spark_partition_id())
-    schema = pa.schema([("shard", pa.int32()), ("page", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("payload", pa.binary()), ("block_starts", pa.list_(pa.int32()))])
-    end = np.array([end_id], "<u4").tobytes()
+    size = named.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    dealt = named.repartitionByRange(max(partitions(spark), -(-size // SHARD)), *order[:2]).sortWithinPartitions(*order).withColumn("shard", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, keys, parts, size, number, first, shard = _cache(shared), [], [], 0, 0, 0, 0
+        encoded, number, first, shard = _cache(shared), 0, 0, 0
+        keys, lengths, ids, size = [], [], [], 0  # of the page that is open
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in steps(batch, 1):
                 shard = part.column(2)[0].as_py()
-                for k, row in zip(part.column(0).to_pylist(), cache.results(part.column(1).to_pylist()), strict=True):
-                    row.append(end)
-                    ids = b"".join(row)
-                    keys.append(k)
-                    parts.append(ids)
-                    size += len(ids) // 4
+                new, counts = _closed(*encoded(plain_strings(part.column(1))), end_id)
+                ends, done = np.cumsum(counts), 0  # documents up to ``done`` are in pages
+                while done < len(ends):
+                    before = int(ends[done - 1]) if done else 0
+                    upto = min(len(ends), int(np.searchsorted(ends, before + PAGE - size)) + 1)
+                    keys.append(part.column(0).slice(done, upto - done))
+                    lengths.append(counts[done:upto])
+                    ids.append(new[before:ends[upto - 1]])
+                    size, done = size + int(ends[upto - 1]) - before, upto
                     if size >= PAGE:
-                        yield pa.RecordBatch.from_pylist([_page(shard, number, first, keys, parts)], schema)
-                        keys, parts, size, number, first = [], [], 0, number + 1, first + size
+                        yield _page(shard, number, first, keys, np.concatenate(lengths), np.concatenate(ids))
+                        number, first = number + 1, first + size
+                        keys, lengths, ids, size = [], [], [], 0
         if keys:
-            yield pa.RecordBatch.from_pylist([_page(shard, number, first, keys, parts)], schema)
+            yield _page(shard, number, first, keys, np.concatenate(lengths), np.concatenate(ids))
 
     pages = dealt.select("key", "text", "shard").mapInArrow(run, PAGES)
     # packed ids do not compress further
