@@ -18,7 +18,7 @@ import json
 import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import pairwise
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tablemeld.llm.batches import kept_columns, plain_strings, schema_of, steps, with_inputs
 from tablemeld.llm.common import importable
-from tablemeld.llm.pieces import PieceIds
+from tablemeld.llm.pieces import LONGEST, REMEMBERED, PieceIds, joinable
 
 #: Bytes of ids that a decoding step works on.
 _LARGEST = 64 << 20
@@ -152,10 +152,37 @@ class _Encoder:
 
     def __init__(self, definition: str):
         self.vocabulary = MergeVocabulary(definition)
-        self.pieces = PieceIds(lambda texts: [self._bytes(t) for t in texts])
-
-    def _bytes(self, text: str) -> bytes:
-        return np.array(self.vocabulary.encode(text), "<u4").tobytes()
+        self.pieces = PieceIds(self._texts)
+        #: Ids of pre-tokens; bounded, and only saves time.
+        self.pretokens: dict[str, bytes] = {}
+
+    def _pretoken(self, pretoken: str) -> bytes:
+        ids = self.pretokens.get(pretoken)
+        if ids is None:
+            ids = np.array(self.vocabulary.merge(pretoken), "<u4").tobytes()
+            if len(pretoken) <= LONGEST:
+                self.pretokens[pretoken] = ids
+        return ids
+
+    def _texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without literals; those that may stand among others are split to pre-tokens in one call."""
+        if len(self.pretokens) > REMEMBERED:
+            self.pretokens = {}
+        split, found = self.vocabulary.pretokens, [b""] * len(texts)
+        together = []
+        for k, text in enumerate(texts):
+            if joinable(text):
+                together.append(k)
+            else:
+                found[k] = b"".join([self._pretoken(p) for p, _ in split(text)])
+        ends = accumulate(len(texts[k]) for k in together)
+        k, end, parts = 0, next(ends, 0), []
+        for pretoken, (_, upto) in split("".join([texts[k] for k in together])):
+            parts.append(self._pretoken(pretoken))
+            if upto == end:
+                found[together[k]] = b"".join(parts)
+                k, end, parts = k + 1, next(ends, 0), []
+        return found
 
     def lists(self, texts: pa.Array) -> pa.Array:
         literal = self.vocabulary.literal
