@@ -216,9 +216,11 @@ def vocabulary(sc: SparkContext, definition: str):
     return sc.broadcast(definition)
 
 
-def encode(documents: DataFrame, shared, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Documents with ``ids`` (array of int) in place of ``text``."""
-    kept = kept_columns(documents, [text, ids])
+def encode(documents: DataFrame, shared, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Documents with ``ids`` (array of int) in place of ``text``; ``decoded`` names a column for the text that the
+    ids decode to, made in the same pass."""
+    made = {ids: "array<int>"} | ({decoded: "string"} if decoded else {})
+    kept = kept_columns(documents, [text, *made])
     df = with_inputs(documents, kept, {"text": F.col(f"`{text}`").cast("string")})
     n = len(kept)
 
@@ -226,10 +228,13 @@ def encode(documents: DataFrame, shared, text: str = "text", ids: str = "ids") -
         encoder = _encoder(shared)
         for batch in batches:
             for part in steps(batch, n):
-                yield pa.RecordBatch.from_arrays([*part.columns[:n], encoder.lists(plain_strings(part.column(n)))], names=[*kept, ids])
+                found = [encoder.lists(plain_strings(part.column(n)))]
+                if decoded:
+                    found.append(encoder.vocabulary.decode(found[0]))
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], *found], names=[*kept, *made])
 
     importable(df.sparkSession)
-    return df.mapInArrow(run, schema_of(df, n, {ids: "array<int>"}))
+    return df.mapInArrow(run, schema_of(df, n, made))
 
 
 def decode(tokens: DataFrame, shared, ids: str = "ids", text: str = "text") -> DataFrame:

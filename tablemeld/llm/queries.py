@@ -299,10 +299,14 @@ def fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
 def bpe_merges(spark: SparkSession, folder: str) -> DataFrame:
     definition = Path(public_tokenizers.path("byte_bpe_50k.json")).read_text(encoding="utf-8")
     shared = merges.vocabulary(spark.sparkContext, definition)
-    coded = merges.encode(table(spark, folder, "documents").select("doc_id", "text"), shared)
+    coded = merges.encode(table(spark, folder, "documents").select("doc_id", "text"), shared, decoded="decoded")  # one worker for each task, not two
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
-    named = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), "ids")
-    return merges.decode(named, shared).withColumn("decoded_sha256", F.sha2(F.col("text").cast("binary"), 256)).drop("text")
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
 
 
 # --- 11: importance resampling -------------------------------------------------------------------

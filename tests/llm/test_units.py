@@ -60,6 +60,9 @@ def test_merge_tables(spark):
     back = merges.decode(coded.withColumnRenamed("lang", "Text"), shared)
     assert back.columns == ["doc_id", "source", "text"]
     assert sorted((str(r.doc_id), r.text) for r in back.collect()) == sorted((str(r[0]), r[1] or "") for r in odd_rows())
+    both = merges.encode(docs, shared, decoded="TEXT")
+    assert both.columns == ["doc_id", "lang", "source", "ids", "TEXT"]
+    assert sorted((str(r.doc_id), r.TEXT) for r in both.collect()) == sorted((str(r[0]), r[1] or "") for r in odd_rows())
     assert merges.encode(no_documents(spark), shared).count() == 0
     holes = spark.createDataFrame([(1, [464, None, 995]), (2, None), (3, [])], "doc_id long, ids array<int>")
     assert rows_of(merges.decode(holes, shared)) == [(1, LIBRARY.decode([464, 995])), (2, ""), (3, "")]
