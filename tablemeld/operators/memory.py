@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+import math
+from collections.abc import Mapping, Sequence
 from typing import Any
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tablemeld import columns as cols
 from tablemeld.functions import fixed_values as fv
-from tablemeld.operators import transform as tf
+from tablemeld.operators import neighbours, transform as tf
 from tablemeld.operators.joins import fits_broadcast
 from tablemeld.operators.match import UNMAPPED, schema_difference
-from tablemeld.session import importable
 from tablemeld.sources.metadata import MasterSchema, path_exists
-from tablemeld.storage import materialize
 
 #: Schemas of the learned tables; every row carries its time.
 TABLES = {
@@ -201,14 +198,6 @@ def replay_format_fixes(df: DataFrame, fixes: DataFrame) -> DataFrame:
 
 # --- nearest mappings -----------------------------------------------------------
 
-#: Rows of one side that a task compares at most.
-BLOCK_ROWS = 20_000
-#: Distance cells (memory rows x query rows) computed at once in a task.
-CELLS = 4_000_000
-#: Memory rows that serve as centres of cells; the only vectors that reach the driver.
-PIVOTS = 256
-
-
 def learnable(mappings: DataFrame) -> DataFrame:
     """Mappings worth remembering: confident and mapped."""
     return mappings.where(
@@ -250,111 +239,20 @@ def nearest(
     """(query_id, memory_id, distance, similarity, rank): k nearest rows per query.
 
     Distance is squared L2, similarity 1 / (1 + distance); matches below the threshold are
-    left out, so the threshold is a radius.  Memory rows go to the cell of their nearest
-    pivot, a query only to cells that its radius can reach (triangle inequality), and both
-    sides of a cell are cut into blocks of bounded size that tasks compare.  Pivots are
-    ``PIVOTS`` rows chosen by hash; they decide the work, never the result.  Ties go to the
-    smaller memory id.
+    left out, so the threshold is a radius.  Rows are found exactly through a tree of cells
+    (``neighbours``).  Ties go to the smaller memory id.  Null vectors and vectors with null or
+    non-finite components take no part.
     """
-    spark = importable(memory.sparkSession)
-    rows = memory.where(cols.ref(vector).isNotNull()).select(cols.ref(memory_id).alias("m"), cols.ref(vector).cast("array<double>").alias("v"))
-    asked = queries.where(cols.ref(vector).isNotNull()).select(cols.ref(query_id).alias("q"), cols.ref(vector).cast("array<double>").alias("v"))
-    id_type, query_type = rows.schema["m"].dataType.simpleString(), asked.schema["q"].dataType.simpleString()
-    pivots = [r["v"] for r in rows.orderBy(F.xxhash64("m", "v")).limit(PIVOTS).collect()]
-    if not pivots:
-        return spark.createDataFrame(
-            [], f"{query_id} {query_type}, {memory_id} {id_type}, distance double, similarity double, rank int"
-        )
-    centres = np.array(pivots, float)
-    celled = materialize(rows.mapInPandas(_cells_of(centres), f"m {id_type}, v array<double>, cell int, reach double"), "cells")
-    sizes = {r["cell"]: (r["reach"], r["n"]) for r in celled.groupBy("cell").agg(F.max("reach").alias("reach"), F.count(F.lit(1)).alias("n")).collect()}
-    reach = np.array([sizes.get(i, (-np.inf, 0))[0] for i in range(len(centres))])
-    blocks = F.element_at(F.array(*[F.lit(max(1, -(-sizes.get(i, (0, 0))[1] // BLOCK_ROWS))) for i in range(len(centres))]), F.col("cell") + 1)
-    radius = np.sqrt(max(0.0, 1 / threshold - 1)) if threshold > 0 else np.inf
-    parts = max(1, -(-asked.count() // BLOCK_ROWS))
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = celled.select("m", "v", "cell", F.pmod(F.xxhash64("m"), blocks).cast("int").alias("block"), numbers(F.lit(parts)).alias("part"))
-    reached = asked.mapInPandas(_reached(centres, reach, radius), f"q {query_type}, v array<double>, cell int")
-    right = reached.select("q", "v", "cell", F.pmod(F.xxhash64("q"), F.lit(parts)).cast("int").alias("part"), numbers(blocks).alias("block"))
-    key = ["cell", "block", "part"]
-    found = right.groupBy(*key).cogroup(left.groupBy(*key)).applyInPandas(_compared(k, threshold), f"q {query_type}, m {id_type}, distance double")
-    order = Window.partitionBy("q").orderBy("distance", "m")
+    named = lambda df, key, name: df.select(cols.ref(key).alias(name), cols.ref(vector).cast("array<double>").alias("v"))
+    radius = math.sqrt(max(0.0, 1 / threshold - 1)) if threshold > 0 else math.inf
+    found = neighbours.k_nearest(named(memory, memory_id, "m"), named(queries, query_id, "q"), k, radius)
     return (
-        found.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .withColumn("similarity", 1 / (1 + F.col("distance")))
+        found.withColumn("similarity", 1 / (1 + F.col("distance")))
         .where(F.col("similarity") >= threshold)
         .select(F.col("q").alias(query_id), F.col("m").alias(memory_id), "distance", "similarity", "rank")
     )
 
 
-def _stacked(vectors: pd.Series) -> np.ndarray:
-    return np.stack(vectors.map(lambda v: np.asarray(v, float)))
-
-
-def _distances(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.stack([((vectors - c) ** 2).sum(1) for c in centres], axis=1))
-
-
-def _cells_of(centres: np.ndarray):
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                far = _distances(_stacked(batch["v"]), centres)
-                cell = far.argmin(1)
-                yield batch.assign(cell=cell.astype("int32"), reach=far[np.arange(len(batch)), cell])
-
-    return assign
-
-
-def _reached(centres: np.ndarray, reach: np.ndarray, radius: float):
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                # a little slack for rounding: a cell too many costs time only
-                near = _distances(_stacked(batch["v"]), centres) <= (reach + radius) * (1 + 1e-9) + 1e-9
-                row, cell = np.nonzero(near)
-                yield batch.iloc[row].assign(cell=cell.astype("int32"))
-
-    return route
-
-
-def _compared(k: int, threshold: float):
-    def compare(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        kept = []
-        if len(asked) and len(rows):
-            ids, vectors = rows["m"].to_numpy(), _stacked(rows["v"])
-            step = max(1, CELLS // len(rows))
-            for start in range(0, len(asked), step):
-                part = asked.iloc[start : start + step]
-                best = _best(_stacked(part["v"]), ids, vectors, k)
-                best = best[1 / (1 + best["d"]) >= threshold]
-                kept.append(pd.DataFrame({"q": part["q"].to_numpy()[best["q"].to_numpy(int)], "m": best["m"], "distance": best["d"]}))
-        return pd.concat(kept) if kept else pd.DataFrame(columns=["q", "m", "distance"], dtype=object)
-
-    return compare
-
-
-def _best(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest vectors of each query among some memory rows, distances exact."""
-    rough = (
-        (queries**2).sum(1)[:, None] + (vectors**2).sum(1)[None, :] - 2 * queries @ vectors.T
-    )
-    if len(ids) > k:
-        # every row within rounding error of the k-th smallest stays a candidate
-        limit = np.partition(rough, k - 1, axis=1)[:, k - 1 : k]
-        candidate = rough <= limit + 1e-9 * (1 + np.abs(limit))
-    else:
-        candidate = np.ones_like(rough, bool)
-    q, m = np.nonzero(candidate)
-    exact = ((queries[q] - vectors[m]) ** 2).sum(1)
-    return _first(pd.DataFrame({"q": q, "m": ids[m], "d": exact}), k)
-
-
-def _first(found: pd.DataFrame, k: int) -> pd.DataFrame:
-    return found.sort_values(["q", "d", "m"]).groupby("q").head(k)
-
-
 def suggest(memory: DataFrame, queries: DataFrame, **options) -> DataFrame:
     """Best remembered mapping per query, if similar enough."""
     return nearest(memory, queries, k=1, **options)

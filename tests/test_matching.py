@@ -1,13 +1,15 @@
+import math
 import statistics
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tablemeld.functions import fixed_values as fv, names
 from tablemeld.functions.values import merge_value_maps
 from tablemeld.operators import (
-    calibrate as ca, compare as cp, generate as ge, joins, levels as lv, match as ma, memory as me,
+    calibrate as ca, compare as cp, generate as ge, joins, levels as lv, match as ma, memory as me, neighbours,
 )
 from tablemeld.sources import metadata as md
 from tablemeld.sources.metadata import value_map_table
@@ -194,23 +196,73 @@ def test_memory_text_and_confirmed_mappings(spark):
     assert [tuple(r) for r in found.collect()] == [("a", "x", 0.95, "user_confirmed")]
 
 
-@pytest.mark.parametrize("block_rows, cells", [(20_000, 4_000_000), (7, 40)])
-def test_nearest_matches_brute_force(spark, monkeypatch, block_rows, cells):
-    monkeypatch.setattr(me, "BLOCK_ROWS", block_rows)
-    monkeypatch.setattr(me, "CELLS", cells)
-    rng = np.random.default_rng(5)
-    memory = rng.normal(size=(120, 6)) * 0.4
-    memory[40:80] = memory[3]  # a third of the memory is one vector
-    queries = np.vstack([memory[3], rng.normal(size=(19, 6)) * 0.4])
+SMALL_CELLS = {"LEAF_ROWS": 9, "FAN": 4, "BLOCK_ROWS": 7, "DEPTH": 4}
+
+
+def brute_nearest(memory, queries, k, threshold):
+    """{(query, rank): memory row}, distances added up one pair at a time."""
+    expected = {}
+    for q, x in enumerate(queries):
+        distance = [math.fsum(((x - m) ** 2).tolist()) for m in memory]
+        order = sorted(range(len(memory)), key=lambda m: (distance[m], m))[:k]
+        expected |= {(q, i + 1): m for i, m in enumerate(order) if 1 / (1 + distance[m]) >= threshold}
+    return expected
+
+
+def found_nearest(spark, memory, queries, k, threshold):
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(memory)], "memory_id bigint, vector array<double>").repartition(3)
     asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "query_id bigint, vector array<double>")
-    found = {(r["query_id"], r["rank"]): r["memory_id"] for r in me.nearest(table, asked, 4, 0.5).collect()}
-    distance = ((queries[:, None] - memory[None]) ** 2).sum(2)
-    expected = {}
-    for q in range(len(queries)):
-        order = sorted(range(len(memory)), key=lambda m: (distance[q, m], m))[:4]
-        expected |= {(q, i + 1): m for i, m in enumerate(order) if 1 / (1 + distance[q, m]) >= 0.5}
-    assert found == expected
+    return {(r["query_id"], r["rank"]): r["memory_id"] for r in me.nearest(table, asked, k, threshold).collect()}
+
+
+@pytest.mark.parametrize("small", [{}, SMALL_CELLS])
+@pytest.mark.parametrize("threshold", [0.5, 0.0])
+def test_nearest_matches_brute_force(spark, monkeypatch, small, threshold):
+    for name, value in small.items():
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(5)
+    memory = rng.integers(-6, 6, size=(120, 3)) * 0.25  # many ties
+    memory[40:80] = memory[3]  # a third of the memory is one vector
+    queries = np.vstack([memory[3], memory[3], rng.integers(-6, 6, size=(18, 3)) * 0.25])
+    assert found_nearest(spark, memory, queries, 4, threshold) == brute_nearest(memory, queries, 4, threshold)
+
+
+@pytest.mark.parametrize("small", [{}, SMALL_CELLS])
+def test_nearest_far_from_the_origin(spark, monkeypatch, small):
+    """Norms of 10^6 and distances below 1: products of whole vectors have no digits left for them."""
+    for name, value in small.items():
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(7)
+    groups = np.repeat(rng.normal(size=(3, 8)) * 1e6, 50, axis=0)
+    memory = groups + rng.normal(size=groups.shape) * 0.2
+    queries = memory[::10] + rng.normal(size=(15, 8)) * 0.05
+    assert found_nearest(spark, memory, queries, 3, 0.2) == brute_nearest(memory, queries, 3, 0.2)
+
+
+def test_cells_hold_every_row_and_bound_it(spark, monkeypatch):
+    for name, value in SMALL_CELLS.items():
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(3)
+    vectors = np.vstack([rng.normal(size=(150, 4)), np.ones((60, 4))])
+    tree = neighbours.Tree(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "m bigint, v array<double>"))
+    leaves = tree.leaves.toPandas()
+    assert sorted(leaves["m"]) == list(range(210)) and len(tree.levels) > 1
+    levels = pd.concat([level.toPandas() for level in tree.levels]).set_index("cell")
+    same = leaves[leaves["m"] >= 150]["cell"].unique()
+    assert len(same) == 1 and levels.loc[same[0], "n"] >= 60  # equal vectors cannot be parted
+    sizes = leaves.groupby("cell").size()
+    assert (sizes == levels.loc[sizes.index, "n"]).all() and (sizes[sizes.index != same[0]] <= 9).all()
+    for cell, rows in leaves.groupby("cell"):
+        far = np.sqrt(((np.stack(rows["v"]) - levels.loc[cell, "v"]) ** 2).sum(1))
+        assert far.min() >= levels.loc[cell, "lo"] - 1e-12 and far.max() <= levels.loc[cell, "hi"] + 1e-12
+
+
+def test_nearest_leaves_out_what_is_no_vector(spark):
+    rows = [(1, [0.0, 0.0]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 0.0]), (5, [float("inf"), 0.0]), (None, [0.1, 0.0])]
+    table = spark.createDataFrame(rows, "memory_id bigint, vector array<double>")
+    got = me.nearest(table, table.withColumnRenamed("memory_id", "query_id"), 5, 0.5).collect()
+    assert sorted((str(r.query_id), str(r.memory_id)) for r in got) == [("1", "1"), ("1", "None"), ("None", "1"), ("None", "None")]
+    assert me.nearest(table.limit(0), table.withColumnRenamed("memory_id", "query_id")).count() == 0
 
 
 def test_nearest_with_text_ids_and_nothing_similar(spark):
