@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from checks.profiles import CUSTOMER_COLUMNS, _descriptive, descriptive_sql
 from checks.registry import CUSTOMER_SQL, customer, query, table, with_customer
 from checks.transforms import BROKEN_DATES
-from tablemeld.functions import names
-from tablemeld.operators import compare as cp, generate as ge, match as ma, memory as me, transform as tf, validate as va
+from tablemeld import columns as cols
+from tablemeld.functions import text as tx
+from tablemeld.operators import compare as cp, generate as ge, levels as lv, match as ma, memory as me, profile as pr, transform as tf, validate as va
 from tablemeld.sources import metadata as md, tables as st
 from tablemeld.sources.metadata import ColumnSpec, MasterSchema
 from tablemeld.storage import shared_folder
@@ -39,16 +40,13 @@ def unique_names(spark, folder):
     return tf.deduplicate_names(headed(spark, folder, "a", "a", "b", "a"))
 
 
-@query("headers_schema", "SELECT ord, name, 1 + 0 * s.n AS used FROM (VALUES (0, 'supplier_key'), (1, 'full_name'), (2, 'nation_code'), (3, 'acct_bal')) v(ord, name), (SELECT count(*) AS n FROM supplier) s")
+@query("headers_schema", "SELECT s_suppkey AS supplier_key, s_name AS full_name, s_nationkey AS nation_code, s_acctbal AS acct_bal FROM supplier")
 def headers_schema(spark, folder):
-    """The schema of the headers renames every aliased column of the table."""
+    """Every value of the table under the name that the schema of its headers gives it."""
     rows = headed(spark, folder, "supplierKey", "Full Name", "nation-code", "__acctBal")
     schema = md.schema_of(ge.schema_from_headers(rows))
     mapped = ma.match_columns(ma.column_table(rows), schema)
-    renamed = tf.project_mapping(rows, [(r["source_column"], r["target_column"]) for r in mapped.collect()])[0]
-    counts = renamed.agg(F.count(F.lit(1)).alias("n"))
-    listed = spark.createDataFrame([(i, c) for i, c in enumerate(schema.names) if c in renamed.columns], "ord int, name string")
-    return listed.join(F.broadcast(counts)).select("ord", "name", (1 + 0 * F.col("n")).alias("used"))
+    return tf.project_mapping(rows, [(r["source_column"], r["target_column"]) for r in mapped.collect()])[0]
 
 
 @query(
@@ -63,11 +61,27 @@ def schema_difference(spark, folder):
     return row.select("dataset", *[F.array_join(c, "|").alias(c) for c in ("missing_in_source", "extra_in_source")])
 
 
-@query("column_changes", "SELECT c AS \"column\", change, (SELECT count(*) FROM supplier) AS rows FROM (VALUES ('s_suppkey', 'common'), ('s_name', 'removed'), ('s_nationkey', 'common'), ('s_acctbal', 'common'), ('is_rich', 'added')) v(c, change)")
+def changed_sql(column: str, change: str, before: str, after: str) -> str:
+    count = lambda e, where: f"(SELECT count(DISTINCT {e}) FROM supplier{where})" if e else "0"
+    return f"""SELECT '{column}' AS "column", '{change}' AS change, {count(before, "")}::BIGINT AS values_before, {count(after, " WHERE s_acctbal > 0")}::BIGINT AS values_after"""
+
+
+@query(
+    "column_changes",
+    " UNION ALL ".join([
+        *(changed_sql(c, "common", c, c) for c in ("s_suppkey", "s_nationkey", "s_acctbal")),
+        changed_sql("s_name", "removed", "s_name", ""), changed_sql("is_rich", "added", "", "s_acctbal > 5000"),
+    ]),
+)
 def column_changes(spark, folder):
+    """Columns added, removed and common, with the values that each has before and after."""
     before = headed(spark, folder, "s_suppkey", "s_name", "s_nationkey", "s_acctbal")
-    after = before.drop("s_name").withColumn("is_rich", F.col("s_acctbal") > 5000)
-    return cp.column_changes(before, after).join(F.broadcast(after.agg(F.count(F.lit(1)).alias("rows"))))
+    after = before.where("s_acctbal > 0").drop("s_name").withColumn("is_rich", F.col("s_acctbal") > 5000)
+    held = [
+        lv.level_counts(df).groupBy("column").agg(F.count(F.lit(1)).alias(f"values_{name}")) for df, name in ((before, "before"), (after, "after"))
+    ]
+    found = cp.column_changes(before, after).join(held[0], "column", "left").join(held[1], "column", "left")
+    return found.fillna(0, ["values_before", "values_after"])
 
 
 @query(
@@ -161,6 +175,16 @@ def one_column(spark, folder):
     OR contains(lower(event_type), 'pageview') AS known FROM events GROUP BY event_type""",
 )
 def loose_matches(spark, folder):
-    counted = table(spark, folder, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"))
-    rows = [(r["event_type"], r["rows"], names.loosely_equal(r["event_type"], ["Click", "page_view"])) for r in counted.collect()]
-    return spark.createDataFrame(rows, "event_type string, rows long, known boolean")
+    known = tx.loosely_equal(F.col("event_type"), ["Click", "page_view"])
+    return table(spark, folder, "events").groupBy("event_type", known.alias("known")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("type_counts", "SELECT data_type, count(*) AS columns, sum(present)::BIGINT AS present FROM (" + " UNION ALL ".join(
+    f"SELECT '{t}' AS data_type, count({c}) AS present FROM events"
+    for c, t in (("event_id", "bigint"), ("ts", "timestamp_ntz"), ("user_id", "bigint"), ("event_type", "string"), ("value", "double"), ("props", "string"))
+) + ") GROUP BY data_type")
+def type_counts(spark, folder):
+    """Columns of each storage type, and the cells that they fill."""
+    events = table(spark, folder, "events")
+    filled = pr.column_statistics(events, approx=True).groupBy("data_type").agg(F.sum("non_null_count").alias("present"))
+    return cols.type_counts(events).join(filled, "data_type")

@@ -98,19 +98,18 @@ def validation_result(spark, folder):
 
 @query(
     "schema_drift",
-    f"""WITH v AS ({VENDOR_SQL}) SELECT 'weight' AS missing_columns, 'region|spend|status' AS extra_columns,
-    round((1 - 9 / 12.0)::DOUBLE, 4) AS drift_score, 'blocking' AS drift_severity, count(*) AS rows FROM v""",
+    f"""SELECT side, d."column", round((1 - 9 / 12.0)::DOUBLE, 4) AS drift_score, 'blocking' AS drift_severity,
+    coalesce(non_null_count, 0) AS cells, coalesce(unique_count, 0) AS unique_values
+    FROM (VALUES ('missing', 'weight'), ('extra', 'region'), ('extra', 'spend'), ('extra', 'status')) d(side, "column")
+    LEFT JOIN ({VENDOR_STATS}) s ON s."column" = d."column" """,
 )
 def schema_drift(spark, folder):
+    """Missing and extra columns, with what would be lost of each extra one."""
     df = vendor_survey(spark, folder)
-    drift = ma.schema_drift(ma.match_columns(ma.column_table(df), SURVEY_SCHEMA), SURVEY_SCHEMA).select(
-        F.array_join("missing_columns", "|").alias("missing_columns"),
-        F.array_join("extra_columns", "|").alias("extra_columns"),
-        F.round("drift_score", 4).alias("drift_score"),
-        "drift_severity",
-    )
-    rows = df.agg(F.count(F.lit(1)).alias("rows")).withColumn("drift_severity", F.lit("blocking"))
-    return drift.join(F.broadcast(rows), "drift_severity")
+    drift = ma.schema_drift(ma.match_columns(ma.column_table(df), SURVEY_SCHEMA), SURVEY_SCHEMA)
+    sides = [drift.select(F.lit(side).alias("side"), F.explode(f"{side}_columns").alias("column"), F.round("drift_score", 4).alias("drift_score"), "drift_severity") for side in ("missing", "extra")]
+    held = pr.column_statistics(df).select("column", F.col("non_null_count").alias("cells"), F.col("unique_count").alias("unique_values"))
+    return sides[0].unionByName(sides[1]).join(held, "column", "left").fillna(0, ["cells", "unique_values"])
 
 
 @query(
@@ -544,6 +543,25 @@ def upsert_mappings(spark, folder):
     return me.upsert_mappings(existing, rows, "orders").drop("timestamp")
 
 
+@query(
+    "schema_difference_history",
+    """SELECT 'survey' AS dataset, count(*) AS days, strftime(min(o_orderdate), '%Y-%m-%d') AS first FROM (SELECT DISTINCT o_orderdate FROM orders)""",
+)
+def schema_difference_history(spark, folder):
+    """One difference for each day with orders, learned in two runs, one of them repeated and one in a snapshot."""
+    days, path = table(spark, folder, "orders").select(F.col("o_orderdate").cast("timestamp").alias("timestamp")).distinct(), scratch(spark, "diffs")
+    found = me.difference_row(ma.column_table(vendor_survey(spark, folder)), SURVEY_SCHEMA, "survey")
+    rows = days.crossJoin(F.broadcast(found))
+    early = F.col("timestamp") < "1995-01-01"
+    me.append(rows.where(early), path, "schema_diffs", "run 1")
+    me.append(rows.where(early), path, "schema_diffs", "run 1")
+    me.compact(spark, path, "schema_diffs")
+    me.append(rows.where(~early), path, "schema_diffs", "run 2")
+    me.append(rows.where(early), path, "schema_diffs", "run 1")
+    history = me.load(spark, path, "schema_diffs")
+    return history.groupBy("dataset").agg(F.count(F.lit(1)).alias("days"), F.date_format(F.min("timestamp"), "yyyy-MM-dd").alias("first"))
+
+
 @query(
     "learned_tables",
     f"""SELECT 'level' AS kind, "column" AS name, value AS detail FROM ({levels_sql("orders", ("o_orderstatus", "o_orderpriority"))})

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.registry import (
     CUSTOMER_SQL, SURVEY_SQL, customer, query, rounded, survey, table, with_customer, with_survey,
 )
 from tablemeld.operators import levels as lv, profile as pr, quality as ql, validate as va
+from tablemeld.operators.counted import Counts, CountStore
 from tablemeld.plans.reports import quality_analysis
+from tablemeld.storage import shared_folder
+
+
+def scratch(spark, label: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/checks/{label}-{uuid.uuid4().hex}"
 
 CUSTOMER_COLUMNS = (
     ("c_custkey", "bigint", "integer"), ("c_name", "string", "string"),
@@ -80,6 +88,56 @@ def column_statistics_lineitem(spark, folder):
     return rounded(pr.column_statistics(lineitem).drop("ord"))
 
 
+EVENT_COLUMNS = (
+    ("event_id", "bigint", "integer"), ("ts", "timestamp_ntz", "datetime"), ("user_id", "bigint", "integer"),
+    ("event_type", "string", "string"), ("value", "double", "float"), ("props", "string", "string"),
+)
+
+
+def event_counts(spark, folder) -> Counts:
+    """Counts of events from three increments; the second is counted twice, as after a failure, and a snapshot holds the first two."""
+    events = table(spark, folder, "events")
+    store = CountStore(spark, scratch(spark, "event-counts"))
+    part = lambda k: events.where(F.col("event_id") % 3 == k)
+    store.add(part(0), "day 1")
+    store.add(part(1).limit(5), "day 2")
+    store.add(part(1), "day 2")
+    store.compact()
+    store.add(part(1), "day 2")
+    store.add(part(2), "day 3")
+    return store.counts()
+
+
+@query("merged_fit", rounded_sql(stats_sql("events", EVENT_COLUMNS), STATS_DOUBLES))
+def merged_fit(spark, folder):
+    return rounded(pr.column_statistics(table(spark, folder, "events"), counts=event_counts(spark, folder)).drop("ord"))
+
+
+@query(
+    "merged_ranks",
+    """SELECT value, count(*) AS row_count, (max(last) - (count(*) - 1) / 2) / max(n) AS percentile_rank FROM (
+       SELECT value, rank() OVER (ORDER BY value) + count(*) OVER (PARTITION BY value) - 1 AS last, count(*) OVER () AS n FROM events WHERE value IS NOT NULL)
+       GROUP BY value""",
+)
+def merged_ranks(spark, folder):
+    return event_counts(spark, folder).percentile_ranks("value")
+
+
+@query(
+    "merged_modes",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", (SELECT CAST({c} AS VARCHAR) FROM events WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS mode,
+        (SELECT round(quantile_cont({c}, 0.25), 4) FROM events) AS q1, (SELECT round(quantile_cont({c}, 0.75), 4) FROM events) AS q3"""
+        for c in ("event_id", "user_id")
+    ),
+)
+def merged_modes(spark, folder):
+    counts = event_counts(spark, folder)
+    modes, quartiles = counts.modes(), counts.quartiles()
+    rows = [(c, modes[c], round(quartiles[c][0.25], 4), round(quartiles[c][0.75], 4)) for c in ("event_id", "user_id")]
+    return spark.createDataFrame(rows, "column string, mode string, q1 double, q3 double")
+
+
 def levels_sql(source: str, names) -> str:
     return " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", CAST({c} AS VARCHAR) AS value, count(*) AS count

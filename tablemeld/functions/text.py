@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, functions as F
 
+from tablemeld.functions.names import compact
+
 
 def strip(column: Column) -> Column:
     """Without leading and trailing white space of any kind."""
@@ -72,3 +76,10 @@ def wave_label(column: Column) -> Column:
         )
         .otherwise(column)
     )
+
+
+def loosely_equal(name: Column, others: Iterable[str]) -> Column:
+    """Whether the name, without case, underscores, hyphens and spaces, equals, contains or lies in one of the others."""
+    short = F.lower(F.regexp_replace(name, r"[_\- ]", ""))
+    wanted = [F.lit(compact(o)) for o in others]
+    return reduce(or_, [short.contains(o) | o.contains(short) for o in wanted], F.lit(False))

@@ -13,7 +13,8 @@ from tablemeld.functions import fixed_values as fv
 from tablemeld.operators import neighbours, transform as tf
 from tablemeld.operators.joins import fits_broadcast
 from tablemeld.operators.match import UNMAPPED, schema_difference
-from tablemeld.sources.metadata import MasterSchema, path_exists
+from tablemeld.sources.metadata import MasterSchema
+from tablemeld.sources.segments import Segments
 
 #: Schemas of the learned tables; every row carries its time.
 TABLES = {
@@ -53,24 +54,32 @@ KEYS = {
 }
 
 
+def _stored(spark: SparkSession, folder: str, name: str) -> Segments:
+    return Segments(spark, f"{folder.rstrip('/')}/{name}", TABLES[name])
+
+
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A learned table; empty before its first append."""
-    path = f"{folder.rstrip('/')}/{name}"
-    if path_exists(spark, path):
-        return spark.read.schema(TABLES[name]).parquet(path)
-    return spark.createDataFrame([], TABLES[name])
+    """A learned table, from its newest snapshot and the runs since; empty before its first append."""
+    return _stored(spark, folder, name).load()
+
 
+def append(rows: DataFrame, folder: str, name: str, run: str | None = None) -> None:
+    """Append rows to a learned table; rows without a time get the current one.
 
-def append(rows: DataFrame, folder: str, name: str) -> None:
-    """Append rows to a learned table; rows without a time get the current one."""
+    A run that is repeated under its id replaces its own rows, so a retry counts once.
+    """
     if "timestamp" not in rows.columns:
         rows = rows.withColumn("timestamp", F.current_timestamp())
     schema = rows.sparkSession.createDataFrame([], TABLES[name]).schema
     missing = [f for f in schema.fields if f.name not in rows.columns]
     rows = rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing})
-    rows.select(*[cols.ref(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]).write.mode(
-        "append"
-    ).parquet(f"{folder.rstrip('/')}/{name}")
+    _stored(rows.sparkSession, folder, name).append(rows, run)
+
+
+def compact(spark: SparkSession, folder: str, name: str, only_latest: bool = False) -> int:
+    """Write a snapshot of a learned table, of all its rows or of the last row for each key; returns its version."""
+    keep = (lambda rows: latest(rows, KEYS[name])) if only_latest else (lambda rows: rows)
+    return _stored(spark, folder, name).compact(keep)
 
 
 def latest(history: DataFrame, keys: Sequence[str], order: str = "timestamp") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tablemeld import columns as cols
 from tablemeld.functions.fixed_values import OUTLIER_STD, SCALE_BANDS
 from tablemeld.operators import levels as lv
+from tablemeld.operators.counted import Counts
 from tablemeld.functions.values import lookup
 from tablemeld.operators.facts import (
     ColumnFacts, approximate_levels, exact_quantiles, fit_facts, medians,
@@ -61,14 +62,26 @@ def column_statistics(
     facts: Mapping[str, ColumnFacts] | None = None,
     categorical_share: float = CATEGORICAL_SHARE,
     quantiles: Mapping[str, Mapping[float, float]] | None = None,
+    counts: Counts | None = None,
 ) -> DataFrame:
     """One row per column: counts, missingness, distinct values, moments, text lengths.
 
-    ``approx=True`` takes distinct counts and medians from fixed-size sketches.
+    All of it comes from one counted table, ``counts`` if it is at hand.  ``approx=True`` takes
+    distinct counts and medians from fixed-size sketches and writes nothing.
     """
     df = cols.nan_to_null(df)
+    if not approx and facts is None and quantiles is None:
+        counts = counts or Counts.of(df)
+    if counts is not None:
+        facts = facts or counts.facts()
     facts = facts or fit_facts(df)
-    if approx:
+    if counts is not None and not approx:
+        middle = {c: q[0.5] for c, q in quantiles.items()} if quantiles else counts.medians()
+        unique = counts.distinct()
+        table = facts_table(df, facts, middle).withColumn(
+            "unique_count", lookup(F.col("column"), {c: str(n) for c, n in unique.items()}).cast("bigint")
+        )
+    elif approx:
         unique = approximate_levels(df, facts)
         table = facts_table(df, facts, _approx_medians(df, facts)).withColumn(
             "unique_count", lookup(F.col("column"), {c: str(n) for c, n in unique.items()}).cast("bigint")

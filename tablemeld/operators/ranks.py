@@ -31,6 +31,11 @@ def percentile_ranks(df: DataFrame, column: str, levels_per_task: int = LEVELS_P
         df.where(value.isNotNull()).groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("row_count"))
     )
     distinct = df.agg(F.approx_count_distinct(value)).first()[0]
+    return ranked_levels(counted, column, distinct, levels_per_task)
+
+
+def ranked_levels(counted: DataFrame, column: str, distinct: int, levels_per_task: int = LEVELS_PER_TASK) -> DataFrame:
+    """The same from (value, row_count) of about ``distinct`` values."""
     if distinct <= levels_per_task:
         ordered = counted.withColumn("bucket", F.lit(0))
     else:

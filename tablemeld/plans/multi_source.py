@@ -174,7 +174,7 @@ def run(
     return results
 
 
-def remember(result: Mapping[str, DataFrame], folder: str) -> None:
-    """Append what a run learned to the learned tables."""
+def remember(result: Mapping[str, DataFrame], folder: str, run: str | None = None) -> None:
+    """Append what a run learned to the learned tables; repeated under the id of the run, it counts once."""
     for table in (*LEARNED, "column_mappings"):
-        me.append(result[table], folder, table)
+        me.append(result[table], folder, table, run)

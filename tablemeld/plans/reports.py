@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from tablemeld import columns as cols
 from tablemeld.functions.fixed_values import VALID_SCHEMA_CONFIDENCE
 from tablemeld.operators import match as ma, profile as pr, quality as ql, transform as tf
-from tablemeld.operators.facts import fit_facts
+from tablemeld.operators.counted import Counts
 from tablemeld.operators.validate import business_issues
 from tablemeld.sources.metadata import MasterSchema
 
@@ -39,9 +39,9 @@ def structural_validation(
 
 def quality_analysis(df: DataFrame, rule_texts: Sequence[str] = ()) -> dict[str, DataFrame]:
     """Statistics, issues and score of a table."""
-    facts = fit_facts(df)
-    quantiles = pr.fit_quartiles(df, facts)
-    statistics = pr.column_statistics(df, facts=facts, quantiles=quantiles)
+    counts = Counts.of(df)
+    facts, quantiles = counts.facts(), counts.quartiles()
+    statistics = pr.column_statistics(df, facts=facts, quantiles=quantiles, counts=counts)
     extra = business_issues(df, rule_texts) if rule_texts else None
     issues = ql.detect_issues(df, statistics, facts, extra, quantiles)
     return {"statistics": statistics} | ql.quality_report(statistics, issues)

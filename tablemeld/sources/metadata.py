@@ -18,6 +18,7 @@ except ImportError:  # YAML documents need PyYAML; JSON ones do not
     yaml = None
 
 from tablemeld.operators.validate import Rule
+from tablemeld.storage import path_exists
 
 
 @dataclass(frozen=True)
@@ -217,13 +218,6 @@ def load_document(spark: SparkSession, path: str) -> Any:
     return [line.strip() for line in text.splitlines() if line.strip()]
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path exists, on whatever file system it names."""
-    jvm = spark.sparkContext._jvm
-    location = jvm.org.apache.hadoop.fs.Path(path)
-    return location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(location)
-
-
 def save_document(spark: SparkSession, document: Any, path: str) -> str:
     """Write a small document as JSON on whatever file system the path names."""
     jvm = spark.sparkContext._jvm

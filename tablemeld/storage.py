@@ -28,3 +28,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/tablemeld/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _location(spark: SparkSession, path: str) -> tuple:
+    jvm = spark.sparkContext._jvm
+    location = jvm.org.apache.hadoop.fs.Path(path)
+    return location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), location
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, on whatever file system it names."""
+    system, location = _location(spark, path)
+    return system.exists(location)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it does not exist."""
+    system, location = _location(spark, path)
+    return sorted(s.getPath().getName() for s in system.listStatus(location)) if system.exists(location) else []
