@@ -11,6 +11,7 @@ from tablemeld import columns as cols
 from tablemeld.functions.fixed_values import OUTLIER_STD, SCALE_BANDS
 from tablemeld.operators import levels as lv
 from tablemeld.operators.counted import Counts
+from tablemeld.operators.products import correlation_pairs
 from tablemeld.functions.values import lookup
 from tablemeld.operators.facts import (
     ColumnFacts, approximate_levels, exact_quantiles, fit_facts, medians,
@@ -176,9 +177,10 @@ def missing_summary(df: DataFrame, k: int = 20) -> DataFrame:
 
 
 def correlations(df: DataFrame, k: int | None = 10, names: Sequence[str] | None = None) -> DataFrame:
-    """Pearson correlation of numeric column pairs, strongest first.
+    """Pearson correlation of numeric column pairs, strongest first, in one scan.
 
-    Rows with a null in a pair are left out of that pair only.
+    Rows with a null in a pair are left out of that pair only.  A few pairs are built-in aggregates,
+    many come from cross products of the columns.
     """
     df = cols.nan_to_null(df)
     names = list(names or cols.numeric_columns(df))
@@ -186,28 +188,15 @@ def correlations(df: DataFrame, k: int | None = 10, names: Sequence[str] | None
     schema = "column_a string, column_b string, correlation double"
     if not pairs:
         return df.sparkSession.createDataFrame([], schema)
-    parts = []
-    for group in cols.batches(pairs, cols.EXPRESSIONS_PER_JOB):
-        wide = df.agg(
-            *[
-                F.corr(cols.as_double(df, a), cols.as_double(df, b)).alias(str(i))
-                for i, (a, b) in enumerate(group)
-            ]
-        )
-        rows = F.array(
-            *[
-                F.struct(
-                    F.lit(a).alias("column_a"),
-                    F.lit(b).alias("column_b"),
-                    F.col(f"`{i}`").alias("correlation"),
-                )
-                for i, (a, b) in enumerate(group)
-            ]
-        )
-        parts.append(wide.select(F.inline(rows)))
-    found = cols.union_by_name(parts).where(
-        F.col("correlation").isNotNull() & ~F.isnan("correlation")
-    )
+    if len(pairs) > cols.EXPRESSIONS_PER_JOB:
+        found = correlation_pairs(df, names)
+    else:
+        wide = df.agg(*[F.corr(cols.as_double(df, a), cols.as_double(df, b)).alias(str(i)) for i, (a, b) in enumerate(pairs)])
+        rows = [
+            F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"`{i}`").alias("correlation"))
+            for i, (a, b) in enumerate(pairs)
+        ]
+        found = wide.select(F.inline(F.array(*rows))).where(F.col("correlation").isNotNull() & ~F.isnan("correlation"))
     if k is None:
         return found
     return found.orderBy(F.desc(F.abs("correlation")), "column_a", "column_b").limit(k)

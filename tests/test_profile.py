@@ -8,7 +8,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tablemeld import columns as cols
-from tablemeld.operators import facts as fa, levels as lv, profile as pr, quality as ql, ranks
+from tablemeld.operators import facts as fa, levels as lv, products, profile as pr, quality as ql, ranks
 from tests import samples
 
 
@@ -194,3 +194,37 @@ def test_nan_is_missing(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (float("nan"),), (None,)], "x double")
     row = by_column(pr.column_statistics(df))["x"]
     assert row["null_count"] == 2 and row["mean"] == 1.5 and row["max"] in (2.0, "2.0") and row["median"] == 1.5
+
+
+@pytest.mark.parametrize("block, fan_in, group", [(128, 64, 4096), (4, 2, 4096), (4, 2, 8)])
+def test_products_of_many_columns_match_pairwise(spark, monkeypatch, block, fan_in, group):
+    for name, value in {"BLOCK": block, "FAN_IN": fan_in, "GROUP": group}.items():
+        monkeypatch.setattr(products, name, value)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 21)) @ rng.normal(size=(21, 21)) + 1e6
+    x[:, 3] = 5.5  # constant
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[5, 7] = None
+    x[:, 9] = np.nan
+    x[10:, 11] = np.nan
+    names = [f"c {k}" for k in range(21)]
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], ", ".join(f"`{c}` double" for c in names)).repartition(7)
+    want = {}
+    for i in range(21):
+        for j in range(i + 1, 21):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            a, b = x[both, i], x[both, j]
+            if len(a) > 1 and a.std() > 0 and b.std() > 0:
+                want[names[i], names[j]] = np.corrcoef(a, b)[0, 1]
+    got = {(r["column_a"], r["column_b"]): r["correlation"] for r in products.correlation_pairs(df, names).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(v, abs=1e-9) for k, v in want.items())
+    assert products.correlation_pairs(df.limit(0), names).count() == 0
+
+
+def test_many_columns_take_one_scan(spark, tmp_path):
+    x = np.random.default_rng(1).normal(size=(60, 40))
+    spark.createDataFrame([tuple(r) for r in x.tolist()], ", ".join(f"c{k} double" for k in range(40))).write.parquet(str(tmp_path / "wide"))
+    found = pr.correlations(spark.read.parquet(str(tmp_path / "wide")), 3).collect()
+    best = sorted(((abs(np.corrcoef(x[:, i], x[:, j])[0, 1]), f"c{i}", f"c{j}") for i in range(40) for j in range(i + 1, 40)), reverse=True)[:3]
+    assert [(r["column_a"], r["column_b"]) for r in found] == [b[1:] for b in best]
