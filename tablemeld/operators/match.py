@@ -15,10 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from tablemeld import columns as cols
 from tablemeld.functions import fixed_values as fv, names
 from tablemeld.functions.values import lookup
-from tablemeld.operators import levels as lv
+from tablemeld.operators import levels as lv, partners
 from tablemeld.operators.facts import ColumnFacts, fit_facts
 from tablemeld.operators.profile import facts_table
 from tablemeld.sources.metadata import MasterSchema
+from tablemeld.storage import materialize
 
 UNMAPPED = "UNMAPPED"
 
@@ -260,42 +261,65 @@ def column_pairs(
     )
 
 
+#: Columns of either side whose sets are kept as bits at once.
+SET_COLUMNS = 256
+
+
+def column_sets(source: DataFrame, s_names: Sequence[str], target: DataFrame, t_names: Sequence[str]) -> DataFrame:
+    """(source_set, target_set, values): how many distinct values exactly these columns hold.
+
+    A value's columns are bits, so each value is one row, whatever the number of columns that hold
+    it, and values of equal sets collapse to a count.  Sets are arrays of column numbers.
+    """
+    def placed(df: DataFrame, names_: Sequence[str], first: int) -> DataFrame:
+        number = lookup(F.col("column"), {c: str(first + i) for i, c in enumerate(names_)}).cast("int")
+        return lv.level_counts(df, names_).select("value", number.alias("bit"))
+
+    s_words, t_words = (-(-len(n) // 64) for n in (s_names, t_names))
+    bits = placed(source, s_names, 0).unionByName(placed(target, t_names, 64 * s_words))
+    mask = F.expr("shiftleft(1L, bit % 64)")
+    words = [f"w{k}" for k in range(s_words + t_words)]
+    held = bits.groupBy("value").agg(*[F.bit_or(F.when(F.floor(F.col("bit") / 64) == k, mask).otherwise(F.lit(0).cast("long"))).alias(w) for k, w in enumerate(words)])
+
+    def members(mine: Sequence[str], count: int) -> Column:
+        numbers = F.sequence(F.lit(0), F.lit(count - 1))
+        words_ = F.array(*map(F.col, mine))
+        return F.filter(numbers, lambda i: F.get(words_, F.floor(i / 64).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(i, F.lit(64)))) != 0)
+
+    sets = held.groupBy(*words).agg(F.count(F.lit(1)).alias("values"))
+    return sets.select(members(words[:s_words], len(s_names)).alias("source_set"), members(words[s_words:], len(t_names)).alias("target_set"), "values")
+
+
 def level_overlap(source: DataFrame, target: DataFrame, pairs: DataFrame) -> DataFrame:
     """(s_column, t_column, jaccard) of the distinct values of the given column pairs.
 
-    Levels are distinct per column before they meet, so a value contributes at most
-    one row per column pair however often it occurs.
+    Pairs are made from the sets of columns that hold the same values (``column_sets``), not from
+    values, so a value that all columns hold costs one row.
     """
-    sides = pairs.select("s_column", "t_column").collect()
+    spark, sides = source.sparkSession, pairs.select("s_column", "t_column").collect()
     if not sides:
-        return source.sparkSession.createDataFrame([], "s_column string, t_column string, jaccard double")
-    mine = lv.level_counts(source, sorted({r[0] for r in sides})).select(
-        F.col("column").alias("s_column"), "value"
-    )
-    theirs = lv.level_counts(target, sorted({r[1] for r in sides})).select(
-        F.col("column").alias("t_column"), "value"
-    )
-    sizes_s = mine.groupBy("s_column").agg(F.count(F.lit(1)).alias("s_levels"))
-    sizes_t = theirs.groupBy("t_column").agg(F.count(F.lit(1)).alias("t_levels"))
-    shared = (
-        mine.join(theirs, "value")
-        .groupBy("s_column", "t_column")
-        .agg(F.count(F.lit(1)).alias("shared"))
-    )
-    return (
-        pairs.select("s_column", "t_column")
-        .join(sizes_s, "s_column", "left")
-        .join(sizes_t, "t_column", "left")
-        .join(shared, ["s_column", "t_column"], "left")
-        .select(
-            "s_column",
-            "t_column",
-            F.coalesce(
-                F.coalesce("shared", F.lit(0))
-                / (F.col("s_levels") + F.col("t_levels") - F.coalesce("shared", F.lit(0))),
-                F.lit(0.0),
-            ).alias("jaccard"),
-        )
+        return spark.createDataFrame([], "s_column string, t_column string, jaccard double")
+    found = []
+    for s_names in cols.batches(sorted({r[0] for r in sides}), SET_COLUMNS):
+        for t_names in cols.batches(sorted({r[1] for r in sides}), SET_COLUMNS):
+            sets = column_sets(source, s_names, target, t_names)
+            # number -1 stands for a side as a whole: its pairs are the sizes of the other side's columns
+            either = lambda c: F.explode(F.array_append(c, F.lit(-1)))
+            counted = materialize(
+                sets.select(either(F.col("source_set")).alias("s"), "target_set", "values").select("s", either(F.col("target_set")).alias("t"), "values")
+                .groupBy("s", "t").agg(F.sum("values").alias("values")),
+                "overlap",
+            )
+            size_s = counted.where("t = -1").select("s", F.col("values").alias("s_levels"))
+            size_t = counted.where("s = -1").select("t", F.col("values").alias("t_levels"))
+            named = lambda number, names_: lookup(number.cast("string"), {str(i): c for i, c in enumerate(names_)})
+            shared = counted.where("s >= 0 and t >= 0").join(F.broadcast(size_s), "s").join(F.broadcast(size_t), "t")
+            found.append(shared.select(
+                named(F.col("s"), s_names).alias("s_column"), named(F.col("t"), t_names).alias("t_column"),
+                (F.col("values") / (F.col("s_levels") + F.col("t_levels") - F.col("values"))).alias("jaccard"),
+            ))
+    return pairs.select("s_column", "t_column").join(cols.union_by_name(found), ["s_column", "t_column"], "left").withColumn(
+        "jaccard", F.coalesce("jaccard", F.lit(0.0))
     )
 
 
@@ -336,32 +360,23 @@ def match_datasets(
 ) -> DataFrame:
     """Best target column per source column by name, label and distribution.
 
-    Confidence is half name, a fifth label, the rest distribution similarity.  With
+    Confidence is half name, a fifth label, the rest distribution similarity.  Names are only
+    compared where their letters still allow the best confidence (``partners``).  With
     ``one_to_one`` a target keeps only its best source.
     """
     def label(column: str, labels: Mapping[str, str] | None) -> Column:
         return F.coalesce(lookup(F.col(column), labels or {}), F.lit(""))
 
-    scored = (
-        distribution_similarity(source, target)
-        .withColumn("name", name_similarity("source_column", "target_column"))
-        .withColumn(
-            "label",
-            name_similarity(
-                label("source_column", source_labels), label("target_column", target_labels)
-            )
-            if source_labels and target_labels
-            else F.lit(0.0),
-        )
-        .withColumn(
-            "confidence",
-            F.round(
-                0.5 * F.col("name") + 0.2 * F.col("label") + 0.3 * F.col("distribution_similarity"), 3
-            ),
-        )
+    labelled = bool(source_labels and target_labels)
+    pairs = distribution_similarity(source, target).withColumns({
+        "source_label": label("source_column", source_labels if labelled else None),
+        "target_label": label("target_column", target_labels if labelled else None),
+    })
+    # the rows of one source column are as many as the target has columns
+    by_name, by_label, by_values = partners.WEIGHTS
+    best = pairs.groupBy("source_column").applyInPandas(partners.best_of_source, partners.BEST).withColumn(
+        "confidence", F.round(by_name * F.col("name") + by_label * F.col("label") + by_values * F.col("distribution_similarity"), 3)
     )
-    per_source = Window.partitionBy("source_column").orderBy(F.desc("confidence"), "t_ord")
-    best = scored.withColumn("rank", F.row_number().over(per_source)).where(F.col("rank") == 1)
     if one_to_one:
         per_target = Window.partitionBy("target_column").orderBy(F.desc("confidence"), "s_ord")
         best = best.withColumn("rank", F.row_number().over(per_target)).where(F.col("rank") == 1)

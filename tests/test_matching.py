@@ -1,4 +1,5 @@
 import math
+import random
 import statistics
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from tablemeld.functions import fixed_values as fv, names
 from tablemeld.functions.values import merge_value_maps
 from tablemeld.operators import (
-    calibrate as ca, compare as cp, generate as ge, joins, levels as lv, match as ma, memory as me, neighbours,
+    calibrate as ca, compare as cp, generate as ge, joins, levels as lv, match as ma, memory as me, neighbours, partners,
 )
 from tablemeld.sources import metadata as md
 from tablemeld.sources.metadata import value_map_table
@@ -270,3 +271,65 @@ def test_nearest_with_text_ids_and_nothing_similar(spark):
     asked = spark.createDataFrame([("near", [0.1, 0.0]), ("far", [9.0, 9.0])], "query_id string, vector array<float>")
     assert [r["query_id"] for r in me.suggest(table, asked).collect()] == ["near"]
     assert me.nearest(table, asked.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("set_columns", [256, 40])
+def test_overlap_of_columns_that_share_values(spark, monkeypatch, set_columns):
+    monkeypatch.setattr(ma, "SET_COLUMNS", set_columns)
+    r = random.Random(2)
+
+    def side(width, rows):
+        data = [tuple(r.choice(["all", "all", f"v{r.randrange(4 + c)}", None]) for c in range(width)) + (r.randrange(3),) for _ in range(rows)]
+        return data, spark.createDataFrame(data, ", ".join([*(f"c{c} string" for c in range(width)), "n int"]))
+
+    (left, source), (right, target) = side(70, 30), side(5, 20)
+    names_s, names_t = source.columns, [f"t_{c}" for c in target.columns]
+    target = target.toDF(*names_t)
+    pairs = spark.createDataFrame([(a, b) for a in names_s for b in names_t], "s_column string, t_column string")
+    got = {(x["s_column"], x["t_column"]): x["jaccard"] for x in ma.level_overlap(source, target, pairs).collect()}
+    text = lambda rows, c: {str(row[c]) for row in rows if row[c] is not None}
+    want = {(a, b): len(text(left, i) & text(right, j)) / max(1, len(text(left, i) | text(right, j))) for i, a in enumerate(names_s) for j, b in enumerate(names_t)}
+    assert got == pytest.approx(want)
+    if set_columns == 256:
+        sets = ma.column_sets(source, names_s, target, names_t).collect()
+        assert sum(x["values"] for x in sets) == len(set().union(*(text(left, i) for i in range(71)), *(text(right, j) for j in range(6))))
+        assert sum(len(x["source_set"]) >= 70 and len(x["target_set"]) >= 5 for x in sets) == 1  # the value of all columns is one row
+
+
+def test_overlap_of_nothing(spark):
+    empty = spark.createDataFrame([(None, None)], "a string, b int")
+    pairs = spark.createDataFrame([("a", "a"), ("b", "a")], "s_column string, t_column string")
+    assert {x["jaccard"] for x in ma.level_overlap(empty, empty, pairs).collect()} == {0.0}
+    assert ma.level_overlap(empty, empty, pairs.limit(0)).count() == 0
+
+
+WORDS = ("customer order brand country region satisfaction score rating date wave age gender income spend channel visit product price store weight "
+         "loyalty market segment intent purchase usage panel question answer comment").split()
+
+
+@pytest.mark.parametrize("labels", [False, True])
+def test_best_partner_is_that_of_all_pairs(labels):
+    r = random.Random(8)
+    make = lambda: "_".join(r.choice(WORDS) for _ in range(r.randrange(1, 4))) + r.choice(["", "_1", "_Code", "ID"])
+    targets = pd.DataFrame({"name": [make() for _ in range(2000)], "label": [make() if labels else "" for _ in range(2000)], "ord": range(2000)})
+    targets["distribution"] = [r.choice([0.0, 0.0, 0.0, round(r.random(), 3)]) for _ in range(2000)]
+    scored = 0
+    for _ in range(12):
+        name, label = make(), make() if labels else ""
+        confidence = [
+            0.5 * names.similarity(name, t.name) + (0.2 * names.similarity(label, t.label) if labels else 0.0) + 0.3 * t.distribution
+            for t in targets.rename(columns={"name": "n"}).rename(columns={"n": "name"}).itertuples(index=False)
+        ]
+        want = min(range(2000), key=lambda k: (-partners.rounded(confidence[k]), k))
+        k, n, _, count = partners.best_partner(name, label, targets)
+        assert (k, n) == (want, names.similarity(name, targets["name"][want]))
+        scored += count
+    assert scored < 12 * 2000 / 10
+
+
+def test_bounds_hold_for_every_pair():
+    r = random.Random(9)
+    texts = ["", None, "É É", "aa"] + ["".join(r.choice("abcAB_ ") for _ in range(r.randrange(9))) for _ in range(60)]
+    for a in texts:
+        bounds = partners.similarity_bounds(a, texts)
+        assert all(names.similarity(a, b) <= bounds[k] + 1e-12 for k, b in enumerate(texts))
