@@ -393,6 +393,31 @@ def json_round_trip(spark, folder):
     return st.read_table(spark, path).data.select("doc_id", "text", "lang", "source", "n_chars")
 
 
+@query("json_mixed_folder", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def json_mixed_folder(spark, folder):
+    """Documents in a folder: some files hold an array, others a record on each line."""
+    path, documents = scratch(spark, "mixed") + ".json", table(spark, folder, "documents")
+    st.write_table(documents.where("doc_id % 2 = 0"), f"{path}/part=-1", "json")
+    record = F.to_json(F.struct(*documents.columns), {"ignoreNullFields": "false"})
+    # an array for each 64 documents, a file for each array
+    arrays = documents.where("doc_id % 2 = 1").groupBy(F.floor(F.col("doc_id") / 128).alias("part")).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(record), ",\n"), F.lit("\n]")).alias("value"))
+    arrays.write.mode("append").partitionBy("part").text(path)
+    return st.read_table(spark, path).data.select(documents.columns)
+
+
+@query("csv_stream_text", AWKWARD_SQL)
+def csv_stream_text(spark, folder):
+    """The same texts as a stream of CSV files."""
+    rows = spark.sql(
+        AWKWARD.format(id="doc_id", text="text", source="{documents}") + " UNION ALL " + AWKWARD.format(id="page_id", text="html", source="{pages}"),
+        documents=table(spark, folder, "documents"), pages=table(spark, folder, "pages"),
+    )
+    path, out = scratch(spark, "arriving") + ".csv", scratch(spark, "texts")
+    st.write_table(rows, path)
+    incremental.start(incremental.read_stream(spark, path, rows.schema, "csv"), [], f"{out}/data", f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/data").select("id", "text")
+
+
 @query("source_files", "SELECT 'events.parquet' AS file_name, count(*) AS rows, 6 AS column_count FROM events")
 def source_files(spark, folder):
     source = st.read_table(spark, f"{folder}/events.parquet")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -20,15 +22,15 @@ class Source:
     path: str
     format: str
     encoding: str | None = None
+    #: The reads that ``data`` unites, where it is more than one.
+    parts: tuple[DataFrame, ...] = ()
 
     def files(self) -> DataFrame:
         """(file_path, file_name, file_size, rows) of every file read."""
         meta = F.col("_metadata")
-        return self.data.groupBy(
-            meta["file_path"].alias("file_path"),
-            meta["file_name"].alias("file_name"),
-            meta["file_size"].alias("file_size"),
-        ).agg(F.count(F.lit(1)).alias("rows"))
+        names = ("file_path", "file_name", "file_size")
+        found = [part.groupBy(*[meta[n].alias(n) for n in names]).agg(F.count(F.lit(1)).alias("rows")) for part in self.parts or (self.data,)]
+        return union_by_name(found)
 
     def describe(self) -> DataFrame:
         """One row: path, format, encoding, rows, columns and total size."""
@@ -61,6 +63,11 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
     return "UTF-8" if broken.isEmpty() else "ISO-8859-1"
 
 
+def csv_options(typed: bool, lines: bool = False) -> dict:
+    """How CSV is read everywhere, in batches and in streams; ``typed``: with a schema."""
+    return {"header": True, "escape": '"', "multiLine": not lines} | ({"nullValue": "\0"} if typed else {})
+
+
 def read_csv(
     spark: SparkSession, path: str, encoding: str | None = None, schema: T.StructType | str | None = None,
     lines: bool = False, **options,
@@ -73,26 +80,71 @@ def read_csv(
     empty text and only an unquoted one is missing; without one both are missing.
     """
     encoding = encoding or detect_encoding(spark, path)
-    wanted = {"header": True, "encoding": encoding, "escape": '"', "multiLine": not lines}
-    if schema is not None:
-        wanted["nullValue"] = "\0"
-    reader = spark.read.options(**wanted | {"inferSchema": schema is None} | options)
+    reader = spark.read.options(**csv_options(schema is not None, lines) | {"encoding": encoding, "inferSchema": schema is None} | options)
     return Source((reader if schema is None else reader.schema(schema)).csv(path), path, "csv", encoding)
 
 
-def _is_json_array(spark: SparkSession, path: str) -> bool:
-    """Whether the first text of the first file that has any is an opening bracket."""
-    first = spark.read.text(path).where(F.length(F.trim("value")) > 0).head()
-    return first is not None and first["value"].lstrip().startswith("[")
+def _json_kinds(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """Files of one array, and files of a record on each line, by the first text of each file.
+
+    One aggregate over the lines; a file without any text is in neither list.
+    """
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())  # ids grow along a split
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.ltrim(F.regexp_replace("value", "\ufeff", "")).alias("line"), place.alias("place"))
+    first = lines.where(F.trim("line") != "").groupBy("file").agg(F.min_by(F.substring("line", 1, 1), "place").alias("mark"))
+    found = first.groupBy((F.col("mark") == "[").alias("whole")).agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
+    kinds = {r["whole"]: [_literal(f) for f in r["files"]] for r in found}
+    return kinds.get(True, []), kinds.get(False, [])
+
+
+def _literal(file: str) -> str:
+    """A file's address as a path that names it alone: decoded, and without signs that match several names."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", unquote(file))
+
+
+def merged_type(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The type that values of both types are read as: numbers widen, fields come together, anything else is text."""
+    if a == b or isinstance(b, T.NullType):
+        return a
+    if isinstance(a, T.NullType):
+        return b
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        fields = {f.name: f.dataType for f in a.fields}
+        for f in b.fields:
+            fields[f.name] = merged_type(fields[f.name], f.dataType) if f.name in fields else f.dataType
+        return T.StructType([T.StructField(n, fields[n]) for n in sorted(fields)])
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        return T.ArrayType(merged_type(a.elementType, b.elementType))
+    if isinstance(a, T.NumericType) and isinstance(b, T.NumericType):
+        return T.DoubleType()
+    return T.StringType()
 
 
 def read_json(
     spark: SparkSession, path: str, multiline: bool | None = None, schema: T.StructType | str | None = None, **options
 ) -> Source:
-    """JSON records, one on each line; files of one array (or ``multiline=True``) are read whole."""
-    whole = _is_json_array(spark, path) if multiline is None else multiline
-    reader = spark.read.options(**{"multiLine": whole} | options)
-    return Source((reader if schema is None else reader.schema(schema)).json(path), path, "json")
+    """JSON records, one on each line, or files of one array, which are read whole.
+
+    Each file of a folder is read as its own first text says, and all with one schema; ``multiline``
+    says it for all files and saves the pass that looks.
+    """
+    def read(paths: str | list[str], whole: bool, wanted: T.StructType | str | None) -> DataFrame:
+        base = {} if paths == path or not path_exists(spark, path) else {"basePath": path}
+        reader = spark.read.options(**{"multiLine": whole} | base | options)
+        return (reader if wanted is None else reader.schema(wanted)).json(paths)
+
+    if multiline is not None:
+        return Source(read(path, multiline, schema), path, "json")
+    kinds = dict(zip((True, False), _json_kinds(spark, path), strict=True))
+    held = {whole: files for whole, files in kinds.items() if files}
+    if len(held) < 2:
+        # one kind only: the path itself, so that partition columns of a folder stay
+        return Source(read(path, True in held, schema), path, "json")
+    if schema is None:
+        inferred = [read(files, whole, None).schema for whole, files in held.items()]
+        schema = merged_type(*inferred)
+    parts = tuple(read(files, whole, schema) for whole, files in held.items())
+    return Source(union_by_name(parts), path, "json", parts=parts)
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None, **options) -> Source:

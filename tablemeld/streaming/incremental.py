@@ -15,22 +15,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tablemeld.operators import transform as tf, validate as va
-from tablemeld.sources.tables import format_of
+from tablemeld.sources.tables import csv_options, format_of
 
 Step = Callable[[DataFrame], DataFrame]
 
 
 def read_stream(
-    spark: SparkSession, folder: str, schema, kind: str | None = None, max_files: int | None = None
+    spark: SparkSession, folder: str, schema, kind: str | None = None, max_files: int | None = None, **options
 ) -> DataFrame:
-    """A stream of the files that arrive in a folder."""
+    """A stream of the files that arrive in a folder, read with the options of the batch readers.
+
+    A JSON stream has a record on each line unless ``multiLine`` is given: its files are not known beforehand.
+    """
     kind = kind or format_of(folder, "parquet")
     reader = spark.readStream.format(kind).schema(schema)
     if kind == "csv":
-        reader = reader.option("header", True).option("escape", '"')
+        reader = reader.options(**csv_options(typed=True))
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.load(folder)
+    return reader.options(**options).load(folder)
 
 
 def harmonized_stream(stream: DataFrame, steps: Sequence[Step]) -> DataFrame:

@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 import __spark_entry__ as entry
 from tablemeld import storage
@@ -242,6 +242,41 @@ def test_whole_records_are_read(spark, tmp_path):
     assert st.read_table(spark, str(tmp_path / "array.json")).data.count() == 2
 
 
+def test_folder_of_json_arrays_and_lines(spark, tmp_path):
+    folder = tmp_path / "mixed folder.json"
+    (folder / "day=1").mkdir(parents=True)
+    (folder / "day=2").mkdir()
+    (folder / "day=1" / "a file.json").write_text('\ufeff\n [{"a": 1, "b": {"c": 1}},\n {"a": 2.5, "d": "x\\ny"}]')
+    (folder / "day=2" / "b.json").write_text("\n".join('{"a": %d, "b": {"e": "t"}}' % k for k in range(10)))
+    (folder / "day=2" / "empty.json").write_text(" \n")
+    (folder / "day=2" / "c.json").write_text('[\n{"a": 7}\n]')
+    source = st.read_table(spark, str(folder))
+    data = source.data
+    assert data.count() == 13 and {"a", "b", "d", "day"} == set(data.columns)
+    assert sorted(r["a"] for r in data.collect()) == sorted([1, 2.5, 7, *range(10)])
+    assert {(r["a"], r["day"]) for r in data.where("d is not null or a = 7").collect()} == {(2.5, 1), (7.0, 2)}
+    typed = st.read_table(spark, str(folder), schema="a double, d string").data
+    assert typed.count() == 13 and typed.where("d = 'x\ny'").count() == 1
+    assert {r["file_name"].split(".")[0][0]: r["rows"] for r in source.files().collect()} == {"a": 2, "b": 10, "c": 1}
+
+
+def test_types_that_two_files_share():
+    merge = lambda a, b: st.merged_type(*(T._parse_datatype_string(f"x {t}")["x"].dataType for t in (a, b))).simpleString()
+    assert merge("bigint", "bigint") == "bigint" and merge("bigint", "double") == "double" and merge("string", "bigint") == "string"
+    assert merge("array<bigint>", "array<double>") == "array<double>" and merge("struct<b:bigint>", "struct<a:string,b:string>") == "struct<a:string,b:string>"
+    assert st.merged_type(T.NullType(), T.LongType()) == T.LongType() == st.merged_type(T.LongType(), T.NullType())
+
+
+def test_csv_stream_keeps_quoted_line_breaks(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 'one "line"\nand another'), (2, "plain"), (3, ""), (4, None)], "id int, v string").coalesce(1)
+    arrived, out = str(tmp_path / "in.csv"), str(tmp_path / "out")
+    st.write_table(rows, arrived)
+    stream = incremental.read_stream(spark, arrived, rows.schema, "csv")
+    incremental.start(stream, [], out, str(tmp_path / "checkpoint")).awaitTermination()
+    got = spark.read.parquet(out).select("id", "v")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, st.read_table(spark, arrived, schema=rows.schema).data.collect())) == sorted(map(tuple, rows.collect()))
+
+
 def test_increments_need_frozen_ranks(spark):
     base = spark.createDataFrame([(float(v),) for v in range(1, 101)], "x double")
     fit = {"x": tf.ScaleFit(1.0, 100.0, 0.0, 100.0, "percentile")}
