@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablemeld import columns as cols
 from tablemeld.functions.fixed_values import STRATEGY_LABELS
+from tablemeld.functions.values import lookup
 from tablemeld.operators import levels as lv
 from tablemeld.operators.facts import ColumnFacts, fit_facts, fit_skewness, medians
+from tablemeld.operators.joins import weighted_lookup
 
 KEEP, DROP_COLUMN, REMOVE_ROWS = "Keep missing", "Drop column", "Remove rows"
 
@@ -263,22 +265,35 @@ def fit_codes(
     return fills
 
 
-def _mask_flags(mask: DataFrame | None, names: Sequence[str], prefix: str, row_id: str) -> DataFrame | None:
-    """A long (row_id, column) mask as one row of flags per row id."""
-    if mask is None:
+#: Bits of one word of a row's mask.
+MASK_BITS = 62
+
+
+def cell_masks(masks: Sequence[DataFrame | None], names: Sequence[str], row_id: str) -> DataFrame | None:
+    """Long (row_id, column) masks as bits, one row for each row id that any of them lists.
+
+    Bit ``len(masks) * i + k`` says that mask k lists column i; words hold ``MASK_BITS`` of them.
+    """
+    listed = []
+    for k, mask in enumerate(masks):
+        if mask is not None:
+            bit = lookup(F.col("column"), {c: str(len(masks) * i + k) for i, c in enumerate(names)}).cast("int")
+            listed.append(mask.select(F.col("row_id").alias(row_id), bit.alias("__bit")))
+    if not listed or not names:
         return None
+    words = -(-len(masks) * len(names) // MASK_BITS)
+    place = F.expr(f"shiftleft(1L, __bit % {MASK_BITS})")
     return (
-        mask.where(F.col("column").isin(list(names)) & F.col("row_id").isNotNull())
-        .groupBy(F.col("row_id").alias(row_id))
-        .agg(
-            *[
-                F.max(F.col("column") == c).alias(f"{prefix}{i}")
-                for i, c in enumerate(names)
-            ]
-        )
+        cols.union_by_name(listed).where(F.col("__bit").isNotNull() & cols.ref(row_id).isNotNull()).groupBy(cols.ref(row_id))
+        .agg(*[F.bit_or(F.when(F.floor(F.col("__bit") / MASK_BITS) == w, place).otherwise(F.lit(0).cast("long"))).alias(f"__mask{w}") for w in range(words)])
     )
 
 
+def _masked(bit: int) -> Column:
+    word = F.coalesce(F.col(f"__mask{bit // MASK_BITS}"), F.lit(0).cast("long"))
+    return word.bitwiseAND(F.lit(1 << bit % MASK_BITS).cast("long")) != 0
+
+
 def impute_masked(
     df: DataFrame,
     row_id: str,
@@ -291,36 +306,34 @@ def impute_masked(
 
     ``valid_nulls`` and ``uncertain`` are long (row_id, column) tables.  Cells in
     ``valid_nulls`` stay null.  A column that ``uncertain`` mentions is filled only in
-    those cells.  ``drop`` and ``remove`` drop rows whose null is not valid.
+    those cells.  ``drop`` and ``remove`` drop rows whose null is not valid.  The masks meet the
+    table in one lookup of bits; rows without an id are in no mask and take no part in it.
     """
     df = cols.nan_to_null(df)
     names = [c for c, s in strategies.items() if c in df.columns and s != "keep"]
     fills = fit_codes(df, {c: strategies[c] for c in names})
-    valid = _mask_flags(valid_nulls if keep_valid_nulls else None, names, "__valid", row_id)
-    listed = _mask_flags(uncertain, names, "__listed", row_id)
+    masks = [valid_nulls if keep_valid_nulls else None, uncertain]
+    bits = cell_masks(masks, names, row_id)
     mentioned: set[str] = set()
     if uncertain is not None:
         mentioned = {
             r["column"]
             for r in uncertain.where(F.col("column").isin(names)).select("column").distinct().collect()
         }
-    joined = df
-    for flags in (valid, listed):
-        if flags is not None:
-            joined = joined.join(flags, row_id, "left")
+    joined = df if bits is None else weighted_lookup(df, bits, [row_id])
 
-    def flag(prefix: str, i: int, table: DataFrame | None) -> Column:
-        return F.lit(False) if table is None else F.coalesce(F.col(f"{prefix}{i}"), F.lit(False))
+    def flag(k: int, i: int) -> Column:
+        return F.lit(False) if masks[k] is None else _masked(len(masks) * i + k)
 
     change, keep = {}, F.lit(True)
     for i, c in enumerate(names):
-        protected = flag("__valid", i, valid)
+        protected = flag(0, i)
         if strategies[c] in ("drop", "remove"):
             keep = keep & (cols.ref(c).isNotNull() | protected)
         elif c in fills:
             allowed = ~protected
             if c in mentioned:
-                allowed = allowed & flag("__listed", i, listed)
+                allowed = allowed & flag(1, i)
             change[c] = F.when(allowed, fill_expression(df, c, fills[c].value)).otherwise(cols.ref(c))
     if change:
         joined = joined.withColumns(change)

@@ -1,3 +1,5 @@
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -78,6 +80,32 @@ def test_masked_imputation_of_listed_cells_and_removal(brand):
         im.fit_codes(brand, {"usage": "guess"})
 
 
+@pytest.mark.parametrize("broadcast_rows", [200_000, 3])
+def test_masks_of_many_columns_and_rows_without_id(spark, monkeypatch, broadcast_rows):
+    """A third of the rows have no id, a third have one and the same; masks of both kinds over more columns than a word holds."""
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", broadcast_rows)
+    r = random.Random(6)
+    names = [f"c{k}" for k in range(40)]
+    ids = [None, 7, None]
+    rows = [(ids[k % 3] if k % 3 < 2 else 100 + k, k, *[r.choice([None, 1.0, 2.0]) for _ in names]) for k in range(90)]
+    df = spark.createDataFrame(rows, "rid int, k int, " + ", ".join(f"{c} double" for c in names))
+    cells = [(r.choice([None, 7, *range(100, 190)]), r.choice(names)) for _ in range(900)]
+    valid, uncertain = cells[:400], cells[400:] + [(None, "other"), (7, "other")]
+    table = lambda x: spark.createDataFrame(x, "row_id int, column string")
+    strategies = {c: "zero" for c in names[:-1]} | {names[-1]: "remove"}
+    out = im.impute_masked(df, "rid", strategies, table(valid), table(uncertain))
+    assert out.columns == df.columns
+    mentioned = {c for _, c in uncertain}
+    valid_set, listed = {x for x in valid if x[0] is not None}, {x for x in uncertain if x[0] is not None}
+    want = []
+    for rid, k, *values in rows:
+        if values[-1] is None and (rid, names[-1]) not in valid_set:
+            continue
+        filled = [0.0 if v is None and s == "zero" and (rid, c) not in valid_set and (c not in mentioned or (rid, c) in listed) else v for (c, s), v in zip(strategies.items(), values)]
+        want.append((rid, k, *filled))
+    assert sorted(map(tuple, out.collect()), key=lambda x: x[1]) == want
+
+
 def test_fallback_only_when_nothing_improved(answers):
     assert im.fallback_clean(answers, answers).where("gender = 'Unknown'").count() == 1
     better = answers.fillna({"score": 0.0})
