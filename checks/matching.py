@@ -386,6 +386,18 @@ def csv_text_round_trip(spark, folder):
     return st.read_table(spark, path, schema=rows.schema).data
 
 
+@query("csv_one_file", AWKWARD_SQL)
+def csv_one_file(spark, folder):
+    """The same texts in one CSV file, read by records."""
+    rows = spark.sql(
+        AWKWARD.format(id="doc_id", text="text", source="{documents}") + " UNION ALL " + AWKWARD.format(id="page_id", text="html", source="{pages}"),
+        documents=table(spark, folder, "documents"), pages=table(spark, folder, "pages"),
+    )
+    path = scratch(spark, "one-file") + ".csv"
+    st.write_table(rows.coalesce(1), path)
+    return st.read_csv(spark, path, schema=rows.schema, split=True).data
+
+
 @query("json_round_trip", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def json_round_trip(spark, folder):
     path = scratch(spark, "documents") + ".json"

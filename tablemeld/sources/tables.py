@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 from urllib.parse import unquote
@@ -9,7 +10,8 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tablemeld.columns import nan_to_null, ref, union_by_name
-from tablemeld.sources.metadata import path_exists
+from tablemeld.sources.records import csv_records
+from tablemeld.storage import path_exists
 
 FORMATS = {"csv": "csv", "json": "json", "parquet": "parquet", "orc": "orc"}
 
@@ -70,20 +72,65 @@ def csv_options(typed: bool, lines: bool = False) -> dict:
 
 def read_csv(
     spark: SparkSession, path: str, encoding: str | None = None, schema: T.StructType | str | None = None,
-    lines: bool = False, **options,
+    lines: bool = False, split: bool | None = None, **options,
 ) -> Source:
     """CSV with a header; an empty file gives an empty table.
 
-    Quoted values may hold line breaks, so a file is one task; ``lines=True`` promises that
-    none does and splits large files.  A ``schema`` saves the pass that infers the types,
-    an ``encoding`` the pass that checks for UTF-8.  With a schema a quoted empty value is an
+    Quoted values may hold line breaks.  Small files are a task each; a folder with a UTF-8 file of
+    several splits is read by records (``split``), which many tasks share.  ``lines=True`` promises
+    that no value holds a line break.  A ``schema`` saves the pass that infers the types, an
+    ``encoding`` the pass that checks for UTF-8.  With a schema a quoted empty value is an
     empty text and only an unquoted one is missing; without one both are missing.
     """
     encoding = encoding or detect_encoding(spark, path)
-    reader = spark.read.options(**csv_options(schema is not None, lines) | {"encoding": encoding, "inferSchema": schema is None} | options)
+    wanted = csv_options(schema is not None, lines) | {"encoding": encoding, "inferSchema": schema is None} | options
+    if split is None:
+        # other quotes and separators of lines are left to the reader of whole files
+        split = not lines and not options and encoding == "UTF-8" and _largest_file(spark, path) > 2 * _split_bytes(spark)
+    if split:
+        return _read_records(spark, path, schema, wanted)
+    reader = spark.read.options(**wanted)
     return Source((reader if schema is None else reader.schema(schema)).csv(path), path, "csv", encoding)
 
 
+def _split_bytes(spark: SparkSession) -> int:
+    return int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
+
+
+def _largest_file(spark: SparkSession, path: str) -> int:
+    """Bytes of the largest file, from the listing alone."""
+    found = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0]
+    return found or 0
+
+
+def _read_records(spark: SparkSession, path: str, schema: T.StructType | str | None, options: dict) -> Source:
+    """CSV parsed record by record."""
+    found = csv_records(spark, path)
+    meta = F.struct("file_path", "file_name", "file_size").alias("_metadata")
+    heads = found.where("start = 0 and place = 0")
+    rows = found.where("not (start = 0 and place = 0)").where(~F.col("record").isin("", "\r")).select(F.regexp_replace("record", "\\r$", "").alias("record"), meta)
+    parse = {k: v for k, v in options.items() if k not in ("header", "multiLine", "inferSchema", "encoding")}
+    if schema is None:
+        head = heads.agg(F.min_by("record", "file_path").alias("record")).first()
+        if head["record"] is None:
+            return Source(spark.createDataFrame([], T.StructType([])), path, "csv", "UTF-8")
+        schema = _inferred(spark, head["record"].rstrip("\r"), rows, parse)
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    parsed = F.from_csv("record", fields.toDDL(), {k: str(v) for k, v in parse.items()})
+    data = rows.select(parsed.alias("row")).select(*[F.col("row")[f.name].alias(f.name) for f in fields])
+    return Source(data, path, "csv", "UTF-8", parts=(rows,))
+
+
+def _inferred(spark: SparkSession, head: str, rows: DataFrame, options: dict) -> T.StructType:
+    """Names from a header, types from all records."""
+    strings = spark._jvm.org.apache.spark.sql.Encoders.STRING()
+    reader = lambda **more: spark.read.options(**options | more)._jreader
+    named = reader(header=True).csv(getattr(spark.createDataFrame([(head,)], "value string")._jdf, "as")(strings))
+    typed = reader(header=False, inferSchema=True).csv(getattr(rows.select(F.col("record").alias("value"))._jdf, "as")(strings))
+    names, kinds = (T.StructType.fromJson(json.loads(found.schema().json())) for found in (named, typed))
+    return T.StructType([T.StructField(f.name, kinds[i].dataType if i < len(kinds) else T.StringType()) for i, f in enumerate(names)])
+
+
 def _json_kinds(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
     """Files of one array, and files of a record on each line, by the first text of each file.
 

@@ -1,4 +1,6 @@
+import csv
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F, types as T
@@ -277,6 +279,49 @@ def test_csv_stream_keeps_quoted_line_breaks(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, st.read_table(spark, arrived, schema=rows.schema).data.collect())) == sorted(map(tuple, rows.collect()))
 
 
+@pytest.fixture
+def small_splits(spark):
+    saved = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", saved[0])
+    spark.conf.set("spark.sql.files.openCostInBytes", saved[1])
+
+
+@pytest.mark.parametrize("ending", ["\n", "\r\n"])
+def test_one_file_with_quoted_line_breaks_is_read_by_many_tasks(spark, tmp_path, small_splits, ending):
+    r = random.Random(11)
+    folder = tmp_path / "big.csv"
+    folder.mkdir()
+    for name in ("a", "b"):
+        with open(folder / f"{name}.csv", "w", newline="", encoding="utf-8") as out:
+            writer = csv.writer(out, lineterminator=ending)
+            writer.writerow(["id", "the text", "number"])
+            for k in range(120):
+                text = "".join(r.choice(["é", "word ", '"', "\n", ",", "漢"]) for _ in range(r.choice([0, 3, 10, 150])))
+                writer.writerow([k, text, r.choice(["", "1.5", "7"])])
+    schema = "id int, `the text` string, number double"
+    whole = st.read_csv(spark, str(folder), schema=schema, split=False)
+    parts = st.read_csv(spark, str(folder), schema=schema)  # the files are larger than two splits
+    assert parts.parts and parts.data.rdd.getNumPartitions() > 20
+    assert sorted(map(str, parts.data.collect())) == sorted(map(str, whole.data.collect())) and parts.data.count() == 240
+    assert {(r["file_name"], r["rows"]) for r in parts.files().collect()} == {("a.csv", 120), ("b.csv", 120)}
+    inferred = st.read_csv(spark, str(folder)).data
+    assert inferred.dtypes == st.read_csv(spark, str(folder), split=False).data.dtypes and inferred.count() == 240
+
+
+def test_records_of_odd_files(spark, tmp_path, small_splits):
+    (tmp_path / "one.csv").write_text("a,b\n")
+    (tmp_path / "none.csv").write_text("")
+    (tmp_path / "open.csv").write_text('a,b\n1,x\n\n2,"never closed\n' + "3,y\n" * 60)
+    (tmp_path / "long.csv").write_text('a,b\n1,"' + "line\n" * 200 + '"\n2,z')
+    for name, count in (("one", 0), ("none", 0), ("open", 2), ("long", 2)):
+        assert st.read_csv(spark, str(tmp_path / f"{name}.csv"), schema="a int, b string", split=True).data.count() == count, name
+    long = st.read_csv(spark, str(tmp_path / "long.csv"), schema="a int, b string", split=True).data.where("a = 1").first()
+    assert long["b"] == "line\n" * 200
+
+
 def test_increments_need_frozen_ranks(spark):
     base = spark.createDataFrame([(float(v),) for v in range(1, 101)], "x double")
     fit = {"x": tf.ScaleFit(1.0, 100.0, 0.0, 100.0, "percentile")}
