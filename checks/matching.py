@@ -18,7 +18,7 @@ from checks.transforms import HARMONIZED_SQL, OLD_NAMES, PERCENTILE_SQL, SURVEY_
 from tablemeld.functions import fixed_values as fv
 from tablemeld.operators import (
     calibrate as ca, compare as cp, generate as ge, levels as lv, match as ma, memory as me, profile as pr,
-    transform as tf, validate as va,
+    transform as tf, unkeyed, validate as va,
 )
 from tablemeld.operators.facts import fit_facts
 from tablemeld.plans import local, metadata, multi_source, reports as rp, single_source
@@ -599,6 +599,32 @@ def schema_difference_history(spark, folder):
     return history.groupBy("dataset").agg(F.count(F.lit(1)).alias("days"), F.date_format(F.min("timestamp"), "yyyy-MM-dd").alias("first"))
 
 
+#: Orders after a delivery without keys to align by: some rows gone, some new, some with one or two changed cells.
+DELIVERY = """SELECT o_orderkey + CASE WHEN o_orderkey % 17 = 3 THEN 100000000 ELSE 0 END AS o_orderkey,
+    CASE WHEN o_orderkey % 17 = 3 THEN -1 ELSE o_custkey END AS o_custkey,
+    CASE WHEN o_orderkey % 17 IN (3, 5) THEN 'X' WHEN o_orderkey % 17 = 7 THEN NULL ELSE o_orderstatus END AS o_orderstatus,
+    CASE WHEN o_orderkey % 17 IN (5, 9) THEN -1.0 ELSE o_totalprice END AS o_totalprice, o_orderpriority
+    FROM {orders} WHERE o_orderkey % 17 <> 11"""
+
+
+@query(
+    "row_changes",
+    f"""WITH a AS ({DELIVERY.format(orders="orders")}), d AS (
+      SELECT b.o_orderkey AS before_key, a.o_orderkey AS after_key, a.o_orderstatus AS status,
+             list_filter(['o_orderstatus', 'o_totalprice'], lambda c: CASE c WHEN 'o_orderstatus' THEN a.o_orderstatus IS DISTINCT FROM b.o_orderstatus ELSE a.o_totalprice <> b.o_totalprice END) AS c
+      FROM orders b FULL JOIN a ON a.o_orderkey = b.o_orderkey)
+    SELECT CASE WHEN after_key IS NULL THEN 'removed' WHEN before_key IS NULL THEN 'added' ELSE 'changed' END AS change,
+           CASE WHEN after_key IS NULL OR before_key IS NULL THEN '' ELSE array_to_string(c, '|') END AS columns, before_key, after_key, status
+    FROM d WHERE after_key IS NULL OR before_key IS NULL OR len(c) > 0""",
+)
+def row_changes(spark, folder):
+    orders = table(spark, folder, "orders")
+    before = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    after = spark.sql(DELIVERY, orders=orders).repartition(7, F.xxhash64("o_totalprice"))
+    found = unkeyed.row_changes(before, after)
+    return found.select("change", F.array_join("columns", "|").alias("columns"), F.col("before.o_orderkey").alias("before_key"), F.col("after.o_orderkey").alias("after_key"), F.col("after.o_orderstatus").alias("status"))
+
+
 @query(
     "learned_tables",
     f"""SELECT 'level' AS kind, "column" AS name, value AS detail FROM ({levels_sql("orders", ("o_orderstatus", "o_orderpriority"))})

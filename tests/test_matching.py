@@ -1,6 +1,7 @@
 import math
 import random
 import statistics
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tablemeld.functions import fixed_values as fv, names
 from tablemeld.functions.values import merge_value_maps
 from tablemeld.operators import (
-    calibrate as ca, compare as cp, generate as ge, joins, levels as lv, match as ma, memory as me, neighbours, partners,
+    calibrate as ca, compare as cp, generate as ge, joins, levels as lv, match as ma, memory as me, neighbours, partners, unkeyed,
 )
 from tablemeld.sources import metadata as md
 from tablemeld.sources.metadata import value_map_table
@@ -333,3 +334,34 @@ def test_bounds_hold_for_every_pair():
     for a in texts:
         bounds = partners.similarity_bounds(a, texts)
         assert all(names.similarity(a, b) <= bounds[k] + 1e-12 for k, b in enumerate(texts))
+
+
+def changes_of(spark, before, after, most=2, schema="a string, b int, c double"):
+    found = unkeyed.row_changes(spark.createDataFrame(before, schema), spark.createDataFrame(after, schema).repartition(3), most).collect()
+    return sorted((r["change"], tuple(r["columns"]), r["before"] and tuple(r["before"]), r["after"] and tuple(r["after"])) for r in found)
+
+
+def test_rows_without_keys(spark):
+    before = [("x", 1, 1.0)] * 5 + [("y", 2, 2.0), ("z", None, 3.0), ("gone", 9, 9.0), (None, None, None)]
+    after = [("x", 1, 1.0)] * 3 + [("y", 2, 2.5), ("z", 0, 3.0), ("new", 7, 7.0), (None, None, None), ("x", 1, 4.0)]
+    assert changes_of(spark, before, after, 1) == [
+        ("added", (), None, ("new", 7, 7.0)), ("changed", ("b",), ("z", None, 3.0), ("z", 0, 3.0)), ("changed", ("c",), ("x", 1, 1.0), ("x", 1, 4.0)),
+        ("changed", ("c",), ("y", 2, 2.0), ("y", 2, 2.5)), ("removed", (), ("gone", 9, 9.0), None), ("removed", (), ("x", 1, 1.0), None),
+    ]
+    assert changes_of(spark, before, before) == [] and changes_of(spark, [], []) == []
+    assert [c[0] for c in changes_of(spark, before[:2], [])] == ["removed", "removed"]
+    assert [c[0] for c in changes_of(spark, [("a", 1, 1.0)], [("b", 2, 1.0)], 0)] == ["added", "removed"]
+    with pytest.raises(ValueError):
+        changes_of(spark, before, after, 3)
+
+
+@pytest.mark.parametrize("rows_per_task", [500_000, 20])
+def test_a_large_list_of_interchangeable_rows_is_paired_off(spark, monkeypatch, rows_per_task):
+    """All rows agree but for one cell that changed everywhere: as many pairs as rows, not their product."""
+    monkeypatch.setattr(unkeyed, "ROWS_PER_TASK", rows_per_task)
+    before = [("same", 5, float(k)) for k in range(150)] + [("same", 5, 0.5)] * 50
+    after = [("same", 5, 1000.0 + k) for k in range(120)] + [("other", 5, 2000.0 + k) for k in range(100)]
+    found = changes_of(spark, before, after)
+    kinds = Counter((c[0], c[1]) for c in found)
+    assert kinds == {("changed", ("c",)): 120, ("changed", ("a", "c")): 80, ("added", ()): 20}
+    assert Counter(c[2] for c in found if c[2]) == Counter(before) and Counter(c[3] for c in found if c[3]) == Counter(after)

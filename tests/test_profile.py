@@ -148,7 +148,7 @@ def test_quality_score_of_known_issue_counts(spark):
     row = ql.quality_score(statistics_, issues).first()
     assert row["quality_score"] == pytest.approx(61.58235294117647)
     assert not row["is_acceptable"]
-    assert row["recommendations"][0] == "Fix 2 blocking issues before proceeding"
+    assert row["recommendations"][0] == "2 blocking issues stand in the way of any further step"
 
 
 def test_issues_and_report(spark):
