@@ -362,12 +362,12 @@ def csv_round_trip(spark, folder):
     return st.read_table(spark, path, schema=orders.schema, lines=True).data
 
 
-@query("csv_inferred", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+@query("csv_inferred", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority FROM orders")
 def csv_inferred(spark, folder):
     path = scratch(spark, "orders") + ".csv"
-    st.write_table(table(spark, folder, "orders").drop("o_orderdate"), path)
+    st.write_table(table(spark, folder, "orders"), path)
     data = st.read_table(spark, path).data
-    return data.withColumns({c: F.col(c).cast("bigint") for c in ("o_orderkey", "o_custkey")})
+    return data.withColumns({c: F.col(c).cast("bigint") for c in ("o_orderkey", "o_custkey")} | {"o_orderdate": F.date_format("o_orderdate", "yyyy-MM-dd")})
 
 
 #: Texts with line breaks and quotes; an empty text and a missing one stay apart.

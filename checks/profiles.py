@@ -76,6 +76,7 @@ LINEITEM_COLUMNS = (
     ("l_linenumber", "int", "integer"), ("l_quantity", "double", "float"),
     ("l_extendedprice", "double", "float"), ("l_discount", "double", "float"),
     ("l_returnflag", "string", "string"), ("l_linestatus", "string", "string"),
+    ("l_suppkey", "bigint", "integer"), ("l_tax", "double", "float"), ("l_shipdate", "timestamp_ntz", "datetime"),
 )
 
 
@@ -84,8 +85,7 @@ LINEITEM_COLUMNS = (
     rounded_sql(stats_sql("lineitem", LINEITEM_COLUMNS), STATS_DOUBLES),
 )
 def column_statistics_lineitem(spark, folder):
-    lineitem = table(spark, folder, "lineitem").select(*[c for c, _, _ in LINEITEM_COLUMNS])
-    return rounded(pr.column_statistics(lineitem).drop("ord"))
+    return rounded(pr.column_statistics(table(spark, folder, "lineitem")).drop("ord"))
 
 
 EVENT_COLUMNS = (
@@ -549,12 +549,12 @@ def quick_sql(source: str, names) -> str:
           count(*) - (SELECT count(*) FROM (SELECT DISTINCT {listed} FROM {source})) AS duplicates FROM {source})"""
 
 
-NARROW = ("country", "gender", "satisfaction_score", "nps_score", "channel", "status")
+NARROW = tuple(c for c, _, _ in SURVEY_COLUMNS)
 
 
 @query("quick_assessment", with_survey(quick_sql("survey", NARROW)))
 def quick_assessment(spark, folder):
-    return ql.quick_assessment(survey(spark, folder).select(*NARROW))
+    return ql.quick_assessment(survey(spark, folder))
 
 
 @query(
@@ -574,7 +574,7 @@ def column_completeness(spark, folder):
     ),
 )
 def simple_score(spark, folder):
-    return rounded(ql.simple_score(survey(spark, folder).select(*NARROW)))
+    return rounded(ql.simple_score(survey(spark, folder)))
 
 
 SUMMARY_NAMES = ("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
+from typing import Any
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablemeld.columns import is_numeric, union_by_name
 from tablemeld.functions.fixed_values import MARKET_COLUMNS, RECORD_ID_COLUMNS
@@ -17,8 +18,8 @@ from tablemeld.operators import (
 from tablemeld.plans import reports as rp
 from tablemeld.plans.results import Results
 from tablemeld.sources.metadata import MasterSchema, value_map_table
-from tablemeld.sources.tables import combine
-from tablemeld.storage import materialize
+from tablemeld.sources.tables import combine, read_statistics, read_table, write_combined
+from tablemeld.storage import materialize, path_exists
 
 
 #: Tables that a run adds to what was learned.
@@ -167,6 +168,8 @@ def run(
     }
     for table in ("flags", *LEARNED):
         builders[table] = lambda t=table: union_by_name([r.tables[t] for r in done.values()])
+    for name in done:
+        builders[f"{name}_harmonized"] = lambda name=name: frames[name]
     for name, r in done.items():
         for table in ("profile_columns", "profile_levels", "profile_missing_by_row"):
             builders[f"{name}_{table}"] = lambda r=r, t=table: r.tables[t]
@@ -174,6 +177,38 @@ def run(
     return results
 
 
+def run_files(
+    spark: SparkSession,
+    paths: Mapping[str, str],
+    schema: MasterSchema,
+    output: str,
+    memory: str | None = None,
+    incremental_only: bool = False,
+    run_id: str | None = None,
+    baseline: str | None = None,
+    **options: Any,
+) -> Results:
+    """A run on files: sources are read by extension, the combined table is written to ``output``.
+
+    ``incremental_only`` harmonizes the incremental file alone and appends it to an output that is
+    there already, which is neither read nor written again; without one all sources are written.
+    What was learned goes to the folder ``memory``, once for each ``run_id``.
+    """
+    known = path_exists(spark, output)
+    if incremental_only and known:
+        if "incremental" not in paths:
+            raise ValueError("an incremental run needs an incremental file")
+        paths = {"incremental": paths["incremental"]}
+    sources = {name: read_table(spark, path).data for name, path in paths.items()}
+    stored = None if baseline is None else read_statistics(spark, baseline)
+    result = run(sources, schema, baseline=stored, **options)
+    frames = {name: result[f"{name}_harmonized"] for name in sources}
+    write_combined(spark, frames, output, incremental_only)
+    if memory is not None:
+        remember(result, memory, run_id)
+    return result
+
+
 def remember(result: Mapping[str, DataFrame], folder: str, run: str | None = None) -> None:
     """Append what a run learned to the learned tables; repeated under the id of the run, it counts once."""
     for table in (*LEARNED, "column_mappings"):

@@ -253,17 +253,38 @@ def write_combined(
 ) -> str:
     """Write the union, or append only the incremental frame to an existing output.
 
-    The existing output is not read or rewritten when appending to Parquet; columns
-    it lacks appear as null through schema merging.
+    The existing output is not rewritten when appending to Parquet, only its schema is read: numbers
+    widen to the type that a column has there, and columns it lacks appear as null through schema
+    merging.  A column whose values the output's type cannot hold is refused.
     """
     if incremental_only and path_exists(spark, path):
         if "incremental" in frames:
             rows, kind = frames["incremental"], format_of(path, "parquet")
-            write_table(_csv_columns(spark, rows, path) if kind == "csv" else rows, path, kind, "append")
+            if kind == "csv":
+                rows = _csv_columns(spark, rows, path)
+            elif kind == "parquet":
+                rows = _typed_like(rows, read_combined(spark, path).schema)
+            write_table(rows, path, kind, "append")
         return path
     return write_table(combine(frames), path, format_of(path, "parquet"))
 
 
+def _typed_like(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """Rows with the types that a stored table has for their columns."""
+    stored = {f.name: f.dataType for f in schema.fields}
+    size = {T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.LongType: 8}
+    change = {}
+    for f in rows.schema.fields:
+        want = stored.get(f.name, f.dataType)
+        if want == f.dataType:
+            continue
+        wider = type(f.dataType) in size and (isinstance(want, T.DoubleType) or size.get(type(want), 0) > size[type(f.dataType)])
+        if not (wider or isinstance(f.dataType, (T.NullType, T.FloatType)) and isinstance(want, T.DoubleType) or isinstance(want, T.StringType)):
+            raise ValueError(f"column {f.name} is {want.simpleString()} in the output and {f.dataType.simpleString()} here: write all sources again")
+        change[f.name] = ref(f.name).cast(want)
+    return rows.withColumns(change) if change else rows
+
+
 def read_combined(spark: SparkSession, path: str) -> DataFrame:
     """A combined Parquet output whose appends may have added columns."""
     return spark.read.option("mergeSchema", True).parquet(path)

@@ -152,6 +152,28 @@ def test_multi_source_run(spark, tmp_path):
     assert me.load(spark, str(tmp_path), "learned_mappings").count() == 27
 
 
+def test_runs_on_files(spark, tmp_path):
+    sources = {"historical": samples.historical(spark), "current": samples.current(spark), "incremental": samples.incremental(spark)}
+    paths = {name: str(tmp_path / f"{name}.parquet") for name in sources}
+    for name, df in sources.items():
+        df.write.parquet(paths[name])
+    out, memory = str(tmp_path / "out"), str(tmp_path / "memory")
+    options = {"value_maps": MAPS, "settings": multi_source.Settings(group_columns=["gender"])}
+    first = {k: paths[k] for k in ("historical", "current")}
+    result = multi_source.run_files(spark, first, SCHEMA, out, memory, run_id="first", **options)
+    held = st.read_combined(spark, out).count()
+    assert held == result["combined"].count() > 0
+    for _ in range(2):  # a repeated run learns once
+        multi_source.run_files(spark, first, SCHEMA, out, memory, run_id="first", **options)
+    assert me.load(spark, memory, "datasets").count() == 2
+    added = multi_source.run_files(spark, paths, SCHEMA, out, memory, incremental_only=True, run_id="second", **options)
+    assert "calibration_report" not in added
+    assert st.read_combined(spark, out).count() == held + sources["incremental"].count()
+    assert {r["dataset"] for r in me.latest_table(spark, memory, "datasets").collect()} == set(sources)
+    with pytest.raises(ValueError):
+        multi_source.run_files(spark, first, SCHEMA, out, incremental_only=True, **options)
+
+
 def test_combined_output_appends(spark, tmp_path):
     path = str(tmp_path / "all.parquet")
     first = {"historical": spark.createDataFrame([(1, "a")], "k int, v string")}
