@@ -373,4 +373,4 @@ def test_pipeline_stages(spark, tmp_path):
 def test_registry():
     entry = importlib.import_module("__spark_entry__")
     numbers = {int(re.match(r"op(\d+)_", n)[1]) for n in entry.queries() if n.startswith("op")}
-    assert numbers == set(range(1, 11)) and "pipeline" in entry.queries()
+    assert numbers == set(range(1, 14)) and "pipeline" in entry.queries()
