@@ -4,23 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablemeld.columns import ref
 from tablemeld.storage import materialize
 
-#: Rows up to which a lookup table is broadcast.
-BROADCAST_ROWS = 200_000
+#: Rows, and bytes of their values, up to which a lookup table is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 #: Heaviest keys that are looked up without a shuffle when the table is large.
 HOT_KEYS = 2_000
 
 
+def _width(table: DataFrame) -> Column:
+    """Bytes of a row, about: eight for a number or a time, the text of anything else."""
+    fixed = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.NullType)
+    sizes = [
+        F.lit(8) if isinstance(f.dataType, fixed) else F.coalesce(F.octet_length(ref(f.name).cast("string")), F.lit(0)) for f in table.schema.fields
+    ]
+    return reduce(add, sizes, F.lit(0).cast("long"))
+
+
 def fits_broadcast(table: DataFrame, max_rows: int | None = None) -> bool:
-    """Whether a table has at most ``max_rows`` rows; reads no more than it must."""
+    """Whether a table has at most ``max_rows`` rows and ``BROADCAST_BYTES`` bytes; reads no more rows than it must."""
     limit = BROADCAST_ROWS if max_rows is None else max_rows
-    return table.limit(limit + 1).count() <= limit
+    found = table.limit(limit + 1).agg(F.count(F.lit(1)).alias("rows"), F.sum(_width(table)).alias("bytes")).first()
+    return found["rows"] <= limit and (found["bytes"] or 0) <= BROADCAST_BYTES
 
 
 def lookup_join(

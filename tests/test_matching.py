@@ -365,3 +365,12 @@ def test_a_large_list_of_interchangeable_rows_is_paired_off(spark, monkeypatch,
     kinds = Counter((c[0], c[1]) for c in found)
     assert kinds == {("changed", ("c",)): 120, ("changed", ("a", "c")): 80, ("added", ()): 20}
     assert Counter(c[2] for c in found if c[2]) == Counter(before) and Counter(c[3] for c in found if c[3]) == Counter(after)
+
+
+def test_broadcasts_are_bound_by_rows_and_bytes(spark, monkeypatch):
+    table = spark.range(50).select("id", F.repeat(F.lit("é"), 100).alias("text"), F.array("id", "id").alias("list"))
+    assert joins.fits_broadcast(table) and not joins.fits_broadcast(table, 49)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 50 * 200)
+    assert not joins.fits_broadcast(table) and joins.fits_broadcast(table.limit(5)) and joins.fits_broadcast(table.limit(0))
+    rows = spark.range(60)
+    assert joins.lookup_join(rows, table, ["id"]).where("text is not null").count() == 50
