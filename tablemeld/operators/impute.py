@@ -14,6 +14,7 @@ from tablemeld.functions.values import lookup
 from tablemeld.operators import levels as lv
 from tablemeld.operators.facts import ColumnFacts, fit_facts, fit_skewness, medians
 from tablemeld.operators.joins import weighted_lookup
+from tablemeld.storage import materialize
 
 KEEP, DROP_COLUMN, REMOVE_ROWS = "Keep missing", "Drop column", "Remove rows"
 
@@ -320,7 +321,8 @@ def impute_masked(
             r["column"]
             for r in uncertain.where(F.col("column").isin(names)).select("column").distinct().collect()
         }
-    joined = df if bits is None else weighted_lookup(df, bits, [row_id])
+    # written: the check of its size and the lookup both read it
+    joined = df if bits is None else weighted_lookup(df, materialize(bits, "masks"), [row_id])
 
     def flag(k: int, i: int) -> Column:
         return F.lit(False) if masks[k] is None else _masked(len(masks) * i + k)
