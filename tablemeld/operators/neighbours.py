@@ -30,8 +30,9 @@ from tablemeld.storage import materialize
 LEAF_ROWS, FAN = 2_500, 256
 #: Levels of the tree (cell numbers are 64 bits wide); larger cells below are compared in blocks.
 DEPTH = 7
-#: Rows of one side that a task compares at most, and distances computed at once.
-BLOCK_ROWS, CELLS = 20_000, 4_000_000
+#: Rows of one side that a task compares at most and bytes of their vectors, bytes of the vectors that it
+#: returns when every query goes to all cells, and distances computed at once.
+BLOCK_ROWS, BLOCK_BYTES, ROUTED_BYTES, CELLS = 20_000, 32 << 20, 64 << 20, 1_000_000
 #: Relative slack of bounds on distances: a cell too many costs time only.
 SLACK = 1e-9
 
@@ -62,7 +63,11 @@ def best(queries: np.ndarray, vectors: np.ndarray, k: int, most: np.ndarray | fl
     if rough.shape[1] > k:
         limit = np.minimum(limit, np.partition(rough + off, k - 1, axis=1)[:, k - 1])
     q, m = np.nonzero(rough - off <= limit[:, None])
-    return q, m, ((queries[q] - vectors[m]) ** 2).sum(1)
+    # of many copies of one vector all pairs are near: a slice of them at once
+    exact, step = np.empty(len(q)), max(1, CELLS // max(1, queries.shape[1]))
+    for at in range(0, len(q), step):
+        exact[at:at + step] = ((queries[q[at:at + step]] - vectors[m[at:at + step]]) ** 2).sum(1)
+    return q, m, exact
 
 
 def first(found: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -80,13 +85,23 @@ def _numbers(count: Column) -> Column:
     return F.explode(F.sequence(F.lit(0), count - 1))
 
 
-def _split(rows: DataFrame, id_type: str) -> DataFrame:
+def _block_rows(width: int) -> int:
+    """Rows of a block of vectors of ``width`` components."""
+    return max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(1, width))))
+
+
+def _dealt(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Rows dealt over all partitions of a shuffle: groups are few bytes and much work, which must not be coalesced."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+
+
+def _split(rows: DataFrame, id_type: str, width: int) -> DataFrame:
     """(m, v, cell, d): rows of cells (m, v, cell, n) in the child cells of their nearest centres."""
     fan = F.least(F.lit(FAN), F.ceil(2 * F.col("n") / LEAF_ROWS) + 1).cast("long")
     child = (F.col("cell") * FAN + F.pmod(F.xxhash64("v"), fan) + 1).alias("child")
     # one of the vectors of each range of the hash: no two centres are the same
     centres = rows.groupBy("cell", child).agg(F.min_by("v", F.xxhash64("v", F.lit(1))).alias("v"), F.max("n").alias("n"))
-    blocks = _blocks(F.col("n"), BLOCK_ROWS)
+    blocks = _blocks(F.col("n"), _block_rows(width))
     left = rows.select("m", "v", "cell", F.pmod(F.xxhash64("m", "v"), blocks).cast("int").alias("block"))
     right = centres.select("cell", "child", "v", _numbers(blocks).alias("block"))
 
@@ -100,7 +115,8 @@ def _split(rows: DataFrame, id_type: str) -> DataFrame:
             out.append(pd.DataFrame({"m": some["m"].to_numpy(), "v": some["v"].to_numpy(), "cell": nearest["m"].to_numpy(), "d": np.sqrt(nearest["d"].to_numpy())}))
         return pd.concat(out) if out else pd.DataFrame(columns=["m", "v", "cell", "d"], dtype=object)
 
-    return left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInPandas(assign, f"m {id_type}, v array<double>, cell long, d double")
+    left, right = (_dealt(side, ["cell", "block"]).groupBy("cell", "block") for side in (left, right))
+    return left.cogroup(right).applyInPandas(assign, f"m {id_type}, v array<double>, cell long, d double")
 
 
 def _described(split: DataFrame, parents: DataFrame) -> DataFrame:
@@ -116,16 +132,17 @@ class Tree:
 
     def __init__(self, rows: DataFrame):
         """``rows``: (m, v), read several times."""
-        id_type, n = rows.schema["m"].dataType.simpleString(), rows.count()
+        id_type = rows.schema["m"].dataType.simpleString()
+        n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
         self.levels: list[DataFrame] = []
-        self.size = n
+        self.size, self.width = n, width or 0
         open_ = rows.select("m", "v", F.lit(0).cast("long").alias("cell"), F.lit(n).cast("long").alias("n"))
         if n <= LEAF_ROWS:
             self.leaves = open_
             return
         leaves = []
         for depth in range(DEPTH):
-            split = materialize(_split(open_, id_type), "cells")
+            split = materialize(_split(open_, id_type, self.width), "cells")
             whole = (F.col("n") <= LEAF_ROWS) | (F.col("hi") == 0) | F.lit(depth == DEPTH - 1)
             level = materialize(_described(split, open_).withColumn("leaf", whole), "levels")
             self.levels.append(level)
@@ -140,13 +157,21 @@ class Tree:
 # --- queries --------------------------------------------------------------------
 
 
-def _descend(asked: DataFrame, level: DataFrame, query_type: str, every: bool) -> DataFrame:
-    """Queries (q, v, r, home, cell) in child cells: the nearest centre's, or all that may hold a row within r."""
-    count = asked.groupBy("cell").agg(F.count(F.lit(1)).alias("held"))
-    parts = _blocks(F.col("held"), BLOCK_ROWS)
-    left = lookup_join(asked, count, ["cell"]).withColumn("part", F.pmod(F.xxhash64("q", "v"), parts).cast("int")).drop("held")
+def _parted(asked: DataFrame, level: DataFrame, width: int, every: bool) -> tuple[DataFrame, DataFrame]:
+    """Queries and child cells of each cell in parts, whose queries may all go to all of the children."""
+    fan = level.groupBy(F.col("parent").alias("cell")).agg(F.count(F.lit(1)).alias("fan"))
+    count = materialize(asked.groupBy("cell").agg(F.count(F.lit(1)).alias("held")).join(fan, "cell"), "parts")
+    parts = _blocks(F.col("held"), _block_rows(width))
+    if every:
+        parts = F.greatest(parts, _blocks(F.col("held"), F.greatest(F.lit(1), F.floor(ROUTED_BYTES / (8 * max(1, width) * F.col("fan"))))))
+    left = lookup_join(asked, count, ["cell"]).withColumn("part", F.pmod(F.xxhash64("q", "v"), parts).cast("int")).drop("held", "fan")
     nodes = lookup_join(level.withColumnsRenamed({"cell": "child", "parent": "cell"}), count, ["cell"]).filter("held is not null")
-    right = nodes.select("cell", "child", "v", "lo", "hi", "leaf", _numbers(parts).alias("part"))
+    return left, nodes.select("cell", "child", "v", "lo", "hi", "leaf", _numbers(parts).alias("part"))
+
+
+def _descend(asked: DataFrame, level: DataFrame, width: int, query_type: str, every: bool) -> DataFrame:
+    """Queries (q, v, r, home, cell) in child cells: the nearest centre's, or all that may hold a row within r."""
+    left, right = (_dealt(side, ["cell", "part"]).groupBy("cell", "part") for side in _parted(asked, level, width, every))
 
     def route(part: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -168,14 +193,14 @@ def _descend(asked: DataFrame, level: DataFrame, query_type: str, every: bool) -
         return pd.concat(out) if out else pd.DataFrame(columns=["q", "v", "r", "home", "cell", "leaf"], dtype=object)
 
     schema = f"q {query_type}, v array<double>, r double, home long, cell long, leaf boolean"
-    return left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part")).applyInPandas(route, schema)
+    return left.cogroup(right).applyInPandas(route, schema)
 
 
 def _reach(asked: DataFrame, tree: Tree, query_type: str, every: bool) -> DataFrame:
     """(q, v, r, home, cell): queries (q, v, r, home) in leaves."""
     at, done = asked.withColumn("cell", F.lit(0).cast("long")), []
     for level in tree.levels:
-        routed = materialize(_descend(at, level, query_type, every), "routed")
+        routed = materialize(_descend(at, level, tree.width, query_type, every), "routed")
         done.append(routed.filter("leaf").drop("leaf"))
         at = routed.filter("not leaf").drop("leaf")
     return reduce(DataFrame.unionByName, done)
@@ -193,10 +218,10 @@ def _in_leaves(routed: DataFrame, tree: Tree) -> tuple[DataFrame, DataFrame]:
     return lookup_join(routed, known, ["cell"]), lookup_join(tree.leaves.drop("n"), known, ["cell"]).filter("held is not null")
 
 
-def _compare(asked: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+def _compare(asked: DataFrame, rows: DataFrame, k: int, tree: Tree) -> DataFrame:
     """(q, m, distance): the k nearest rows (m, v, cell, n, held) of each block for every query (q, v, r, cell, n, held) in its leaf."""
     query_type, id_type = (df.schema[c].dataType.simpleString() for df, c in ((asked, "q"), (rows, "m")))
-    blocks, parts = _blocks(F.col("n"), BLOCK_ROWS), _blocks(F.col("held"), BLOCK_ROWS)
+    blocks, parts = (_blocks(F.col(c), _block_rows(tree.width)) for c in ("n", "held"))
     left = asked.select("q", "v", "r", "cell", F.pmod(F.xxhash64("q", "v"), parts).cast("int").alias("part"), _numbers(blocks).alias("block"))
     right = rows.select("m", "v", "cell", F.pmod(F.xxhash64("m", "v"), blocks).cast("int").alias("block"), _numbers(parts).alias("part"))
 
@@ -212,7 +237,8 @@ def _compare(asked: DataFrame, rows: DataFrame, k: int) -> DataFrame:
         return pd.concat(kept) if kept else pd.DataFrame(columns=["q", "m", "distance"], dtype=object)
 
     key = ["cell", "block", "part"]
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(compare, f"q {query_type}, m {id_type}, distance double")
+    left, right = ((_dealt(side, key) if tree.levels else side).groupBy(*key) for side in (left, right))
+    return left.cogroup(right).applyInPandas(compare, f"q {query_type}, m {id_type}, distance double")
 
 
 def usable(vector: Column) -> Column:
@@ -233,12 +259,12 @@ def k_nearest(rows: DataFrame, asked: DataFrame, k: int, radius: float) -> DataF
     ranked = lambda found: found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     tree = Tree(rows)
     if not tree.levels:
-        return ranked(_compare(*_in_one_leaf(asked, tree), k))
+        return ranked(_compare(*_in_one_leaf(asked, tree), k, tree))
     asked = materialize(asked.withColumn("home", F.lit(-1).cast("long")), "asked")
     home = materialize(_reach(asked, tree, query_type, every=False), "home")
-    near = materialize(ranked(_compare(*_in_leaves(home, tree), k)), "near")
+    near = materialize(ranked(_compare(*_in_leaves(home, tree), k, tree)), "near")
     bounds = near.groupBy("q").agg(F.max(F.when(F.col("rank") == k, F.sqrt("distance"))).alias("bound"))
     closer = weighted_lookup(home, bounds, ["q"])
     closer = closer.select("q", "v", F.least("r", F.coalesce("bound", "r")).alias("r"), F.col("cell").alias("home"))
     others = materialize(_reach(closer, tree, query_type, every=True).filter("cell <> home"), "reached")
-    return ranked(near.drop("rank").unionByName(_compare(*_in_leaves(others, tree), k)))
+    return ranked(near.drop("rank").unionByName(_compare(*_in_leaves(others, tree), k, tree)))

@@ -1,6 +1,7 @@
 import math
 import random
 import statistics
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -259,6 +260,32 @@ def test_cells_hold_every_row_and_bound_it(spark, monkeypatch):
         assert far.min() >= levels.loc[cell, "lo"] - 1e-12 and far.max() <= levels.loc[cell, "hi"] + 1e-12
 
 
+def test_pairs_of_copies_are_computed_in_slices():
+    copies = np.ones((600, 256))
+    tracemalloc.start()
+    q, m, d = neighbours.best(copies, copies, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(q) == len(m) == 600 * 600 and not d.any()
+    assert peak < 100 << 20  # all at once: 700 MB
+
+
+def test_what_a_part_of_queries_returns_is_bounded(spark, monkeypatch):
+    """Every query goes to every cell: rows that a task returns at once keep within their bytes."""
+    for name, value in (SMALL_CELLS | {"BLOCK_ROWS": 20_000, "ROUTED_BYTES": 3000}).items():
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(200, 4)))], "m bigint, v array<double>")
+    tree = neighbours.Tree(rows)
+    asked = rows.select(F.col("m").alias("q"), "v", F.lit(99.0).alias("r"), F.lit(-1).cast("long").alias("home"), F.lit(0).cast("long").alias("cell"))
+    left, right = neighbours._parted(asked, tree.levels[0], tree.width, True)
+    held, cells = ({r["part"]: r["count"] for r in side.groupBy("part").count().collect()} for side in (left, right))
+    assert sum(held.values()) == 200 and len(held) > 5 and set(held) <= set(cells)
+    routed = neighbours._descend(asked, tree.levels[0], tree.width, "bigint", True)
+    assert routed.count() == sum(held[p] * cells[p] for p in held)
+    assert max(held[p] * cells[p] for p in held) * 8 * tree.width < 2 * 3000
+
+
 def test_nearest_leaves_out_what_is_no_vector(spark):
     rows = [(1, [0.0, 0.0]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 0.0]), (5, [float("inf"), 0.0]), (None, [0.1, 0.0])]
     table = spark.createDataFrame(rows, "memory_id bigint, vector array<double>")
