@@ -15,6 +15,7 @@ from tablemeld.operators import (
     calibrate as ca, compare as cp, generate as ge, joins, levels as lv, match as ma, memory as me, neighbours, partners, unkeyed,
 )
 from tablemeld.sources import metadata as md
+from tablemeld.storage import materialize
 from tablemeld.sources.metadata import value_map_table
 
 SCHEMA = md.master_schema(
@@ -394,6 +395,22 @@ def test_a_large_list_of_interchangeable_rows_is_paired_off(spark, monkeypatch,
     assert Counter(c[2] for c in found if c[2]) == Counter(before) and Counter(c[3] for c in found if c[3]) == Counter(after)
 
 
+def test_rows_are_paired_in_one_pass_over_each_set_of_columns(spark, monkeypatch):
+    """Rows of many lists at once: each set of columns is passed once, and none again because its first choices were refused."""
+    written = []
+    monkeypatch.setattr(unkeyed, "materialize", lambda df, label: written.append(label) or materialize(df, label))
+    before = [(chr(97 + i % 5), i % 7, float(i % 11)) for i in range(120)]
+    after = [(chr(97 + i % 4), i % 6, float(i % 13) + 0.5 * (i % 3 == 0)) for i in range(120)]
+    found = changes_of(spark, before, after)
+    assert Counter(c[2] for c in found if c[2]) == Counter(before) - (Counter(before) & Counter(after))
+    assert Counter(c[3] for c in found if c[3]) == Counter(after) - (Counter(before) & Counter(after))
+    assert all(sum(x != y for x, y in zip(c[2], c[3], strict=True)) == len(c[1]) for c in found if c[0] == "changed")
+    # what is left has no partner, and changes of one column come before those of two
+    alone = [c for c in found if c[0] != "changed"]
+    assert not any(sum(x != y for x, y in zip(b[2], a[3], strict=True)) <= 2 for b in alone if b[2] for a in alone if a[3])
+    assert written.count("pairs") <= 6 and written.count("open") <= 3
+
+
 def test_broadcasts_are_bound_by_rows_and_bytes(spark, monkeypatch):
     table = spark.range(50).select("id", F.repeat(F.lit("é"), 100).alias("text"), F.array("id", "id").alias("list"))
     assert joins.fits_broadcast(table) and not joins.fits_broadcast(table, 49)
