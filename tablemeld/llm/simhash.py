@@ -338,14 +338,17 @@ def cluster_similar(documents: DataFrame, key: str = "doc_id", text: str = "text
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = pa.array([shingle_set(_joined(t.as_py()), words).tobytes() for t in b.column(3)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), sets], names=["id", "fp", "sign", "shingles"])
-
-    # the sets of texts that have candidates, from one row of each
-    wanted = texts.join(cells.select("id").distinct(), "id", "left_semi").select("id", "fp", "sign", "row_hash")
-    bodies = named.select("text", "row_hash").join(wanted, "row_hash").select("id", "fp", "sign", "text").dropDuplicates(["id"])
-    sets = materialize(bodies.mapInArrow(hashed, "id long, fp long, sign binary, shingles binary"), "similar-sets")
-    compared = cells.join(sets, "id").groupBy("t", "k", "i", "j")
+            sets = pa.array([shingle_set(_joined(t.as_py()), words).tobytes() for t in b.column(4)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), sets], names=["id", "fp", "sign", "places", "shingles"])
+
+    # one row of each text that has candidates takes along where it is compared: its words meet these places in
+    # one shuffle, and its set, as large as the text itself, goes straight to them
+    place = "t: int, k: bigint, i: int, j: int, side: int, same: boolean"
+    places = cells.groupBy("id").agg(F.collect_list(F.struct("t", "k", "i", "j", "side", "same").cast(f"struct<{place}>")).alias("places"))
+    wanted = texts.select("id", "fp", "sign", "row_hash").join(places, "id")
+    bodies = named.select("text", "row_hash").join(wanted, "row_hash").dropDuplicates(["row_hash", "id"]).select("id", "fp", "sign", "places", "text")
+    sets = bodies.mapInArrow(hashed, f"id long, fp long, sign binary, places array<struct<{place}>>, shingles binary")
+    compared = sets.select("id", "fp", "sign", "shingles", F.inline("places")).groupBy("t", "k", "i", "j")
     links = compared.applyInPandas(_similar(SIMILAR_RADIUS, similarity), "a long, b long")
     roots = components(links)
     member = texts.select("id", "least").join(roots, texts["id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "id"))

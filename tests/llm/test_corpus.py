@@ -238,6 +238,16 @@ def test_similarity_decides_exactly(spark, monkeypatch, block):
     assert {r.doc_id: r.component_id for r in got} == classes([k for k, _ in rows], near)
 
 
+def test_sets_of_shingles_are_not_written(spark, monkeypatch):
+    """The sets, as large as the texts, go to the comparison in one shuffle and into no table."""
+    written, write = [], simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, label: written.extend(df.columns) or write(df, label))
+    rows = [(k, " ".join(f"w{k % 4}x{j}" for j in range(40)) + " end" * (k > 5)) for k in range(8)]
+    got = simhash.cluster_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: k % 4 for k in range(8)}
+    assert "id" in written and "shingles" not in written
+
+
 def test_repeated_lines_do_not_part_similar_texts(spark):
     rows = []
     for g in range(30):
