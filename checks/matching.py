@@ -394,7 +394,7 @@ def csv_one_file(spark, folder):
         documents=table(spark, folder, "documents"), pages=table(spark, folder, "pages"),
     )
     path = scratch(spark, "one-file") + ".csv"
-    st.write_table(rows.coalesce(1), path)
+    st.write_one_csv(rows, path)
     return st.read_csv(spark, path, schema=rows.schema, split=True).data
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from dataclasses import dataclass
 from urllib.parse import unquote
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tablemeld.columns import nan_to_null, ref, union_by_name
 from tablemeld.sources.records import csv_records
-from tablemeld.storage import path_exists
+from tablemeld.storage import join_files, local_path, path_exists, shared_folder
 
 FORMATS = {"csv": "csv", "json": "json", "parquet": "parquet", "orc": "orc"}
 
@@ -226,6 +227,22 @@ def write_table(df: DataFrame, path: str, kind: str | None = None, mode: str = "
     return path
 
 
+def write_one_csv(df: DataFrame, path: str) -> str:
+    """A new folder with one CSV file, which many tasks write: parts first, then every range of a part to its place.
+
+    The folder and the shared folder must be of a file system that executors mount (``file:``); a store
+    without places in files gets the file from one task.
+    """
+    spark = df.sparkSession
+    parts = f"{shared_folder(spark).rstrip('/')}/tablemeld/csv-parts-{uuid.uuid4().hex}"
+    folder, source = local_path(spark, path), local_path(spark, parts)
+    if folder is None or source is None:
+        return write_table(df.coalesce(1), path, "csv", "errorifexists")
+    df.write.option("header", False).option("escape", '"').csv(parts)
+    quoted = [f'"{c.replace(chr(34), chr(34) * 2)}"' for c in df.columns]
+    return join_files(spark, source, folder, f"part-00000-{uuid.uuid4().hex}.csv", (",".join(quoted) + "\n").encode())
+
+
 def write_report(report: dict[str, DataFrame], folder: str) -> list[str]:
     """Every table of a report as JSON rows below one folder."""
     paths = []

@@ -1,5 +1,6 @@
 import csv
 import json
+import os
 import random
 
 import pytest
@@ -359,3 +360,18 @@ def test_increments_need_frozen_ranks(spark):
 def test_unknown_transforms_are_refused(spark):
     with pytest.raises(ValueError, match="unknown transform"):
         tf.apply_transforms(spark.range(1), {"id": "id"}, {"id": tf.Transform("no_such")})
+
+
+def test_one_csv_file_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "COPY_BYTES", 50)
+    rows = spark.range(40, numPartitions=5).selectExpr("CAST(id AS INT) AS a", "CASE WHEN id % 3 = 0 THEN NULL ELSE concat('é\n\"', id) END AS `b, \"c`")
+    monkeypatch.setattr(type(rows), "coalesce", lambda *_: pytest.fail("one task writes all rows"))
+    path = st.write_one_csv(rows, str(tmp_path / "one.csv"))
+    assert len([f for f in os.listdir(path) if not f.startswith(".")]) == 1
+    for split in (True, False):
+        assert sorted(map(tuple, st.read_csv(spark, path, schema=rows.schema, split=split).data.collect())) == sorted(map(tuple, rows.collect()), key=lambda r: r[0])
+    assert st.read_csv(spark, path, split=True).data.columns == rows.columns
+    empty = st.write_one_csv(rows.limit(0), str(tmp_path / "none.csv"))
+    assert st.read_csv(spark, empty, schema=rows.schema, split=True).data.count() == 0
+    with pytest.raises(FileExistsError):
+        st.write_one_csv(rows, path)
