@@ -22,9 +22,12 @@ import xxhash
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, functions as F
 
+from tablemeld.llm.batches import STEP, plain_strings, steps
 from tablemeld.llm.common import importable
-from tablemeld.llm.pieces import REMEMBERED, PieceCache
+from tablemeld.llm.pieces import REMEMBERED, PieceCache, PieceTable
 
+#: The split pattern of GPT-2: under it a space and ASCII letters are always one pre-token.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Keys for each bucket on average.
 LOAD = 4
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -85,6 +88,7 @@ class Vocabulary:
     def __init__(self, data: bytes, pattern: str, seeds: np.ndarray | None = None):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
         self.pattern = regex.compile(pattern)
+        self.words = pattern == PATTERN
         keys = list(self.ranks)
         self.hash = PerfectHash(keys, seeds)
         self.slot_key, self.slot_id = [b""] * len(keys), [0] * len(keys)
@@ -92,26 +96,34 @@ class Vocabulary:
             self.slot_key[slot], self.slot_id[slot] = key, self.ranks[key]
         self.bytes_of = {i: k for k, i in self.ranks.items()}
         #: Pre-tokens of the last pieces; bounded, and only saves time.
-        self.seen: dict[str, list[int]] = {}
-        #: The id of each byte, and the id that two neighbouring ids merge to.
+        self.seen: dict[str, tuple[int, ...]] = {}
+        #: The id of each byte, and the ids that a left part merges to, by its right part.
         self.byte_id = [self.ranks[bytes([b])] for b in range(256)]
-        self.pair = {
-            a << 32 | b: i
-            for k, i in self.ranks.items() for c in range(1, len(k))
-            if (a := self.ranks.get(k[:c])) is not None and (b := self.ranks.get(k[c:])) is not None
-        }
+        self.pair: list[dict[int, int]] = [{}] * (1 + max(self.ranks.values()))
+        for k, i in self.ranks.items():
+            for c in range(1, len(k)):
+                if (a := self.ranks.get(k[:c])) is not None and (b := self.ranks.get(k[c:])) is not None:
+                    self.pair[a] = self.pair[a] or {}
+                    self.pair[a][b] = i
+        #: The same of two bytes, by the number that they make.
+        self.byte_pair = [self.pair[a].get(b, -1) for a in self.byte_id for b in self.byte_id]
+        #: What a list of ids is written as: each id in decimal digits with a comma.
+        self.written = {i: b"%d," % i for i in self.bytes_of}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a pre-token that is no token itself.
 
         ``rank`` holds, at the left part of each pair, the id that the pair merges to (-1: none).
         A heap entry is such an id and the place; it is stale if the place has another by now.
+        Entries of short pre-tokens are small numbers, which Python compares faster.
         """
-        pair, n = self.pair.get, len(piece)
-        byte_id = self.byte_id
+        merged, n = self.pair, len(piece)
+        byte_id, byte_pair = self.byte_id, self.byte_pair
+        shift = 12 if n < 4096 else 32
+        low = (1 << shift) - 1
         parts = [byte_id[b] for b in piece]
-        rank = [pair(a << 32 | b, -1) for a, b in pairwise(parts)]
-        heap = [r << 32 | i for i, r in enumerate(rank) if r >= 0]
+        rank = [byte_pair[a << 8 | b] for a, b in pairwise(piece)]
+        heap = [r << shift | i for i, r in enumerate(rank) if r >= 0]
         if not heap:
             return parts
         rank.append(-1)
@@ -119,7 +131,7 @@ class Vocabulary:
         heapify(heap)
         while heap:
             x = heappop(heap)
-            i, r = x & 0xFFFFFFFF, x >> 32
+            i, r = x & low, x >> shift
             if rank[i] != r:
                 continue
             j = after[i]
@@ -127,16 +139,16 @@ class Vocabulary:
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                rank[i] = q = pair(r << 32 | parts[k], -1)
+                rank[i] = q = merged[r].get(parts[k], -1)
                 if q >= 0:
-                    heappush(heap, q << 32 | i)
+                    heappush(heap, q << shift | i)
             else:
                 rank[i] = -1
             k = before[i]
             if k >= 0:
-                rank[k] = q = pair(parts[k] << 32 | r, -1)
+                rank[k] = q = merged[parts[k]].get(r, -1)
                 if q >= 0:
-                    heappush(heap, q << 32 | k)
+                    heappush(heap, q << shift | k)
         return [p for p in parts if p >= 0]
 
     def encode_pretokens(self, pretokens: list[bytes]) -> list[list[int]]:
@@ -146,28 +158,37 @@ class Vocabulary:
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         find = self.pattern.findall
-        cut = [find(t) for t in texts]
+        # a space and ASCII letters are one pre-token
+        cut = [[t] if self.words and t[:1] == " " and t[1:].isalpha() and t.isascii() else find(t) for t in texts]
         if len(self.seen) > REMEMBERED:
             self.seen = {}
         ids = self.seen
-        distinct = [p for p in {p for pre in cut for p in pre} if p not in ids]
-        ids.update(zip(distinct, self.encode_pretokens([p.encode() for p in distinct]), strict=True))
-        return [ids[pre[0]] if len(pre) == 1 else [i for p in pre for i in ids[p]] for pre in cut]
+        # a piece that is one pre-token is remembered by its piece; tuples of numbers cost the collector nothing
+        whole = [pre[0] for pre in cut if len(pre) == 1]
+        distinct = [p for p in {p for pre in cut if len(pre) > 1 for p in pre} if p not in ids]
+        found = self.encode_pretokens([p.encode() for p in distinct + whole])
+        ids.update(zip(distinct, map(tuple, found), strict=False))
+        alone = iter(found[len(distinct):])
+        return [next(alone) if len(pre) == 1 else [i for p in pre for i in ids[p]] for pre in cut]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_loaded: dict[tuple, tuple[Vocabulary, PieceCache]] = {}
+_loaded: dict[tuple, tuple[Vocabulary, PieceCache, PieceTable]] = {}
 
 
-def _ready(shared, made) -> tuple[Vocabulary, PieceCache]:
-    """The vocabulary of a broadcast, set up once for each worker, and a cache of ``made`` for pieces."""
+def _ready(shared, made) -> tuple[Vocabulary, PieceCache, PieceTable]:
+    """The vocabulary of a broadcast, set up once for each worker, and caches of ``made`` for pieces."""
     mark = (hash(shared.value[:2]), made.__name__)
     if mark not in _loaded:
         _loaded.clear()
         v = Vocabulary(*shared.value)
-        _loaded[mark] = v, PieceCache(lambda texts: [made(v, ids) for ids in v.encode(texts)])
+
+        def encode(texts: list[str]) -> list:
+            return [made(v, ids) for ids in v.encode(texts)]
+
+        _loaded[mark] = v, PieceCache(encode), PieceTable(encode)
     return _loaded[mark]
 
 
@@ -183,20 +204,30 @@ def _piece_ids(v: Vocabulary, ids: list[int]) -> list[int]:
 
 
 def _piece_text(v: Vocabulary, ids: list[int]) -> tuple[int, bytes, bytes]:
-    return len(ids), b",".join([b"%d" % i for i in ids]), v.decode(ids)
+    return len(ids), b"".join(map(v.written.__getitem__, ids)), v.decode(ids)
 
 
 def _id_arrays(rows: list[list[list[int]]]) -> list[pa.Array]:
     return [pa.array([[i for p in row for i in p] for row in rows], pa.list_(pa.int32()))]
 
 
-def _digests(rows: list[list[tuple[int, bytes, bytes]]]) -> list[pa.Array]:
-    counts, ids, texts = [], [], []
-    for row in rows:
-        counts.append(sum([p[0] for p in row]))
-        ids.append(hashlib.sha256(b",".join([p[1] for p in row if p[0]])).hexdigest())
-        texts.append(hashlib.sha256(b"".join([p[2] for p in row])).hexdigest())
-    return [pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())]
+def _id_columns(found: tuple[PieceCache, PieceTable], texts: pa.Array) -> list[pa.Array]:
+    return _id_arrays(found[0].results(texts.to_pylist()))
+
+
+def _digest_columns(found: tuple[PieceCache, PieceTable], texts: pa.Array) -> list[pa.Array]:
+    """Counts and digests of texts: what their pieces are written as and decode to is gathered in a row and cut."""
+    results, codes, bounds = found[1](texts)
+    counts, written, decoded = zip(*results, strict=True)
+    counts = np.concatenate([[0], np.cumsum(np.array(counts, np.int64)[codes])])[bounds]
+    columns = [pa.array(np.diff(counts), pa.int64())]
+    for parts, comma in ((written, 1), (decoded, 0)):
+        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))[codes])])[bounds].tolist()
+        taken = pa.array(parts, pa.large_binary()).take(pa.array(codes))
+        data = memoryview(taken.buffers()[2] or b"")
+        # the last id of a text has no comma
+        columns.append(pa.array([hashlib.sha256(data[a:max(a, b - comma)]).hexdigest() for a, b in pairwise(ends)], pa.string()))
+    return columns
 
 
 def encode(documents: DataFrame, shared, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -204,7 +235,7 @@ def encode(documents: DataFrame, shared, text: str = "text", ids: str = "ids") -
 
     Null and empty texts have no ids; other columns stay, and one named like ``ids`` is replaced.
     """
-    return _apply(documents, shared, text, {ids: "array<int>"}, _piece_ids, _id_arrays)
+    return _apply(documents, shared, text, {ids: "array<int>"}, _piece_ids, _id_columns)
 
 
 def encode_digest(documents: DataFrame, shared, text: str = "text") -> DataFrame:
@@ -212,7 +243,7 @@ def encode_digest(documents: DataFrame, shared, text: str = "text") -> DataFrame
 
     The digests are of the decimal ids joined by commas, and of the bytes that the ids decode to.
     """
-    return _apply(documents, shared, text, {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}, _piece_text, _digests)
+    return _apply(documents, shared, text, {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}, _piece_text, _digest_columns)
 
 
 def _apply(documents: DataFrame, shared, text: str, made: dict[str, str], of_piece, of_rows) -> DataFrame:
@@ -223,12 +254,11 @@ def _apply(documents: DataFrame, shared, text: str, made: dict[str, str], of_pie
     names = [*kept, *made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, cache = _ready(shared, of_piece)
+        _, *found = _ready(shared, of_piece)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):  # a bounded amount of text at a time
-                part = batch.slice(at, 256)
-                rows = cache.results([t or "" for t in part.column(len(kept)).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), *of_rows(rows)], names=names)
+            for part in steps(batch, len(kept), 2 * STEP):  # a bounded amount of text at a time
+                made_of = of_rows(found, plain_strings(part.column(len(kept))))
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), *made_of], names=names)
 
     importable(df.sparkSession)
     return df.mapInArrow(run, schema)
@@ -241,7 +271,7 @@ def decode(tokens: DataFrame, shared, ids: str = "ids", data: str = "data") -> D
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1]), f"`{data}` binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, _ = _ready(shared, _piece_ids)
+        v, *_ = _ready(shared, _piece_ids)
         for b in batches:
             found = pa.array([v.decode(x or []) for x in b.column(len(kept)).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), found], names=[*kept, data])

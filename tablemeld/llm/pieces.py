@@ -93,46 +93,60 @@ def flat_pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return lists.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
 
 
-class PieceIds:
-    """Token ids of whole texts; ``encode`` turns a list of texts into one bytes of uint32 ids for each.
+class PieceTable:
+    """Results of whole texts' pieces; ``encode`` turns a list of texts into one result for each.
 
-    Pieces are counted off in Arrow, only distinct ones are looked up, and their ids are
-    gathered by position.  The two generations of remembered pieces are bounded.
+    Pieces are counted off in Arrow and only distinct ones are looked up.  The two
+    generations of remembered pieces are bounded.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], remembered: int = REMEMBERED):
+    def __init__(self, encode: Callable[[list[str]], list], remembered: int = REMEMBERED):
         self.encode, self.remembered, self.known, self.old = encode, remembered, {}, {}
 
-    def _results(self, words: list[str]) -> list[bytes]:
+    def _results(self, words: list[str]) -> list:
         if len(self.known) > self.remembered:
             self.known, self.old = {}, self.known
-        found = list(map(self.known.get, words))
-        gaps = [k for k, r in enumerate(found) if r is None]
+        known, old = self.known, self.old
+        found = list(map(known.get, words))
         new = []
-        for k in gaps:
-            if (r := self.old.get(words[k])) is None:
+        for k in [k for k, r in enumerate(found) if r is None]:
+            if (r := old.get(words[k])) is None:
                 new.append(k)
             else:
-                found[k] = self.known[words[k]] = r
+                found[k] = known[words[k]] = r
         for k, r in zip(new, self.encode([" " + words[k] for k in new]), strict=True):
             found[k] = r
             if len(words[k]) <= LONGEST:
-                self.known[words[k]] = r
+                known[words[k]] = r
         return found
 
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts (strings, none null) in a row, and how many each text has."""
-        if not len(texts):
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    def __call__(self, texts: pa.Array) -> tuple[list, np.ndarray, np.ndarray]:
+        """Results, which of them each piece of the texts (strings, none null) has, and where each text's pieces start and end."""
         flat, bounds = flat_pieces(texts)
         coded = flat.dictionary_encode()
         words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         starts = bounds[:-1]
         firsts = [words[c] for c in codes[starts].tolist()]  # led by no space
         codes[starts] = len(words) + np.arange(len(firsts))
-        results = self._results(words) + self.encode(firsts)
+        return self._results(words) + self.encode(firsts), codes, bounds
+
+
+class PieceIds:
+    """Token ids of whole texts; ``encode`` turns a list of texts into one bytes of uint32 ids for each.
+
+    The ids of pieces are gathered by position.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], remembered: int = REMEMBERED):
+        self.table = PieceTable(encode, remembered)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (strings, none null) in a row, and how many each text has."""
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        results, codes, bounds = self.table(texts)
         sizes = np.fromiter(map(len, results), np.int64, len(results)) // 4
         ends = np.cumsum(sizes)
         ids = np.frombuffer(b"".join(results), "<u4")
         of_piece = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], ends])), pa.array(ids))
-        return of_piece.take(pa.array(codes)).flatten().to_numpy(zero_copy_only=False), np.add.reduceat(sizes[codes], starts)
+        return of_piece.take(pa.array(codes)).flatten().to_numpy(zero_copy_only=False), np.add.reduceat(sizes[codes], bounds[:-1])

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings, strategies as st
@@ -115,3 +117,22 @@ def test_files_of_null_keys_and_nothing(spark, tmp_path):
     assert [r.doc_id for r in got[:2]] == [None, None] and len(got) == len(odd_rows())
     tokens.write_tokens(no_documents(spark), shared, str(tmp_path / "none"))
     assert tokens.read_digest(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_digest_looks_up_distinct_pieces_only():
+    """The pieces of a step are counted off before any is looked up, and those of one pre-token are not split again."""
+    asked = []
+    table = pieces.PieceTable(lambda texts: asked.extend(texts) or [bpe._piece_text(OWN, i) for i in OWN.encode(texts)])
+    texts = ["", " lead", "one two one two's\tx", "one two " * 40, "Äé two \n two"]
+    counts, ids, decoded = (c.to_pylist() for c in bpe._digest_columns((None, table), pa.array(texts)))
+    assert len(asked) == len({p for t in texts for p in pieces.cut(t)}) + len(texts)
+    for t, n, i, d in zip(texts, counts, ids, decoded, strict=True):
+        theirs = THEIRS.encode_ordinary(t)
+        assert n == len(theirs) and d == hashlib.sha256(t.encode()).hexdigest()
+        assert i == hashlib.sha256(",".join(map(str, theirs)).encode()).hexdigest()
+
+
+def test_short_and_long_pretokens_merge_alike():
+    for n in (4094, 4095, 4096, 4097):
+        text = " " + "abcab" * n
+        assert OWN.encode([text[:n + 1]])[0] == THEIRS.encode_ordinary(text[:n + 1])
