@@ -21,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tablemeld.llm.batches import plain_strings, steps
+from tablemeld.llm.batches import STEP, plain_strings, steps
 from tablemeld.llm.common import importable, partitions
 from tablemeld.llm.pieces import PieceIds, joinable
 
@@ -127,21 +128,22 @@ class _Library:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        together = [k for k, t in enumerate(texts) if joinable(t)] if self.byte_level else []
+        # nearly all are a space and letters, which need no closer look
+        together = [k for k, t in enumerate(texts) if (t[:1] == " " and t[1:].isalnum()) or joinable(t)] if self.byte_level else []
         found: list[bytes] = [b""] * len(texts)
         if together:
             parts = [texts[k] for k in together]
             [encoding] = self.tokenizer.encode_batch_fast(["".join(parts)], add_special_tokens=False)
             ids = np.array(encoding.ids, "<u4")
             ends = np.cumsum(self.sizes[ids])
-            of_piece = np.cumsum([len(t) if t.isascii() else len(t.encode()) for t in parts])
+            of_piece = np.cumsum(pc.binary_length(pa.array(parts, pa.large_string())).to_numpy())
             cuts = np.searchsorted(ends, of_piece) + 1
             if len(ends) != cuts[-1] or (ends[cuts - 1] != of_piece).any():
                 raise ValueError("a token crosses the end of a piece")
             data, at = ids.tobytes(), 0
             for k, c in zip(together, (4 * cuts).tolist(), strict=True):
                 found[k], at = data[at:c], c
-        alone = sorted(set(range(len(texts))) - set(together))
+        alone = sorted(set(range(len(texts))) - set(together)) if len(together) < len(texts) else []
         for k, ids in zip(alone, self._each([texts[k] for k in alone]), strict=True):
             found[k] = ids
         return found
@@ -195,7 +197,7 @@ def write_tokens(documents: DataFrame, shared, folder: str, key: str = "doc_id",
         encoded, number, first, shard = _cache(shared), 0, 0, 0
         keys, lengths, ids, size = [], [], [], 0  # of the page that is open
         for batch in batches:
-            for part in steps(batch, 1):
+            for part in steps(batch, 1, 2 * STEP):
                 shard = part.column(2)[0].as_py()
                 new, counts = _closed(*encoded(plain_strings(part.column(1))), end_id)
                 ends, done = np.cumsum(counts), 0  # documents up to ``done`` are in pages
