@@ -252,7 +252,8 @@ def nearest(
     (``neighbours``).  Ties go to the smaller memory id.  Null vectors and vectors with null or
     non-finite components take no part.
     """
-    named = lambda df, key, name: df.select(cols.ref(key).alias(name), cols.ref(vector).cast("array<double>").alias("v"))
+    kind = lambda df: "array<float>" if df.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    named = lambda df, key, name: df.select(cols.ref(key).alias(name), cols.ref(vector).cast(kind(df)).alias("v"))
     radius = math.sqrt(max(0.0, 1 / threshold - 1)) if threshold > 0 else math.inf
     found = neighbours.k_nearest(named(memory, memory_id, "m"), named(queries, query_id, "q"), k, radius)
     return (

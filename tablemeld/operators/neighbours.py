@@ -11,6 +11,11 @@ error bound from the norms that are left; whatever the bound cannot exclude is c
 Every step is a join of cells: no vector and no list of cells passes through the driver, memory
 rows are copied for parts of the queries of their own cell only, and cells that cannot be split
 (one vector many times) are compared in blocks.
+
+Where distances are much alike (dense vectors of many dimensions) a query meets most cells, and a copy
+of it for each would be written.  Such queries, or all if some probes say so before a tree is built, pass
+by all rows in packed blocks instead: a task holds some blocks of queries with their nearest rows so far
+and reads the blocks of rows one after the other.  That work is quadratic, what is written is not.
 """
 
 from __future__ import annotations
@@ -20,6 +25,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablemeld.operators.joins import lookup_join, weighted_lookup
@@ -33,6 +40,12 @@ DEPTH = 7
 #: Rows of one side that a task compares at most and bytes of their vectors, bytes of the vectors that it
 #: returns when every query goes to all cells, and distances computed at once.
 BLOCK_ROWS, BLOCK_BYTES, ROUTED_BYTES, CELLS = 20_000, 32 << 20, 64 << 20, 1_000_000
+#: Cells that a query is sent to at most; beyond, it passes by all rows.  Share of the rows in cells that probes
+#: meet, from which no tree is built, and their number.
+ROUTES, WIDE, PROBES = 16, 0.25, 64
+#: Bytes of the vectors of a packed block (as floats of 32 bits), rows of a block of queries at least, blocks of a
+#: file and of queries for each core, rows compared at once, and pairs of a query from which 32 bits are too coarse.
+PACKED_BYTES, LEAST_BLOCK, FILE_BLOCKS, CORE_BLOCKS, PIECE_ROWS, COARSE = 2 << 20, 256, 8, 4, 2_048, 32
 #: Relative slack of bounds on distances: a cell too many costs time only.
 SLACK = 1e-9
 
@@ -70,6 +83,27 @@ def best(queries: np.ndarray, vectors: np.ndarray, k: int, most: np.ndarray | fl
     return q, m, exact
 
 
+def within(queries: np.ndarray, vectors: np.ndarray, k: int, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``best`` where ``most`` is near already: a product of 32 bits leaves out what its error bound can exclude."""
+    centre, width = vectors.mean(0), queries.shape[1]
+    q, m = queries - centre, vectors - centre
+    qq, mm = (q**2).sum(1), (m**2).sum(1)
+    scale = np.sqrt(max(qq.max(), mm.max())) or 1.0
+    off = 8 * (width + 8) * float(np.finfo(np.float32).eps) * (qq + mm.max()) + 1e-30 * scale**2
+    with np.errstate(over="ignore"):
+        left = np.column_stack([-2 * q / scale, (qq - most * (1 + SLACK) - off) / scale**2, np.ones(len(q))]).astype(np.float32)
+    right = np.column_stack([m / scale, np.ones(len(m)), mm / scale**2]).astype(np.float32)
+    hit = np.flatnonzero(left @ right.T <= 0)
+    if len(hit) > COARSE * len(queries):
+        return best(queries, vectors, k, most)
+    q, m = np.divmod(hit, len(vectors))
+    exact, step = np.empty(len(q)), max(1, CELLS // max(1, width))
+    for at in range(0, len(q), step):
+        exact[at:at + step] = ((queries[q[at:at + step]] - vectors[m[at:at + step]]) ** 2).sum(1)
+    near = exact <= most[q] * (1 + SLACK)
+    return q[near], m[near], exact[near]
+
+
 def first(found: pd.DataFrame, k: int) -> pd.DataFrame:
     return found.sort_values(["q", "d", "m"]).groupby("q").head(k)
 
@@ -77,6 +111,10 @@ def first(found: pd.DataFrame, k: int) -> pd.DataFrame:
 # --- the tree -------------------------------------------------------------------
 
 
+def _type(df: DataFrame, name: str) -> str:
+    return df.schema[name].dataType.simpleString()
+
+
 def _blocks(rows: Column, size: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(rows / size)).cast("int")
 
@@ -116,7 +154,7 @@ def _split(rows: DataFrame, id_type: str, width: int) -> DataFrame:
         return pd.concat(out) if out else pd.DataFrame(columns=["m", "v", "cell", "d"], dtype=object)
 
     left, right = (_dealt(side, ["cell", "block"]).groupBy("cell", "block") for side in (left, right))
-    return left.cogroup(right).applyInPandas(assign, f"m {id_type}, v array<double>, cell long, d double")
+    return left.cogroup(right).applyInPandas(assign, f"m {id_type}, v {_type(rows, 'v')}, cell long, d double")
 
 
 def _described(split: DataFrame, parents: DataFrame) -> DataFrame:
@@ -127,13 +165,17 @@ def _described(split: DataFrame, parents: DataFrame) -> DataFrame:
     return sizes.select(F.floor((F.col("cell") - 1) / FAN).cast("long").alias("parent"), "cell", "v", "n", "lo", "hi")
 
 
+def _measured(rows: DataFrame) -> tuple[int, int | None]:
+    return tuple(rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first())
+
+
 class Tree:
     """Leaves (m, v, cell) of all rows and the levels (parent, cell, v, n, lo, hi, leaf) above them."""
 
-    def __init__(self, rows: DataFrame):
+    def __init__(self, rows: DataFrame, measured: tuple[int, int | None] | None = None):
         """``rows``: (m, v), read several times."""
         id_type = rows.schema["m"].dataType.simpleString()
-        n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+        n, width = measured or _measured(rows)
         self.levels: list[DataFrame] = []
         self.size, self.width = n, width or 0
         open_ = rows.select("m", "v", F.lit(0).cast("long").alias("cell"), F.lit(n).cast("long").alias("n"))
@@ -170,7 +212,11 @@ def _parted(asked: DataFrame, level: DataFrame, width: int, every: bool) -> tupl
 
 
 def _descend(asked: DataFrame, level: DataFrame, width: int, query_type: str, every: bool) -> DataFrame:
-    """Queries (q, v, r, home, cell) in child cells: the nearest centre's, or all that may hold a row within r."""
+    """Queries (q, v, r, home, cell, ...) in child cells: the nearest centre's, or all that may hold a row within r.
+
+    A query that meets more than ``ROUTES`` of them is one row without a vector and a cell.
+    """
+    kept = [c for c in asked.columns if c != "cell"]
     left, right = (_dealt(side, ["cell", "part"]).groupBy("cell", "part") for side in _parted(asked, level, width, every))
 
     def route(part: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
@@ -188,22 +234,36 @@ def _descend(asked: DataFrame, level: DataFrame, width: int, query_type: str, ev
             else:
                 met = np.zeros(rough.shape, bool)
                 met[np.arange(len(some)), rough.argmin(1)] = True
-            row, cell = np.nonzero(met)
-            out.append(some.iloc[row][["q", "v", "r", "home"]].assign(cell=child[cell], leaf=leaf[cell]))
-        return pd.concat(out) if out else pd.DataFrame(columns=["q", "v", "r", "home", "cell", "leaf"], dtype=object)
-
-    schema = f"q {query_type}, v array<double>, r double, home long, cell long, leaf boolean"
+            wide = met.sum(1) > ROUTES
+            row, cell = np.nonzero(met & ~wide[:, None])
+            out.append(some.iloc[row][kept].assign(cell=pd.array(child[cell], "Int64"), leaf=leaf[cell]))
+            if wide.any():
+                out.append(some[wide][kept].assign(v=None, cell=pd.array([None] * wide.sum(), "Int64"), leaf=False))
+        return pd.concat(out) if out else pd.DataFrame(columns=[*kept, "cell", "leaf"], dtype=object)
+
+    schema = ", ".join(f"{c} {_type(asked, c)}" for c in kept) + ", cell long, leaf boolean"
     return left.cogroup(right).applyInPandas(route, schema)
 
 
-def _reach(asked: DataFrame, tree: Tree, query_type: str, every: bool) -> DataFrame:
-    """(q, v, r, home, cell): queries (q, v, r, home) in leaves."""
-    at, done = asked.withColumn("cell", F.lit(0).cast("long")), []
+def _reach(asked: DataFrame, tree: Tree, query_type: str, every: bool) -> tuple[DataFrame, DataFrame | None]:
+    """(q, v, r, home, i, cell): queries (q, v, r, home, i) in leaves; and the queries that meet too many cells."""
+    at, done, met = asked.withColumn("cell", F.lit(0).cast("long")), [], []
     for level in tree.levels:
         routed = materialize(_descend(at, level, tree.width, query_type, every), "routed")
-        done.append(routed.filter("leaf").drop("leaf"))
         at = routed.filter("not leaf").drop("leaf")
-    return reduce(DataFrame.unionByName, done)
+        if every:
+            met.append(materialize(routed.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("cell").isNull()).alias("wide")), "met"))
+            wide = met[-1].filter(F.col("wide") | (F.col("n") > ROUTES)).select("i")
+            at = at.join(wide, "i", "left_anti")
+        done.append(routed.filter("leaf").drop("leaf"))
+    routed = reduce(DataFrame.unionByName, done)
+    if not every:
+        return routed, None
+    counts = reduce(DataFrame.unionByName, met).groupBy("i").agg(F.sum("n").alias("n"), F.max("wide").alias("wide"))
+    wide = materialize(counts.filter(F.col("wide") | (F.col("n") > ROUTES)).select("i"), "wide")
+    if wide.isEmpty():
+        return routed, None
+    return routed.join(wide, "i", "left_anti"), asked.join(wide, "i", "left_semi")
 
 
 def _in_one_leaf(asked: DataFrame, tree: Tree) -> tuple[DataFrame, DataFrame]:
@@ -241,6 +301,161 @@ def _compare(asked: DataFrame, rows: DataFrame, k: int, tree: Tree) -> DataFrame
     return left.cogroup(right).applyInPandas(compare, f"q {query_type}, m {id_type}, distance double")
 
 
+# --- queries that pass by all rows ------------------------------------------------
+
+
+def _packed(rows: DataFrame, size: int) -> DataFrame:
+    """Blocks of ``size`` rows: an array of each column, of vectors (v) their bytes."""
+    names = [c for c in rows.columns if c != "v"]
+
+    def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        n, vectors = sum(b.num_rows for b in held), pa.concat_arrays([b.column("v") for b in held])
+        if len(set(pc.list_value_length(vectors).to_pylist())) > 1:
+            raise ValueError("vectors differ in their number of components")
+        columns = [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.concat_arrays([b.column(c) for b in held])) for c in names]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([vectors.flatten().to_numpy().tobytes()], pa.binary())], [*names, "v"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            while batch.num_rows:
+                held.append(batch.slice(0, size - count))
+                batch, count = batch.slice(held[-1].num_rows), count + held[-1].num_rows
+                if count == size:
+                    yield block(held)
+                    held, count = [], 0
+        if held:
+            yield block(held)
+
+    return rows.select(*names, "v").mapInArrow(pack, ", ".join(f"{c} array<{_type(rows, c)}>" for c in names) + ", v binary")
+
+
+def _unpacked(packed: pa.BinaryScalar, rows: int, kind: str) -> np.ndarray:
+    held = np.frombuffer(packed.as_buffer(), np.float32 if kind == "array<float>" else float)
+    return held.reshape(rows, len(held) // rows).astype(float)
+
+
+def _ids(column: pa.Array) -> np.ndarray:
+    return np.array(column.to_pylist(), object) if column.null_count else column.to_numpy(zero_copy_only=False)
+
+
+class Passing:
+    """A block of queries, and the k nearest rows that it has met so far."""
+
+    def __init__(self, ids: pa.Array, r: np.ndarray, home: np.ndarray, k: int):
+        self.ids, self.home, self.k, self.most = ids, home, k, r**2
+        self.found, self.fresh, self.held = None, [], 0
+
+    def meet(self, queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, cells: np.ndarray) -> None:
+        """Rows of one cell come one after the other."""
+        ends = np.append(np.flatnonzero(np.diff(cells)) + 1, len(cells))
+        for start, end in zip([0, *ends[:-1]], ends, strict=True):
+            for at in range(start, end, PIECE_ROWS):
+                self._piece(queries, vectors[at:(to := min(end, at + PIECE_ROWS))], ids[at:to], cells[at])
+
+    def _piece(self, queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, cell: int) -> None:
+        centre = vectors.mean(0)[None]
+        far = np.sqrt(((vectors - centre) ** 2).sum(1)).max() * (1 + SLACK)
+        rough, off = bracketed(queries, centre)
+        near = np.flatnonzero((np.sqrt(np.maximum(rough - off, 0)) * (1 - SLACK) - far)[:, 0] <= np.sqrt(self.most) * (1 + SLACK))
+        for at in range(0, len(near), step := max(1, CELLS // len(vectors))):
+            some = near[at:at + step]
+            q, m, d = within(queries[some], vectors, self.k, self.most[some])
+            self.fresh.append(pd.DataFrame({"q": some[q], "m": ids[m], "d": d, "home": self.home[some[q]] == cell}))
+            self.held += len(q)
+            if self.held >= len(queries):
+                self.merge()
+
+    def merge(self) -> None:
+        if self.fresh:
+            self.found = first(pd.concat([*([] if self.found is None else [self.found]), *self.fresh], ignore_index=True), self.k)
+            self.fresh, self.held = [], 0
+            full = self.found.groupby("q")["d"].agg(["size", "max"]).query(f"size == {self.k}")
+            self.most[full.index] = np.minimum(self.most[full.index], full["max"])
+
+
+def _passing(asked: DataFrame, rows: DataFrame, k: int, width: int) -> DataFrame:
+    """(q, m, distance): the k nearest rows (m, v, cell) of every query (q, v, r, home), without those of its home cell.
+
+    Nothing but packed blocks is written, once: each task reads all blocks of rows for its own queries.
+    """
+    cores, size = asked.sparkSession.sparkContext.defaultParallelism, _packed_rows(width)
+    each = min(size, max(LEAST_BLOCK, -(-asked.count() // (CORE_BLOCKS * cores))))
+    kinds, (query_type, id_type) = (_type(asked, "v"), _type(rows, "v")), (_type(asked, "q"), _type(rows, "m"))
+    blocks = materialize(_packed(rows.select("m", "cell", "v"), size), "passed", FILE_BLOCKS)
+    mine = _packed(asked.select("q", "r", "home", "v"), each).withColumnRenamed("v", "w").withColumn("block", F.monotonically_increasing_id())
+    mine = materialize(mine, "passing", 1)
+    parts = max(1, -(-CORE_BLOCKS * cores // max(1, mine.count())))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, Passing] = {}
+        for batch in batches:
+            for row in range(batch.num_rows):
+                get = lambda name: batch.column(name)[row]  # noqa: B023, E731
+                block, q, m = get("block").as_py(), get("q").values, get("m").values
+                if block not in kept:  # copies: slices would keep their batches
+                    ids = q.take(pa.array(np.arange(len(q))))
+                    kept[block] = Passing(ids, np.array(get("r").values), np.array(get("home").values), k)
+                vectors = (_unpacked(get(name), len(side), kind) for name, side, kind in zip(("w", "v"), (q, m), kinds, strict=True))
+                kept[block].meet(*vectors, _ids(m), np.array(get("cell").values))
+                id_kind = m.type
+        for one in kept.values():
+            one.merge()
+            if one.found is not None:
+                found = one.found[~one.found["home"]]
+                columns = one.ids.take(pa.array(found["q"].to_numpy(int))), pa.array(found["m"].tolist(), id_kind), pa.array(found["d"].to_numpy(float))
+                yield pa.RecordBatch.from_arrays(list(columns), ["q", "m", "distance"])
+
+    pairs = blocks.coalesce(parts).crossJoin(mine.hint("shuffle_replicate_nl"))
+    return pairs.mapInArrow(compare, f"q {query_type}, m {id_type}, distance double")
+
+
+def _packed_rows(width: int) -> int:
+    return max(1, min(_block_rows(width), PACKED_BYTES // (4 * max(1, width))))
+
+
+def _met_share(rows: DataFrame, asked: DataFrame, k: int, radius: float, n: int, width: int) -> float:
+    """Share of the rows in cells that a query must visit if it knows its k-th distance, from some queries and one level of cells."""
+    fan, kinds = min(FAN, -(-2 * n // LEAF_ROWS) + 1), (_type(rows, "v"), "array<double>")
+    some = lambda df, key, count, kind: (
+        df.groupBy(F.pmod(key, F.lit(count)).alias("h")).agg(F.min_by("v", key).alias("v")).select(F.lit(kind).alias("kind"), F.col("v").cast("array<double>").alias("v"))
+    )
+    probe = some(rows, F.xxhash64("v"), fan, 0).unionByName(some(asked, F.xxhash64("q", "v"), PROBES, 1))
+    probe = _packed(probe.coalesce(1), fan + PROBES).withColumnRenamed("v", "w")
+    blocks = _packed(rows.select("m", "v"), _packed_rows(width))
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                size, kind = len(batch.column("m")[row].values), np.array(batch.column("kind")[row].values)
+                vectors = _unpacked(batch.column("v")[row], size, kinds[0])
+                probe = _unpacked(batch.column("w")[row], len(kind), kinds[1])
+                centres, queries = probe[kind == 0], probe[kind == 1]
+                d = np.sqrt(np.maximum(bracketed(vectors, centres)[0], 0))
+                cells = pd.DataFrame({"at": d.argmin(1), "d": d.min(1)}).groupby("at")["d"].agg(["size", "min", "max"])
+                near = np.sort(np.maximum(bracketed(queries, vectors)[0], 0), axis=1)[:, :k]
+                far = np.sqrt(np.maximum(bracketed(queries, centres)[0], 0))
+                some = {"at": cells.index.to_numpy(), "n": cells["size"].to_numpy(), "lo": cells["min"].to_numpy(), "hi": cells["max"].to_numpy()}
+                none = [None] * len(cells)
+                yield pa.RecordBatch.from_pydict({
+                    "at": pa.array([*some["at"], *(fan + np.arange(len(queries)))], pa.int64()), "n": pa.array([*some["n"], *[0] * len(queries)], pa.int64()),
+                    "lo": pa.array([*some["lo"], *[None] * len(queries)], pa.float64()), "hi": pa.array([*some["hi"], *[None] * len(queries)], pa.float64()),
+                    "near": pa.array([*none, *near.tolist()], pa.list_(pa.float64())), "far": pa.array([*none, *far.tolist()], pa.list_(pa.float64())),
+                })
+
+    told = blocks.crossJoin(F.broadcast(probe)).mapInArrow(tell, "at long, n long, lo double, hi double, near array<double>, far array<double>")
+    nearest = F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k)
+    found = told.groupBy("at").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), nearest.alias("near"), F.first("far", True).alias("far")).collect()
+    cells, shares = [r for r in found if r["at"] < fan], []
+    at, held, lo, hi = (np.array([r[c] for r in cells], int if c == "at" else float) for c in ("at", "n", "lo", "hi"))
+    for r in (r for r in found if r["at"] >= fan):
+        reach = min(radius, np.sqrt(r["near"][-1]) if len(r["near"]) == k else np.inf)
+        far = np.array(r["far"])
+        met = (far[at] - reach <= hi) & (far[at] + reach >= lo) & (far[at] - far.min() <= 2 * reach)
+        shares.append(held[met].sum() / n)
+    return float(np.mean(shares)) if shares else 0.0
+
+
 def usable(vector: Column) -> Column:
     """Vectors with finite components only; others take no part."""
     return vector.isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -257,14 +472,22 @@ def k_nearest(rows: DataFrame, asked: DataFrame, k: int, radius: float) -> DataF
     asked = asked.filter(usable(F.col("v"))).withColumn("r", F.lit(float(radius)))
     order = Window.partitionBy("q").orderBy("distance", "m")
     ranked = lambda found: found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    tree = Tree(rows)
+    nowhere, n, width = F.lit(-1).cast("long"), *_measured(rows)
+    if n > LEAF_ROWS and _met_share(rows, asked, k, radius, n, width or 0) > WIDE:
+        return ranked(_passing(asked.withColumn("home", nowhere), rows.withColumn("cell", F.lit(0).cast("long")), k, width or 0))
+    tree = Tree(rows, (n, width))
     if not tree.levels:
         return ranked(_compare(*_in_one_leaf(asked, tree), k, tree))
-    asked = materialize(asked.withColumn("home", F.lit(-1).cast("long")), "asked")
-    home = materialize(_reach(asked, tree, query_type, every=False), "home")
+    asked = materialize(asked.withColumns({"home": nowhere, "i": F.monotonically_increasing_id()}), "asked")
+    home = materialize(_reach(asked, tree, query_type, every=False)[0], "home")
     near = materialize(ranked(_compare(*_in_leaves(home, tree), k, tree)), "near")
     bounds = near.groupBy("q").agg(F.max(F.when(F.col("rank") == k, F.sqrt("distance"))).alias("bound"))
     closer = weighted_lookup(home, bounds, ["q"])
-    closer = closer.select("q", "v", F.least("r", F.coalesce("bound", "r")).alias("r"), F.col("cell").alias("home"))
-    others = materialize(_reach(closer, tree, query_type, every=True).filter("cell <> home"), "reached")
-    return ranked(near.drop("rank").unionByName(_compare(*_in_leaves(others, tree), k, tree)))
+    closer = closer.select("q", "v", F.least("r", F.coalesce("bound", "r")).alias("r"), F.col("cell").alias("home"), "i")
+    routed, wide = _reach(closer, tree, query_type, every=True)
+    others = materialize(routed.filter("cell <> home"), "reached")
+    found = near.drop("rank").unionByName(_compare(*_in_leaves(others, tree), k, tree))
+    if wide is not None:
+        ordered = tree.leaves.repartitionByRange("cell", F.xxhash64("m", "v")).sortWithinPartitions("cell")
+        found = found.unionByName(_passing(wide, ordered, k, tree.width))
+    return ranked(found)

@@ -29,11 +29,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write a result that several later jobs read, and return the written table."""
+def materialize(df: DataFrame, label: str, file_rows: int = 0) -> DataFrame:
+    """Write a result that several later jobs read, and return the written table; rows of a file at most, if any."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tablemeld/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("maxRecordsPerFile", file_rows) if file_rows else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

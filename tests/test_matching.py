@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tablemeld import storage
 from tablemeld.functions import fixed_values as fv, names
 from tablemeld.functions.values import merge_value_maps
 from tablemeld.operators import (
@@ -287,6 +288,84 @@ def test_what_a_part_of_queries_returns_is_bounded(spark, monkeypatch):
     assert max(held[p] * cells[p] for p in held) * 8 * tree.width < 2 * 3000
 
 
+def ranks(memory, queries, k, most):
+    """{(query, rank): memory row} of many rows, none beyond ``most`` (squared)."""
+    d = ((queries[:, None, :] - memory[None]) ** 2).sum(2)
+    order = np.argsort(d, axis=1, kind="stable")[:, :k]
+    return {(q, i + 1): m for q, row in enumerate(order.tolist()) for i, m in enumerate(row) if d[q, m] <= most}
+
+
+#: Queries pass by all rows before a tree is built, in one that is built all the same, and as cells allow.
+WAYS = [{"WIDE": -1.0}, {"WIDE": 2.0, "ROUTES": 1}, {"WIDE": 2.0, "ROUTES": 3}, {}]
+
+
+@pytest.mark.parametrize("way", WAYS[1:] + [{"WIDE": 0.25}])
+def test_what_nearest_writes_grows_with_the_vectors(spark, monkeypatch, tmp_path, way):
+    """Vectors much alike in their distances meet all cells: no copy of a query is written for each (before: 98 times the bytes of the vectors)."""
+    for name, value in ({"LEAF_ROWS": 20, "FAN": 200} | way).items():
+        monkeypatch.setattr(neighbours, name, value)
+    vectors = np.random.default_rng(11).normal(size=(1500, 48)).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "memory_id bigint, vector array<float>").repartition(3)
+    monkeypatch.setattr(storage, "shared_folder", lambda spark: tmp_path.as_uri())
+    got = me.nearest(table, table.withColumnRenamed("memory_id", "query_id"), 3, 0.0).collect()
+    exact = vectors.astype(float)
+    assert {(r["query_id"], r["rank"]): r["memory_id"] for r in got} == ranks(exact, exact, 3, np.inf)
+    bytes_of = {label: sum(p.stat().st_size for p in tmp_path.glob(f"tablemeld/{label}-*/*.parquet")) for label in ("routed", "reached", "passing", "passed")}
+    assert bytes_of["passed"] > 0 and sum(bytes_of.values()) < 8 * vectors.nbytes
+
+
+@pytest.mark.parametrize("way", WAYS)
+def test_nearest_of_repeated_and_missing_keys(spark, monkeypatch, way):
+    """Every row of a repeated query id brings its candidates, and every row of a repeated memory id is one."""
+    for name, value in (SMALL_CELLS | way).items():
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(6)
+    memory = [(None if i % 50 == 7 else i // 2, v.tolist()) for i, v in enumerate(rng.normal(size=(100, 5)))]
+    memory += memory[:10]
+    asked = [(None if j % 9 == 4 else j // 2, v.tolist()) for j, v in enumerate(rng.normal(size=(20, 5)))] + [(3, memory[0][1])] * 2
+    table = spark.createDataFrame(memory, "memory_id bigint, vector array<double>").repartition(3)
+    got = me.nearest(table, spark.createDataFrame(asked, "query_id bigint, vector array<double>"), 4, 0.1).collect()
+    expected = []
+    for key in {q for q, _ in asked}:
+        pairs = sorted((float(((np.array(x) - np.array(v)) ** 2).sum()), -1 if m is None else m) for q, x in asked if q == key for m, v in memory)
+        expected += [(key, i + 1, m) for i, (d, m) in enumerate(pairs[:4]) if 1 / (1 + d) >= 0.1]
+    assert sorted(map(str, expected)) == sorted(str((r["query_id"], r["rank"], -1 if r["memory_id"] is None else r["memory_id"])) for r in got)
+
+
+@pytest.mark.parametrize("way", WAYS)
+def test_nearest_each_way_with_ties_and_radius(spark, monkeypatch, way):
+    for name, value in (SMALL_CELLS | way).items():
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(5)
+    memory = rng.integers(-6, 6, size=(120, 3)) * 0.25
+    memory[40:80] = memory[3]
+    queries = np.vstack([memory[3], memory[3], rng.integers(-6, 6, size=(18, 3)) * 0.25, [[60.0, 0, 0]]])
+    for threshold in (0.5, 0.0):
+        assert found_nearest(spark, memory, queries, 4, threshold) == brute_nearest(memory, queries, 4, threshold)
+
+
+def test_nearest_refuses_vectors_of_different_lengths(spark, monkeypatch):
+    for name, value in (SMALL_CELLS | WAYS[0]).items():
+        monkeypatch.setattr(neighbours, name, value)
+    table = spark.createDataFrame([(i, [0.5 * i] * (2 + i % 2)) for i in range(40)], "memory_id bigint, vector array<double>")
+    with pytest.raises(Exception, match="differ|dimension|shape"):
+        me.nearest(table, table.withColumnRenamed("memory_id", "query_id"), 2, 0.1).collect()
+
+
+@pytest.mark.parametrize("spread, shift", [(1.0, 0.0), (1e-9, 1.0), (1e-3, 1e6), (0.0, 2.0), (1e30, 0.0)])
+def test_short_floats_leave_out_no_near_pair(spread, shift):
+    rng = np.random.default_rng(8)
+    vectors = shift + spread * rng.normal(size=(400, 16))
+    queries = np.vstack([vectors[:40], shift + spread * rng.normal(size=(60, 16)), np.full((1, 16), 1e3)])
+    exact = ((queries[:, None] - vectors[None]) ** 2).sum(2)
+    for most in (np.sort(exact, axis=1)[:, 2], np.full(len(queries), np.inf), np.zeros(len(queries))):
+        q, m, d = neighbours.within(queries, vectors, 3, most)
+        least = np.minimum(most, np.sort(exact, axis=1)[:, 2])
+        got = {(a, b) for a, b, c in zip(q.tolist(), m.tolist(), d, strict=True) if c <= least[a]}
+        assert got == set(zip(*(x.tolist() for x in np.nonzero(exact <= least[:, None])), strict=True))
+        assert (d == exact[q, m]).all()
+
+
 def test_nearest_leaves_out_what_is_no_vector(spark):
     rows = [(1, [0.0, 0.0]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 0.0]), (5, [float("inf"), 0.0]), (None, [0.1, 0.0])]
     table = spark.createDataFrame(rows, "memory_id bigint, vector array<double>")
