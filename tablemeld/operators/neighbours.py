@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablemeld.operators.joins import lookup_join, weighted_lookup
 from tablemeld.session import importable
-from tablemeld.storage import materialize
+from tablemeld.storage import discard, materialize
 
 #: Rows of a cell that is not split, and centres of a cell that is.
 LEAF_ROWS, FAN = 2_500, 256
@@ -190,10 +190,12 @@ class Tree:
             self.levels.append(level)
             placed = lookup_join(split.select("m", "v", "cell"), level.select("cell", "n", "leaf"), ["cell"])
             leaves.append(placed.filter("leaf").drop("leaf"))
+            if depth:
+                discard(open_)
             if level.filter("not leaf").isEmpty():
                 break
-            open_ = materialize(placed.filter("not leaf").drop("leaf"), "cells")
-        self.leaves = materialize(reduce(DataFrame.unionByName, leaves), "leaves")
+            open_ = materialize(placed.filter("not leaf").drop("leaf"), "open")
+        self.leaves = reduce(DataFrame.unionByName, leaves)  # not written again: cells and levels are
 
 
 # --- queries --------------------------------------------------------------------
@@ -212,7 +214,7 @@ def _parted(asked: DataFrame, level: DataFrame, width: int, every: bool) -> tupl
 
 
 def _descend(asked: DataFrame, level: DataFrame, width: int, query_type: str, every: bool) -> DataFrame:
-    """Queries (q, v, r, home, cell, ...) in child cells: the nearest centre's, or all that may hold a row within r.
+    """Queries (q, v, r, home, cell, ...) in child cells: the nearest centre's, or all but home that may hold a row within r.
 
     A query that meets more than ``ROUTES`` of them is one row without a vector and a cell.
     """
@@ -235,7 +237,8 @@ def _descend(asked: DataFrame, level: DataFrame, width: int, query_type: str, ev
                 met = np.zeros(rough.shape, bool)
                 met[np.arange(len(some)), rough.argmin(1)] = True
             wide = met.sum(1) > ROUTES
-            row, cell = np.nonzero(met & ~wide[:, None])
+            # a query has met the rows of its home cell
+            row, cell = np.nonzero(met & ~wide[:, None] & (child != some["home"].to_numpy()[:, None]))
             out.append(some.iloc[row][kept].assign(cell=pd.array(child[cell], "Int64"), leaf=leaf[cell]))
             if wide.any():
                 out.append(some[wide][kept].assign(v=None, cell=pd.array([None] * wide.sum(), "Int64"), leaf=False))
@@ -254,7 +257,7 @@ def _reach(asked: DataFrame, tree: Tree, query_type: str, every: bool) -> tuple[
         if every:
             met.append(materialize(routed.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("cell").isNull()).alias("wide")), "met"))
             wide = met[-1].filter(F.col("wide") | (F.col("n") > ROUTES)).select("i")
-            at = at.join(wide, "i", "left_anti")
+            at = at.join(wide, "i", "left_anti")  # rows that are done leave below, once all levels are counted
         done.append(routed.filter("leaf").drop("leaf"))
     routed = reduce(DataFrame.unionByName, done)
     if not every:
@@ -478,15 +481,16 @@ def k_nearest(rows: DataFrame, asked: DataFrame, k: int, radius: float) -> DataF
     tree = Tree(rows, (n, width))
     if not tree.levels:
         return ranked(_compare(*_in_one_leaf(asked, tree), k, tree))
-    asked = materialize(asked.withColumns({"home": nowhere, "i": F.monotonically_increasing_id()}), "asked")
-    home = materialize(_reach(asked, tree, query_type, every=False)[0], "home")
+    # i need not be unique: queries of one i are sent to cells, or pass by all rows, together
+    asked = materialize(asked.withColumns({"home": nowhere, "i": F.xxhash64("q", "v")}), "asked")
+    home, _ = _reach(asked, tree, query_type, every=False)
+    discard(asked)
     near = materialize(ranked(_compare(*_in_leaves(home, tree), k, tree)), "near")
     bounds = near.groupBy("q").agg(F.max(F.when(F.col("rank") == k, F.sqrt("distance"))).alias("bound"))
     closer = weighted_lookup(home, bounds, ["q"])
     closer = closer.select("q", "v", F.least("r", F.coalesce("bound", "r")).alias("r"), F.col("cell").alias("home"), "i")
     routed, wide = _reach(closer, tree, query_type, every=True)
-    others = materialize(routed.filter("cell <> home"), "reached")
-    found = near.drop("rank").unionByName(_compare(*_in_leaves(others, tree), k, tree))
+    found = near.drop("rank").unionByName(_compare(*_in_leaves(routed, tree), k, tree))
     if wide is not None:
         ordered = tree.leaves.repartitionByRange("cell", F.xxhash64("m", "v")).sortWithinPartitions("cell")
         found = found.unionByName(_passing(wide, ordered, k, tree.width))

@@ -37,6 +37,14 @@ def materialize(df: DataFrame, label: str, file_rows: int = 0) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a written result that no later job reads."""
+    spark = table.sparkSession
+    for folder in {name.rpartition("/")[0] for name in table.inputFiles()}:
+        system, location = _location(spark, folder)
+        system.delete(location, True)
+
+
 def _location(spark: SparkSession, path: str) -> tuple:
     jvm = spark.sparkContext._jvm
     location = jvm.org.apache.hadoop.fs.Path(path)
